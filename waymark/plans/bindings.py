@@ -142,3 +142,42 @@ def ready_profiles(spark, sf) -> DataFrame:
 
 def ready_options(spark, sf) -> DataFrame:
     return P.prepare_options(options(spark, sf))
+
+
+TASK_IDS = [
+    "shortlist-review", "shortlist-compare", "english-register", "english-prep", "english-send", "sat-register", "sat-prep",
+    "doc-statement", "doc-recommendations", "doc-transcript", "doc-financial", "apply-0",
+]
+
+
+def toggles(spark: SparkSession, sf: str) -> DataFrame:
+    """Click events as task toggles."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf, "events").where(F.col("event_type") == "click").select(
+        "event_id", F.col("user_id").alias("profile_id"), S.pick(TASK_IDS, k % 12).alias("task_id"), "ts",
+    )
+
+
+def profile_complete(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("profile_id"), (F.col("c_custkey") % 5 != 0).alias("profile_complete"))
+
+
+def id_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Four requested option ids per customer, some of them unknown."""
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(
+        k.alias("set_id"), F.array(k % 97, F.lit(100) + (k * 7) % 50, (k * 13 + 1) % 89, (k * 5 + 2) % 300).alias("ids"),
+    )
+
+
+def changed_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The 'after' side of a what-if: a preset by key, and one country only for every third profile."""
+    p = profiles(spark, sf)
+    preset = F.element_at(F.array(*[
+        F.struct(F.lit(v).cast("bigint").alias("v"), F.lit(need).alias("n")) for _, _, v, need, _ in fixed.BUDGET_PRESETS
+    ]), (F.col("profile_id") % 5 + 1).cast("int"))
+    out = p.withColumn("_p", preset).withColumns({
+        "budget_annual_usd": F.col("_p.v"), "max_affordable_annual_usd": F.col("_p.v"), "aid_need": F.col("_p.n"),
+        "preferred_countries": F.when(F.col("profile_id") % 3 == 0, F.slice("preferred_countries", 1, 1)).otherwise(F.col("preferred_countries")),
+    }).drop("_p")
+    return P.prepare_profiles(out, country_dim(spark, sf))

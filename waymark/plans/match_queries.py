@@ -47,8 +47,8 @@ def scan_options(spark, sf):
 
 @query("clamp_scale", f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS copies,
-  sum({O.rnd(O.scale('l_quantity - 25', '-20', '0', 15, 78))}) AS low_side, sum({O.rnd(O.scale('l_quantity', '250', '0', 25, 92))}) AS reversed_anchors,
-  sum({O.rnd(O.scale('l_quantity', '5', '5', 0, 70))}) AS equal_anchors, sum(CAST({O.clamp('l_quantity * 3 - 20')} AS BIGINT)) AS clamped
+  CAST(sum({O.rnd(O.scale('l_quantity - 25', '-20', '0', 15, 78))}) AS BIGINT) AS low_side, CAST(sum({O.rnd(O.scale('l_quantity', '250', '0', 25, 92))}) AS BIGINT) AS reversed_anchors,
+  CAST(sum({O.rnd(O.scale('l_quantity', '5', '5', 0, 70))}) AS BIGINT) AS equal_anchors, CAST(sum(CAST({O.clamp('l_quantity * 3 - 20')} AS BIGINT)) AS BIGINT) AS clamped
 FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey""")
 def clamp_scale(spark, sf):
     qty = F.col("l_quantity")

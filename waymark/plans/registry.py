@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["match_queries"]
+MODULES = ["match_queries", "journey_queries"]
 
 
 def _collect(attribute: str) -> dict:
