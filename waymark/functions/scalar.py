@@ -10,19 +10,41 @@ from pyspark.sql import Column, functions as F
 from waymark import fixed
 
 
+def sql_lit(value) -> str:
+    """A value as Spark SQL literal text."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float):
+        return f"{value}D"
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_array(values) -> str:
+    return "array(" + ", ".join(sql_lit(v) for v in values) + ")"
+
+
+def sql_pick(values, index: str) -> str:
+    """SQL text: the value at a zero-based position in a fixed list."""
+    return f"element_at({sql_array(values)}, cast(({index}) + 1 as int))"
+
+
 def lit_map(mapping: dict) -> Column:
     """A literal map column for a dictionary of fixed values."""
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    return F.expr("map(" + ", ".join(f"{sql_lit(k)}, {sql_lit(v)}" for k, v in mapping.items()) + ")")
 
 
 def str_array(values) -> Column:
     values = list(values)
-    return F.array(*[F.lit(v) for v in values]) if values else F.expr("cast(array() as array<string>)")
+    return F.expr(sql_array(values)) if values else F.expr("cast(array() as array<string>)")
 
 
 def pick(values, index: Column) -> Column:
     """The value at a zero-based position in a fixed list."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(F.expr(sql_array(values)), (index + 1).cast("int"))
 
 
 def js_round(c: Column) -> Column:

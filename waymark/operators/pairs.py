@@ -18,14 +18,25 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 64
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate for a relation (file statistics, no job)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+_ROW_COUNTS: dict[int, int] = {}
+
+
+def measured_bytes(df: DataFrame) -> tuple[int, int]:
+    """Row count and an upper estimate of the bytes a relation occupies.
+
+    Catalyst multiplies the sizes of joined inputs, which overstates a joined
+    dimension by orders of magnitude, so the rows are counted (columns pruned).
+    """
+    key = df.semanticHash()
+    if key not in _ROW_COUNTS:
+        _ROW_COUNTS[key] = df.count()
+    width = sum(16 if f.dataType.typeName() not in ("string", "array", "map", "struct") else 256 for f in df.schema.fields)
+    return _ROW_COUNTS[key], _ROW_COUNTS[key] * width
 
 
 def checked_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast only behind a size check; otherwise leave the join to Catalyst."""
-    return F.broadcast(df) if plan_bytes(df) <= limit_bytes else df
+    return F.broadcast(df) if measured_bytes(df)[1] <= limit_bytes else df
 
 
 def country_regions(country_dim: DataFrame) -> Column:
@@ -51,21 +62,20 @@ def prepare_profiles(profiles: DataFrame, country_dim: DataFrame) -> DataFrame:
     )
 
 
-def major_ratings(supported: Column) -> Column:
+ADJACENT = {m: sorted({x for c in fixed.MAJOR_CLUSTERS if m in c for x in c} - {m}) for m in fixed.MAJORS}
+
+
+def major_ratings(supported: str) -> Column:
     """Per option: one 100 / 62 / 18 rating for each major, so a pair only looks one up."""
-    adjacency = {m: sorted({x for c in fixed.MAJOR_CLUSTERS if m in c for x in c} - {m}) for m in fixed.MAJORS}
-    return F.array(*[
-        F.when(F.array_contains(supported, m), F.lit(100))
-        .when(F.arrays_overlap(supported, S.str_array(adjacency[m])), F.lit(62))
-        .otherwise(F.lit(18))
+    return F.expr("array(" + ", ".join(
+        f"CASE WHEN array_contains({supported}, '{m}') THEN 100 WHEN arrays_overlap({supported}, {S.sql_array(ADJACENT[m])}) THEN 62 ELSE 18 END"
         for m in fixed.MAJORS
-    ])
+    ) + ")")
 
 
 def closest_major(supported: Column, target: Column) -> Column:
     """The first adjacent major in the option's own order."""
-    adjacency = {m: sorted({x for c in fixed.MAJOR_CLUSTERS if m in c for x in c} - {m}) for m in fixed.MAJORS}
-    table = F.create_map(*[x for m in fixed.MAJORS for x in (F.lit(m), S.str_array(adjacency[m]))])
+    table = F.expr("map(" + ", ".join(f"'{m}', {S.sql_array(ADJACENT[m])}" for m in fixed.MAJORS) + ")")
     neighbours = F.element_at(table, target)
     return F.get(F.filter(supported, lambda m: F.array_contains(neighbours, m)), F.lit(0))
 
@@ -87,7 +97,7 @@ def prepare_options(options: DataFrame) -> DataFrame:
         .withColumn("ielts_need", F.coalesce("minimum_ielts", "recommended_ielts"))
         .withColumn("sat_target", F.coalesce("recommended_sat", "minimum_sat"))
         .withColumn("teaches_english", F.array_contains("languages_of_instruction", "English"))
-        .withColumn("major_ratings", major_ratings(F.col("supported_majors")))
+        .withColumn("major_ratings", major_ratings("supported_majors"))
     )
 
 
@@ -104,12 +114,24 @@ OPTION_SCORING = [
 ]
 
 
+def spread(profiles: DataFrame) -> DataFrame:
+    """Hash profiles on their key before they fan out.
+
+    A profile row becomes many pairs, so a few input splits would become a few
+    huge tasks. Spreading the narrow rows first also lets every later window per
+    profile run where its pairs were made: the pairs themselves never shuffle.
+    """
+    spark = profiles.sparkSession
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return profiles.repartition(wanted, "profile_id")
+
+
 def pair_grid(profiles: DataFrame, options: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every profile with every option, as a block equi-join."""
-    blocks = max(1, -(-options.count() // block_rows))
-    small = plan_bytes(options) <= BROADCAST_BYTES
+    rows, size = measured_bytes(options)
+    blocks, small = max(1, -(-rows // block_rows)), size <= BROADCAST_BYTES
     right = options.withColumn("_block", F.pmod(F.xxhash64("option_id"), F.lit(blocks)).cast("int"))
-    left = profiles.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = spread(profiles).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     if small:
         return left.join(F.broadcast(right), "_block").drop("_block")
     left = left.withColumn("_salt", F.pmod(F.xxhash64("profile_id"), F.lit(SALTS)).cast("int"))
@@ -119,5 +141,5 @@ def pair_grid(profiles: DataFrame, options: DataFrame, block_rows: int = BLOCK_R
 
 def country_pairs(profiles: DataFrame, options: DataFrame) -> DataFrame:
     """Only the options in a profile's own countries: an equi-join on country."""
-    wanted = profiles.withColumn("country", F.explode("preferred_countries"))
+    wanted = spread(profiles).withColumn("country", F.explode("preferred_countries"))
     return wanted.join(checked_broadcast(options), "country")

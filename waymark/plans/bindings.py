@@ -33,106 +33,59 @@ def _names(spark, sf):
 
 
 def profiles(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").withColumn("names", _names(spark, sf))
-    k = F.col("c_custkey")
-    nation = F.col("c_nationkey")
-
-    def name_at(offset):
-        return F.element_at(F.col("names"), ((nation + offset) % 25).cast("int"))
-
-    scale = S.pick(fixed.GPA_SCALES, k % 5)
-    budget = F.floor(F.greatest(F.col("c_acctbal"), F.lit(0.0)) * F.lit(4.0)).cast("bigint")
-    test = S.pick(fixed.ENGLISH_TESTS, k % 4)
-    wish = F.slice(F.array(name_at(0), name_at(7), name_at(13)), F.lit(1), (F.lit(1) + k % 3).cast("int"))
-    return c.select(
-        k.alias("profile_id"),
-        F.col("c_name").alias("profile_name"),
-        name_at(0).alias("current_country"),
-        S.pick(fixed.MAJORS, k % 17).alias("intended_major"),
-        budget.alias("budget_annual_usd"),
-        F.floor(budget * S.pick([4, 5, 8], k % 3) / F.lit(4)).cast("bigint").alias("max_affordable_annual_usd"),
-        scale.alias("gpa_scale"),
-        F.when(k % 29 == 0, F.lit(None).cast("double"))
-        .when(scale == "4.0", F.lit(2.0) + (k % 21).cast("double") / F.lit(10.0))
-        .when(scale == "5.0", F.lit(3.0) + (k % 21).cast("double") / F.lit(10.0))
-        .when(scale == "IB45", (F.lit(20) + k % 26).cast("double"))
-        .otherwise((F.lit(60) + k % 41).cast("double")).alias("gpa_value"),
-        S.pick(fixed.CLASS_RANKS, k % 6).alias("class_rank"),
-        test.alias("english_test"),
-        F.when((k % 31 == 0) | (test == "none"), F.lit(None).cast("double"))
-        .when(test == "IELTS", F.lit(5.0) + (k % 9).cast("double") / F.lit(2.0))
-        .when(test == "TOEFL", (F.lit(40) + k % 81).cast("double"))
-        .otherwise((F.lit(80) + k % 71).cast("double")).alias("english_score"),
-        (k % 2 == 0).alias("english_planned"),
-        F.when(k % 3 == 0, F.lit(None).cast("int")).otherwise((F.lit(900) + (k * 37) % 701).cast("int")).alias("sat_score"),
-        F.when(k % 4 == 0, S.str_array([])).otherwise(wish).alias("preferred_countries"),
-        (k % 4 == 0).alias("open_to_any_country"),
-        S.pick([*fixed.CITY_SIZES, fixed.NO_PREFERENCE], k % 5).alias("city_size_preference"),
-        S.pick([*fixed.ENVIRONMENTS, fixed.NO_PREFERENCE], k % 4).alias("environment_preference"),
-        S.pick([*fixed.SIZES, fixed.NO_PREFERENCE], (k % 7) % 4).alias("size_preference"),
-        (k % 7 < 2).alias("english_taught_only"),
-        F.when(F.col("c_mktsegment") == "AUTOMOBILE", "full-ride").when(F.col("c_mktsegment") == "BUILDING", "full-tuition")
-        .when(F.col("c_mktsegment") == "MACHINERY", "none").otherwise("partial").alias("aid_need"),
-        F.struct(
-            ((k * 13) % 101).cast("int").alias("research"), ((k * 29) % 101).cast("int").alias("prestige"),
-            ((k * 7) % 101).cast("int").alias("scholarship"), ((k * 11) % 101).cast("int").alias("location"),
-            ((k * 17) % 101).cast("int").alias("campus_life"),
-        ).alias("preferences"),
+    c = table(spark, sf, "customer").withColumnsRenamed({"c_custkey": "k"}).withColumn("names", _names(spark, sf))
+    staged = c.selectExpr(
+        "k", "c_name", "c_mktsegment", "names[c_nationkey] AS n1", "names[(c_nationkey + 7) % 25] AS n2", "names[(c_nationkey + 13) % 25] AS n3",
+        "cast(floor(greatest(c_acctbal, 0D) * 4D) AS bigint) AS budget",
+        f"{S.sql_pick(fixed.GPA_SCALES, 'k % 5')} AS gpa_scale", f"{S.sql_pick(fixed.ENGLISH_TESTS, 'k % 4')} AS english_test",
+    )
+    return staged.selectExpr(
+        "k AS profile_id", "c_name AS profile_name", "n1 AS current_country", f"{S.sql_pick(fixed.MAJORS, 'k % 17')} AS intended_major",
+        "budget AS budget_annual_usd", "(budget * element_at(array(4, 5, 8), cast(k % 3 + 1 AS int))) div 4 AS max_affordable_annual_usd",
+        "gpa_scale",
+        """CASE WHEN k % 29 = 0 THEN NULL WHEN gpa_scale = '4.0' THEN 2D + cast(k % 21 AS double) / 10D WHEN gpa_scale = '5.0' THEN 3D + cast(k % 21 AS double) / 10D
+             WHEN gpa_scale = 'IB45' THEN cast(20 + k % 26 AS double) ELSE cast(60 + k % 41 AS double) END AS gpa_value""",
+        f"{S.sql_pick(fixed.CLASS_RANKS, 'k % 6')} AS class_rank", "english_test",
+        """CASE WHEN k % 31 = 0 OR english_test = 'none' THEN NULL WHEN english_test = 'IELTS' THEN 5D + cast(k % 9 AS double) / 2D
+             WHEN english_test = 'TOEFL' THEN cast(40 + k % 81 AS double) ELSE cast(80 + k % 71 AS double) END AS english_score""",
+        "k % 2 = 0 AS english_planned", "CASE WHEN k % 3 <> 0 THEN cast(900 + (k * 37) % 701 AS int) END AS sat_score",
+        "CASE WHEN k % 4 = 0 THEN cast(array() AS array<string>) ELSE slice(array(n1, n2, n3), 1, cast(1 + k % 3 AS int)) END AS preferred_countries",
+        "k % 4 = 0 AS open_to_any_country",
+        f"{S.sql_pick([*fixed.CITY_SIZES, fixed.NO_PREFERENCE], 'k % 5')} AS city_size_preference",
+        f"{S.sql_pick([*fixed.ENVIRONMENTS, fixed.NO_PREFERENCE], 'k % 4')} AS environment_preference",
+        f"{S.sql_pick([*fixed.SIZES, fixed.NO_PREFERENCE], '(k % 7) % 4')} AS size_preference", "k % 7 < 2 AS english_taught_only",
+        "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'full-ride' WHEN 'BUILDING' THEN 'full-tuition' WHEN 'MACHINERY' THEN 'none' ELSE 'partial' END AS aid_need",
+        """named_struct('research', cast((k * 13) % 101 AS int), 'prestige', cast((k * 29) % 101 AS int), 'scholarship', cast((k * 7) % 101 AS int),
+             'location', cast((k * 11) % 101 AS int), 'campus_life', cast((k * 17) % 101 AS int)) AS preferences""",
     )
 
 
 def options(spark: SparkSession, sf: str) -> DataFrame:
-    s, dim = table(spark, sf, "supplier"), country_dim(spark, sf)
-    k = F.col("s_suppkey")
-    date0 = F.to_date(F.lit("2026-09-01"))
-    date1 = F.to_date(F.lit("2026-08-15"))
-
-    def major_at(i):
-        return S.pick(fixed.MAJORS, (k + 4 * i) % 17)
-
-    def dated(start, days):
-        return F.date_add(start, days.cast("int"))
-
-    return s.join(F.broadcast(dim), s.s_nationkey == dim.nation_key).select(
-        k.alias("option_id"),
-        F.col("s_name").alias("name"),
-        F.concat(F.lit("S"), k.cast("string")).alias("short_name"),
-        "country", "region",
-        F.concat(F.lit("City "), (k % 50).cast("string")).alias("city"),
-        S.pick(fixed.CITY_SIZES, k % 4).alias("city_size"),
-        S.pick(fixed.ENVIRONMENTS, k % 3).alias("environment"),
-        S.pick(fixed.CLIMATES, k % 4).alias("climate"),
-        S.pick(fixed.SIZES, F.floor(k / 2) % 3).alias("size"),
-        F.when(k % 3 == 0, S.str_array(["English"])).when(k % 3 == 1, S.str_array(["German", "English"]))
-        .otherwise(S.str_array(["German"])).alias("languages_of_instruction"),
-        F.when(k % 11 == 0, S.str_array([])).otherwise(F.array(
-            F.concat(F.lit("Programme "), (k % 17).cast("string")), F.concat(F.lit("Programme "), ((k + 3) % 17).cast("string")),
-        )).alias("programs"),
-        F.slice(F.array(*[major_at(i) for i in range(5)]), F.lit(1), (F.lit(3) + k % 3).cast("int")).alias("supported_majors"),
-        (F.lit(1) + k % 5).cast("int").alias("research_intensity"),
-        (F.lit(1) + F.floor(k / 5) % 5).cast("int").alias("prestige_tier"),
-        F.when(k % 23 != 0, (k * 7919) % 60000).alias("tuition"),
-        F.when(k % 19 != 0, (k * 104729) % 25000).alias("living_cost"),
-        S.pick(fixed.CONFIDENCES, k % 3).alias("tuition_confidence"),
-        S.pick(fixed.CONFIDENCES, F.floor(k / 3) % 3).alias("living_confidence"),
-        S.pick(fixed.AVAILABILITIES, k % 5).alias("scholarship_availability"),
-        S.pick(fixed.AID_CERTAINTIES, F.floor(k / 2) % 4).alias("aid_certainty"),
-        F.when(k % 7 == 0, True).when(k % 7 == 1, F.lit(None).cast("boolean")).otherwise(False).alias("full_ride_possible"),
-        F.when(k % 5 == 0, True).when(k % 5 == 1, F.lit(None).cast("boolean")).otherwise(False).alias("full_tuition_possible"),
-        F.when(k % 4 == 0, True).when(k % 4 == 1, False).otherwise(F.lit(None).cast("boolean")).alias("need_based_aid"),
-        F.concat(F.lit("Aid note "), k.cast("string"), F.lit(". Details follow.")).alias("aid_note"),
-        F.when(k % 6 != 0, F.lit(5.5) + (k % 5).cast("double") / F.lit(2.0)).alias("minimum_ielts"),
-        F.when(k % 9 != 0, F.lit(6.0) + (k % 5).cast("double") / F.lit(2.0)).alias("recommended_ielts"),
-        S.pick(fixed.SAT_POLICIES, k % 5).alias("sat_policy"),
-        F.when(k % 4 != 0, (F.lit(1000) + (k % 5) * 50).cast("int")).alias("minimum_sat"),
-        F.when(k % 3 != 0, (F.lit(1200) + (k % 9) * 40).cast("int")).alias("recommended_sat"),
-        (F.lit(70) + k % 26).cast("int").alias("gpa_expectation"),
-        S.pick(fixed.SELECTIVITIES, F.floor(k / 3) % 4).alias("admission_selectivity"),
-        F.concat(F.lit("Selectivity note "), k.cast("string")).alias("selectivity_note"),
-        F.when(k % 13 != 0, dated(date0, (k * 17) % 200)).alias("application_deadline"),
-        F.when(k % 10 != 0, dated(date1, (k * 11) % 150)).alias("scholarship_deadline"),
-        S.pick(["Common App", "Direct", "UCAS"], k % 3).alias("application_platform"),
-        F.concat(F.lit("https://www.uni"), k.cast("string"), F.lit(".edu/")).alias("official_url"),
+    dim = country_dim(spark, sf)
+    s = table(spark, sf, "supplier").withColumnRenamed("s_suppkey", "k")
+    majors = ", ".join(S.sql_pick(fixed.MAJORS, f"(k + {4 * i}) % 17") for i in range(5))
+    return s.join(F.broadcast(dim), s.s_nationkey == dim.nation_key).selectExpr(
+        "k AS option_id", "s_name AS name", "concat('S', k) AS short_name", "country", "region", "concat('City ', k % 50) AS city",
+        f"{S.sql_pick(fixed.CITY_SIZES, 'k % 4')} AS city_size", f"{S.sql_pick(fixed.ENVIRONMENTS, 'k % 3')} AS environment",
+        f"{S.sql_pick(fixed.CLIMATES, 'k % 4')} AS climate", f"{S.sql_pick(fixed.SIZES, '(k div 2) % 3')} AS size",
+        "CASE k % 3 WHEN 0 THEN array('English') WHEN 1 THEN array('German', 'English') ELSE array('German') END AS languages_of_instruction",
+        "CASE WHEN k % 11 = 0 THEN cast(array() AS array<string>) ELSE array(concat('Programme ', k % 17), concat('Programme ', (k + 3) % 17)) END AS programs",
+        f"slice(array({majors}), 1, cast(3 + k % 3 AS int)) AS supported_majors",
+        "cast(1 + k % 5 AS int) AS research_intensity", "cast(1 + (k div 5) % 5 AS int) AS prestige_tier",
+        "CASE WHEN k % 23 <> 0 THEN (k * 7919) % 60000 END AS tuition", "CASE WHEN k % 19 <> 0 THEN (k * 104729) % 25000 END AS living_cost",
+        f"{S.sql_pick(fixed.CONFIDENCES, 'k % 3')} AS tuition_confidence", f"{S.sql_pick(fixed.CONFIDENCES, '(k div 3) % 3')} AS living_confidence",
+        f"{S.sql_pick(fixed.AVAILABILITIES, 'k % 5')} AS scholarship_availability", f"{S.sql_pick(fixed.AID_CERTAINTIES, '(k div 2) % 4')} AS aid_certainty",
+        "CASE k % 7 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS full_ride_possible",
+        "CASE k % 5 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS full_tuition_possible",
+        "CASE k % 4 WHEN 0 THEN true WHEN 1 THEN false END AS need_based_aid", "concat('Aid note ', k, '. Details follow.') AS aid_note",
+        "CASE WHEN k % 6 <> 0 THEN 5.5D + cast(k % 5 AS double) / 2D END AS minimum_ielts",
+        "CASE WHEN k % 9 <> 0 THEN 6D + cast(k % 5 AS double) / 2D END AS recommended_ielts", f"{S.sql_pick(fixed.SAT_POLICIES, 'k % 5')} AS sat_policy",
+        "CASE WHEN k % 4 <> 0 THEN cast(1000 + (k % 5) * 50 AS int) END AS minimum_sat",
+        "CASE WHEN k % 3 <> 0 THEN cast(1200 + (k % 9) * 40 AS int) END AS recommended_sat", "cast(70 + k % 26 AS int) AS gpa_expectation",
+        f"{S.sql_pick(fixed.SELECTIVITIES, '(k div 3) % 4')} AS admission_selectivity", "concat('Selectivity note ', k) AS selectivity_note",
+        "CASE WHEN k % 13 <> 0 THEN date_add(DATE'2026-09-01', cast((k * 17) % 200 AS int)) END AS application_deadline",
+        "CASE WHEN k % 10 <> 0 THEN date_add(DATE'2026-08-15', cast((k * 11) % 150 AS int)) END AS scholarship_deadline",
+        f"{S.sql_pick(['Common App', 'Direct', 'UCAS'], 'k % 3')} AS application_platform", "concat('https://www.uni', k, '.edu/') AS official_url",
     )
 
 

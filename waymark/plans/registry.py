@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from waymark.session import tune
+
 MODULES = ["match_queries", "journey_queries"]
 
 
@@ -14,8 +16,15 @@ def _collect(attribute: str) -> dict:
     return out
 
 
+def _tuned(fn):
+    def run(spark, sf_dir):
+        return fn(tune(spark), sf_dir)
+    run.__name__ = fn.__name__
+    return run
+
+
 def queries() -> dict:
-    return _collect("QUERIES")
+    return {name: _tuned(fn) for name, fn in _collect("QUERIES").items()}
 
 
 def oracles() -> dict:

@@ -16,7 +16,7 @@ def build_session(master: str | None = None, app: str = "waymark", shuffle_parti
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.legacy.parquet.nanosAsLong", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
     )
     if master:
         builder = builder.master(master).config("spark.driver.memory", "20g").config("spark.ui.enabled", "false")
@@ -35,3 +35,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     fallback = os.environ.get("WAYMARK_SCRATCH") or tempfile.mkdtemp(prefix="waymark-")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the jobs rely on, for sessions built elsewhere.
+
+    Generated methods above the JVM's compile limit run interpreted, so wide
+    scoring projections fall back to split methods instead.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.dataFrameQueryContext.enabled", "false")
+    return spark
