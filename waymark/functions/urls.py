@@ -80,13 +80,14 @@ def host_suffixes(host_col: Column) -> Column:
 def non_content_reason(url: Column) -> Column:
     """Why a URL is not a readable page, or null."""
     target = F.lower(F.concat(path(url), query(url)))
-    reason = F.when(~parseable(url), F.lit("unparseable URL")).when(target == "/robots.txt", F.lit(signals.ROBOTS_REASON))
-    for ext in signals.ASSET_SUFFIXES:
-        reason = reason.when(target.endswith(ext), F.lit(f"{ext} is not a readable page"))
     hay = words(target)
-    for mark in signals.INDEX_MARKERS:
-        reason = reason.when(hay.contains(f" {mark} "), F.lit(f'"{mark}" marks a machine-readable index, not a page'))
-    return reason
+    asset = F.get(F.filter(S.str_array(signals.ASSET_SUFFIXES), lambda e: F.endswith(target, e)), F.lit(0))
+    mark = F.get(F.filter(S.str_array(signals.INDEX_MARKERS), lambda m: F.contains(hay, F.concat(F.lit(" "), m, F.lit(" ")))), F.lit(0))
+    return F.coalesce(
+        F.when(~parseable(url), F.lit("unparseable URL")).when(target == "/robots.txt", F.lit(signals.ROBOTS_REASON)),
+        F.concat(asset, F.lit(" is not a readable page")),
+        F.concat(F.lit('"'), mark, F.lit('" marks a machine-readable index, not a page')),
+    )
 
 
 def is_sitemap(url: Column) -> Column:

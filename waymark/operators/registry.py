@@ -65,15 +65,26 @@ def hit(hay: Column, term: str) -> Column:
     return hay.contains(f" {term} ")
 
 
+def padded(terms) -> Column:
+    return S.str_array([f" {t} " for t in terms])
+
+
+def hit_list(hay: Column, terms) -> Column:
+    return F.filter(padded(terms), lambda t: F.contains(hay, t))
+
+
+def weight_of(hits: Column) -> Column:
+    """Longer phrases count more: 1, then 1.5, then 2 at most."""
+    spaces = lambda t: F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) - 2
+    return F.aggregate(hits, F.lit(0.0), lambda acc, t: acc + F.least(F.lit(2.0), F.lit(1.0) + F.lit(0.5) * spaces(t)))
+
+
 def weigh(hay: Column, terms) -> Column:
-    total = F.lit(0.0)
-    for t in terms:
-        total = total + F.when(hit(hay, t), F.lit(phrase_weight(t))).otherwise(F.lit(0.0))
-    return total
+    return weight_of(hit_list(hay, terms))
 
 
 def any_hit(hay: Column, terms) -> Column:
-    return S.any_of([hit(hay, t) for t in terms]) if terms else F.lit(False)
+    return F.exists(padded(terms), lambda t: F.contains(hay, t)) if terms else F.lit(False)
 
 
 def term_hits(docs: DataFrame, terms: dict[str, list[str]], text: str = "text") -> DataFrame:
@@ -98,10 +109,8 @@ def article_hits(segs: Column) -> Column:
 
 
 def canonical_hits(segs: Column, kind: str) -> Column:
-    total = F.lit(0)
-    for t in signals.KIND_SIGNALS[kind]["canonical"]:
-        total = total + F.exists(segs, lambda s, t=t: (s == t) | s.startswith(f"{t} ")).cast("int")
-    return total
+    names = S.str_array(signals.KIND_SIGNALS[kind]["canonical"])
+    return F.size(F.filter(names, lambda t: F.exists(segs, lambda s: (s == t) | F.startswith(s, F.concat(t, F.lit(" "))))))
 
 
 def path_authority(url: Column, segs: Column, kind: str) -> Column:
@@ -167,8 +176,8 @@ def guess_paths(institutions: DataFrame, top: DataFrame) -> DataFrame:
     known = F.array(*[F.struct(F.lit(k).alias("kind"), S.str_array(p).alias("paths")) for k, p in signals.CANDIDATE_PATHS.items()])
     every = institutions.select("institution_id", "root_url", F.inline(known))
     return every.join(strong.select("institution_id", "kind"), ["institution_id", "kind"], "left_anti").select(
-        "institution_id", "kind", F.concat(F.regexp_replace("root_url", "/+$", ""), F.explode("paths")).alias("url"),
-    )
+        "institution_id", "kind", "root_url", F.explode("paths").alias("path"),
+    ).select("institution_id", "kind", F.concat(F.regexp_replace("root_url", "/+$", ""), F.col("path")).alias("url"))
 
 
 def fetch_order(candidates: DataFrame, budget: int = signals.FETCH_BUDGET) -> DataFrame:

@@ -272,7 +272,7 @@ def scan_registry_json(spark, sf):
 def link_inventory(spark, sf):
     o = B.options(spark, sf).select(F.inline(F.array(
         F.struct(F.col("official_url").alias("url"), F.concat(F.col("option_id").cast("string"), F.lit(".officialUrl")).alias("used")),
-        F.struct(F.concat(F.lit("https://aid.example.org/"), (F.col("option_id") % 10).cast("string")), F.concat(F.col("option_id").cast("string"), F.lit(".scholarshipUrl"))),
+        F.struct(F.concat(F.lit("https://aid.example.org/"), (F.col("option_id") % 10).cast("string")).alias("url"), F.concat(F.col("option_id").cast("string"), F.lit(".scholarshipUrl")).alias("used")),
     )))
     return o.groupBy("url").agg(F.array_join(F.sort_array(F.collect_list("used")), ",").alias("fields"), F.count(F.lit(1)).alias("uses"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -37,12 +38,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return fallback
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="waymark-"), "waymark"), "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings the jobs rely on, for sessions built elsewhere.
 
     Generated methods above the JVM's compile limit run interpreted, so wide
     scoring projections fall back to split methods instead.
     """
+    ship_package(spark)
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.dataFrameQueryContext.enabled", "false")
