@@ -44,7 +44,7 @@ def sections_of(html: Column) -> Column:
     """Heading-scoped sections: the text before the first heading, then one per heading."""
     bodies = F.transform(F.split(html, HEADING, -1), text_of)
     heads = F.concat(F.array(F.lit("")), F.transform(F.regexp_extract_all(html, F.lit(HEADING), F.lit(2)), text_of))
-    zipped = F.zip_with(heads, bodies, lambda h, b: F.struct(h.alias("heading"), b.alias("body")))
+    zipped = F.zip_with(heads, bodies, lambda h, b: F.named_struct(F.lit("heading"), h, F.lit("body"), b))
     return F.filter(zipped, lambda s: (s["heading"] != "") | (s["body"] != ""))
 
 

@@ -18,8 +18,8 @@ def spans(text: Column, pattern: str) -> Column:
     """All matches with their zero-based start: the pieces between matches give the offsets."""
     hits, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     total = lambda items: F.aggregate(items, F.lit(0), lambda acc, x: acc + F.length(x))
-    return F.transform(hits, lambda h, i: F.struct(
-        h.alias("hit"), (total(F.slice(parts, F.lit(1), i + 1)) + total(F.slice(hits, F.lit(1), i))).alias("start"), i.alias("n"),
+    return F.transform(hits, lambda h, i: F.named_struct(
+        F.lit("hit"), h, F.lit("start"), total(F.slice(parts, F.lit(1), i + 1)) + total(F.slice(hits, F.lit(1), i)), F.lit("n"), i,
     ))
 
 

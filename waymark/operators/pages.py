@@ -15,7 +15,7 @@ def academic_years(text: Column) -> Column:
     """Distinct consecutive academic years in a text, ascending."""
     pairs = F.zip_with(
         F.regexp_extract_all(text, F.lit(YEAR), F.lit(1)), F.regexp_extract_all(text, F.lit(YEAR), F.lit(2)),
-        lambda a, b: F.struct(a.alias("a"), F.right(b, F.lit(2)).alias("b")),
+        lambda a, b: F.named_struct(F.lit("a"), a, F.lit("b"), F.right(b, F.lit(2))),
     )
     kept = F.filter(pairs, lambda p: (F.right(p["a"], F.lit(2)).cast("int") + 1) % 100 == p["b"].cast("int"))
     return F.array_sort(F.array_distinct(F.transform(kept, lambda p: F.concat(p["a"], F.lit("-"), p["b"]))))

@@ -8,6 +8,7 @@ from waymark import signals
 from waymark.functions import html as H, scalar as S, urls as U
 from waymark.operators import extract as X, pages as G, registry as R
 from waymark.plans import bindings as B, oracle_match as O, page_bindings as V
+from waymark.session import materialize
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -25,12 +26,17 @@ def query(name: str, sql: str | None = None):
 TRUTH = O.with_(V.RENDERED_SQL)
 
 
+def _text(spark, sf):
+    """The content stage, written once."""
+    return materialize(G.with_content(V.rendered(spark, sf)), "content")
+
+
 def _content(spark, sf):
-    return G.with_scope(G.with_content(V.rendered(spark, sf)))
+    return materialize(G.with_scope(_text(spark, sf)), "scoped")
 
 
 def _temporal(spark, sf):
-    return G.with_temporal(_content(spark, sf), B.AS_OF)
+    return materialize(G.with_temporal(_content(spark, sf), B.AS_OF), "dated")
 
 
 def _scored(spark, sf):
@@ -50,7 +56,7 @@ def html_text(spark, sf):
 def main_content(spark, sf):
     m = V.rendered(spark, sf).select("page_id", H.main_content(F.col("html")).alias("m"))
     text = F.col("m.html")
-    return m.select("page_id", F.col("m.used_main").alias("used_main"), text.rlike("99,999|Scholarship links|88,888|January 5").alias("has_chrome"), text.contains("<h2>Costs</h2>").alias("has_costs"))
+    return m.select("page_id", F.col("m.used_main").alias("used_main"), text.rlike("99,999|Scholarship links|88,888|How to apply").alias("has_chrome"), text.contains("<h2>Costs</h2>").alias("has_costs"))
 
 
 @query("page_main_content")
@@ -61,7 +67,7 @@ def page_main_content(spark, sf):
 
 @query("page_structure", TRUTH + "SELECT k AS page_id, title, title || '|Dates|Costs|English|Testing|Aid' AS headings, 6 AS sections, CASE WHEN has_table THEN 1 ELSE 0 END AS tables, CASE WHEN has_table THEN 9 ELSE 0 END AS cells FROM v_r")
 def page_structure(spark, sf):
-    c = G.with_content(V.rendered(spark, sf))
+    c = _text(spark, sf)
     tables = H.tables_of(F.col("main_html"))
     return c.select(
         "page_id", "title", F.array_join("headings", "|").alias("headings"), F.size(H.sections_of(F.col("main_html"))).alias("sections"),
@@ -78,7 +84,7 @@ def applicant_scope(spark, sf):
 @query("academic_year", TRUTH + "SELECT k AS page_id, CASE WHEN has_table THEN '2025-26,2026-27' ELSE prose_year END AS years, has_table AS ambiguous FROM v_r")
 def academic_year(spark, sf):
     years = G.academic_years(F.col("text"))
-    return G.with_content(V.rendered(spark, sf)).select("page_id", F.array_join(years, ",").alias("years"), (F.size(years) > 1).alias("ambiguous"))
+    return _text(spark, sf).select("page_id", F.array_join(years, ",").alias("years"), (F.size(years) > 1).alias("ambiguous"))
 
 
 @query("page_dates", TRUTH + "SELECT k AS page_id, CASE k % 5 WHEN 1 THEN DATE '2026-06-15' WHEN 2 THEN DATE '2025-03-01' WHEN 3 THEN DATE '2023-01-10' END AS updated, CASE WHEN k % 10 = 9 THEN DATE '2019-03-01' END AS published FROM v_r")
@@ -104,7 +110,7 @@ def co_occurrence(spark, sf):
 # ---- kinds and selection --------------------------------------------------
 
 _CANON = " ".join(f"WHEN '{k}' THEN {v}" for k, v in {
-    "admissions": 2, "international_admissions": 4, "tuition": 2, "cost_of_attendance": 2, "financial_aid": 2, "international_financial_aid": 4, "scholarships": 2,
+    "admissions": 2, "international_admissions": 4, "tuition": 2, "cost_of_attendance": 4, "financial_aid": 2, "international_financial_aid": 4, "scholarships": 2,
     "testing_policy": 2, "english_requirements": 2, "deadlines": 2, "programs": 4, "common_data_set": 2}.items())
 _ADJ = "CASE WHEN kind IN ('admissions', 'international_admissions', 'testing_policy', 'english_requirements', 'deadlines', 'programs') THEN CASE WHEN scope IN ('first_year', 'international_first_year') THEN 2 WHEN scope = 'general_undergraduate' THEN 1 WHEN k % 12 IN (1, 5) THEN 1 ELSE 0 END ELSE 0 END"
 
@@ -162,13 +168,13 @@ def run_counters(spark, sf):
 @query("money_tokens", TRUTH + """SELECT k AS page_id, unnest(CASE WHEN has_table THEN [tuition - 1000, tuition, housing - 500, housing, tuition, housing, 75000] ELSE [tuition, housing, 75000] END)::DOUBLE AS value,
  unnest(CASE WHEN has_table THEN ['per-year', 'per-year', 'per-year', 'per-year', 'per-year', 'per-year', 'unqualified'] ELSE ['per-year', 'per-year', 'unqualified'] END) AS unit, 'USD' AS currency FROM v_r""")
 def money_tokens(spark, sf):
-    tokens = X.money_tokens(G.with_content(V.rendered(spark, sf)).select("page_id", "text"), "text")
+    tokens = X.money_tokens(_text(spark, sf).select("page_id", "text"), "text")
     return tokens.select("page_id", F.col("value").cast("double").alias("value"), "unit", "currency")
 
 
 @query("money_exclusions", TRUTH + "SELECT k AS page_id, 75000e0 AS value, 'an income threshold, not a price' AS reason FROM v_r")
 def money_exclusions(spark, sf):
-    tokens = X.money_tokens(G.with_content(V.rendered(spark, sf)).select("page_id", "text"), "text").withColumn("reason", X.not_a_price(F.col("sentence")))
+    tokens = X.money_tokens(_text(spark, sf).select("page_id", "text"), "text").withColumn("reason", X.not_a_price(F.col("sentence")))
     return tokens.where(F.col("reason").isNotNull()).select("page_id", F.col("value").cast("double").alias("value"), "reason")
 
 
@@ -184,7 +190,7 @@ def money_scoped(spark, sf):
 @query("table_header_year", TRUTH + """SELECT k AS page_id, cell, years FROM (SELECT k, unnest(['Tuition per year', '$' || format('{:,}', tuition - 1000), '$' || format('{:,}', tuition), 'Housing per year', '$' || format('{:,}', housing - 500), '$' || format('{:,}', housing)]) AS cell,
  unnest(['', '2025-26', '2026-27', '', '2025-26', '2026-27']) AS years FROM v_r WHERE has_table) t""")
 def table_header_year(spark, sf):
-    cells = X.header_years(X.table_cells(G.with_content(V.rendered(spark, sf))))
+    cells = X.header_years(X.table_cells(_text(spark, sf)))
     return cells.select("page_id", "cell", F.array_join("column_years", ",").alias("years"))
 
 
@@ -193,7 +199,7 @@ _IELTS = "CASE k % 3 WHEN 0 THEN 6 + (k % 5) // 2 + (k % 2) * 0.5e0 WHEN 1 THEN
 
 @query("ielts_toefl", TRUTH + f"SELECT k AS page_id, 'IELTS' AS test, CAST({_IELTS} AS DOUBLE) AS score, ['overall', 'section', 'unqualified'][k % 3 + 1] AS score_kind FROM v_r UNION ALL SELECT k, 'TOEFL', CAST(80 + k % 40 AS DOUBLE), NULL FROM v_r")
 def ielts_toefl(spark, sf):
-    c = G.with_content(V.rendered(spark, sf))
+    c = _text(spark, sf)
     ielts = X.ielts_scores(c).select("page_id", F.lit("IELTS").alias("test"), "score", "score_kind")
     return ielts.unionByName(X.toefl_scores(c).select("page_id", F.lit("TOEFL").alias("test"), "score", F.lit(None).cast("string").alias("score_kind")))
 
@@ -201,12 +207,12 @@ def ielts_toefl(spark, sf):
 @query("testing_policy", TRUTH + "SELECT k AS page_id, ['optional', 'required', 'not-used', NULL][k % 4 + 1] AS policy, k % 4 = 3 AS ambiguous FROM v_r")
 def testing_policy(spark, sf):
     p = X.testing_policy(F.col("text"))
-    return G.with_content(V.rendered(spark, sf)).select("page_id", F.when(F.size(p) == 1, F.get(p, F.lit(0))).alias("policy"), (F.size(p) > 1).alias("ambiguous"))
+    return _text(spark, sf).select("page_id", F.when(F.size(p) == 1, F.get(p, F.lit(0))).alias("policy"), (F.size(p) > 1).alias("ambiguous"))
 
 
 @query("aid_signals", TRUTH + "SELECT k AS page_id, k % 6 = 0 AS meets_full_need, k % 6 = 3 AS full_ride, k % 6 = 1 AS competitive_award, k % 6 IN (0, 1, 3) AS international_eligible, k % 6 = 2 AS international_excluded FROM v_r")
 def aid_signals(spark, sf):
-    return X.aid_signals(G.with_content(V.rendered(spark, sf))).select("page_id", "meets_full_need", "full_ride", "competitive_award", "international_eligible", "international_excluded")
+    return X.aid_signals(_text(spark, sf)).select("page_id", "meets_full_need", "full_ride", "competitive_award", "international_eligible", "international_excluded")
 
 
 _AID = """SELECT k AS page_id, institution_id, f AS field, CASE WHEN k % 6 = 2 THEN CASE WHEN f = 'aidCertainty' THEN 'SUPPORTED' ELSE 'CONTRADICTED' END
@@ -216,12 +222,12 @@ _AID = """SELECT k AS page_id, institution_id, f AS field, CASE WHEN k % 6 = 2 T
 
 @query("aid_flags", TRUTH + f"SELECT page_id, field, state, CASE WHEN state = 'UNKNOWN' THEN NULL WHEN field = 'aidCertainty' THEN CASE page_id % 6 WHEN 2 THEN 'minimal' WHEN 0 THEN 'meets-full-need' ELSE 'competitive' END WHEN state = 'CONTRADICTED' THEN 'false' ELSE 'true' END AS value FROM ({_AID}) a")
 def aid_flags(spark, sf):
-    return X.aid_flags(X.aid_signals(G.with_content(V.rendered(spark, sf)))).select("page_id", "field", "state", "value")
+    return X.aid_flags(X.aid_signals(_text(spark, sf))).select("page_id", "field", "state", "value")
 
 
 @query("deadline_tokens", TRUTH + "SELECT k AS page_id, due AS date, 'application' AS date_kind FROM v_r WHERE kind IN ('deadlines', 'admissions', 'testing_policy', 'tuition')")
 def deadline_tokens(spark, sf):
-    c = G.with_content(V.rendered(spark, sf)).where(F.col("kind").isin("deadlines", "admissions", "testing_policy", "tuition"))
+    c = _text(spark, sf).where(F.col("kind").isin("deadlines", "admissions", "testing_policy", "tuition"))
     return X.deadline_tokens(c).select("page_id", "date", "date_kind")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "waymark", shuffle_partitions: int | None = None) -> SparkSession:
@@ -38,6 +39,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return fallback
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a stage once to the shared folder and read it back.
+
+    A stage feeds several jobs; as a table it is computed once, survives lost
+    executors, and keeps later filters from re-evaluating what built it.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 
