@@ -6,7 +6,7 @@ import importlib
 
 from waymark.session import tune
 
-MODULES = ["match_queries", "journey_queries", "site_queries", "page_queries"]
+MODULES = ["match_queries", "journey_queries", "site_queries", "page_queries", "stream_queries"]
 
 
 def _collect(attribute: str) -> dict:
