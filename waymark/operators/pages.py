@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from waymark import signals
 from waymark.functions import html as H, scalar as S, urls as U
 from waymark.operators import registry as R
+from waymark.session import spread
 
 YEAR = r"\b(20\d{2})\s*[-–/]\s*(\d{2}|20\d{2})\b"
 
@@ -29,7 +30,7 @@ def current_academic_year(as_of: str) -> str:
 
 def with_content(pages: DataFrame) -> DataFrame:
     """The html column is read once and not carried past this step."""
-    main = pages.withColumn("main", H.main_content(F.col("html")))
+    main = spread(pages, "page_id").withColumn("main", H.main_content(F.col("html")))
     return main.withColumns({
         "title": H.title_of(F.col("html")), "main_html": F.col("main.html"), "used_main": F.col("main.used_main"),
         "published": first_date(F.col("html"), F.col("url"), PUBLISHED), "updated": first_date(F.col("html"), F.col("url"), UPDATED),
@@ -119,9 +120,9 @@ def together(a, b, title: Column, sections: Column, text: Column) -> Column:
 
 def kind_scores(temporal: DataFrame, context: str | None = None) -> DataFrame:
     """Every page against the twelve kinds: gates with the first failed reason, content, relevance, authority, acceptance."""
-    base = temporal.withColumns({
+    base = R.with_path(temporal).withColumns({
         "_title": U.words(F.col("title")), "_heads": U.words(F.array_join("headings", " . ")), "_text": U.words(F.col("text")),
-        "_path": U.words(U.path(F.col("url"))), "_segs": U.segments(F.col("url")), "_sections": H.sections_of(F.col("main_html")),
+        "_path": F.col("_hay"), "_sections": H.sections_of(F.col("main_html")),
         "_context": U.words(F.col(context)) if context else F.lit("  "),
     }).withColumns({
         "_corpus": F.concat("_title", "_heads", "_text", "_path"), "_titlepath": F.concat("_title", "_path"),
@@ -156,7 +157,7 @@ def kind_scores(temporal: DataFrame, context: str | None = None) -> DataFrame:
             + negatives * signals.NEGATIVE_WEIGHT
         )
         authority = (
-            R.path_authority(F.col("url"), F.col("_segs"), kind) + F.when(F.col("blog_body"), signals.BLOG_CONTENT).otherwise(0) + temporal_adjust
+            R.path_authority(kind) + F.when(F.col("blog_body"), signals.BLOG_CONTENT).otherwise(0) + temporal_adjust
             + (audience_adjust if sig["audience"] else F.lit(0))
         )
         canonical = (F.col("article_segments") == 0) & (R.canonical_hits(F.col("_segs"), kind) > 0)

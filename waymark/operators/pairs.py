@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from waymark import fixed
 from waymark.functions import scalar as S
+from waymark.session import spread
 
 BLOCK_ROWS = 512
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -114,24 +115,12 @@ OPTION_SCORING = [
 ]
 
 
-def spread(profiles: DataFrame) -> DataFrame:
-    """Hash profiles on their key before they fan out.
-
-    A profile row becomes many pairs, so a few input splits would become a few
-    huge tasks. Spreading the narrow rows first also lets every later window per
-    profile run where its pairs were made: the pairs themselves never shuffle.
-    """
-    spark = profiles.sparkSession
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return profiles.repartition(wanted, "profile_id")
-
-
 def pair_grid(profiles: DataFrame, options: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every profile with every option, as a block equi-join."""
     rows, size = measured_bytes(options)
     blocks, small = max(1, -(-rows // block_rows)), size <= BROADCAST_BYTES
     right = options.withColumn("_block", F.pmod(F.xxhash64("option_id"), F.lit(blocks)).cast("int"))
-    left = spread(profiles).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = spread(profiles, "profile_id").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     if small:
         return left.join(F.broadcast(right), "_block").drop("_block")
     left = left.withColumn("_salt", F.pmod(F.xxhash64("profile_id"), F.lit(SALTS)).cast("int"))
@@ -141,5 +130,5 @@ def pair_grid(profiles: DataFrame, options: DataFrame, block_rows: int = BLOCK_R
 
 def country_pairs(profiles: DataFrame, options: DataFrame) -> DataFrame:
     """Only the options in a profile's own countries: an equi-join on country."""
-    wanted = spread(profiles).withColumn("country", F.explode("preferred_countries"))
+    wanted = spread(profiles, "profile_id").withColumn("country", F.explode("preferred_countries"))
     return wanted.join(checked_broadcast(options), "country")

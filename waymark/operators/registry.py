@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark import signals
 from waymark.functions import scalar as S, urls as U
+from waymark.session import spread
 
 
 def clean_domain(d: Column) -> Column:
@@ -97,10 +98,18 @@ def term_hits(docs: DataFrame, terms: dict[str, list[str]], text: str = "text")
 
 # ---- URL-only scoring -----------------------------------------------------
 
-def path_relevance(url: Column, kind: str) -> Column:
-    hay = U.words(U.path(url))
-    deep = F.size(F.filter(F.split(U.path(url), "/"), lambda s: s != "")) > 5
-    score = weigh(hay, signals.KIND_SIGNALS[kind]["path"]) * F.lit(float(signals.PATH_WEIGHT)) - F.when(deep, 0.5).otherwise(0.0)
+def with_path(urls: DataFrame) -> DataFrame:
+    """Path words, segments, depth, article segments and dated permalinks, once per url."""
+    u = F.col("url")
+    out = urls.withColumn("_p", U.path(u)).withColumns({
+        "_hay": U.words(F.col("_p")), "_segs": U.segments(u), "_dated": F.col("_p").rlike(r"/20\d{2}/"),
+        "_deep": F.size(F.filter(F.split("_p", "/"), lambda s: s != "")) > 5,
+    })
+    return out.withColumn("_bad", article_hits(F.col("_segs"))).drop("_p")
+
+
+def path_relevance(kind: str) -> Column:
+    score = weigh(F.col("_hay"), signals.KIND_SIGNALS[kind]["path"]) * F.lit(float(signals.PATH_WEIGHT)) - F.when(F.col("_deep"), 0.5).otherwise(0.0)
     return F.greatest(F.lit(0.0), score)
 
 
@@ -113,12 +122,11 @@ def canonical_hits(segs: Column, kind: str) -> Column:
     return F.size(F.filter(names, lambda t: F.exists(segs, lambda s: (s == t) | F.startswith(s, F.concat(t, F.lit(" "))))))
 
 
-def path_authority(url: Column, segs: Column, kind: str) -> Column:
-    bad, good = article_hits(segs), canonical_hits(segs, kind)
+def path_authority(kind: str) -> Column:
+    bad, good = F.col("_bad"), canonical_hits(F.col("_segs"), kind)
     bonus = F.when(bad == 0, F.least(F.lit(signals.CANONICAL_CAP), good * signals.CANONICAL_SEGMENT)).otherwise(0)
     penalty = F.when(bad > 0, F.greatest(F.lit(signals.ARTICLE_CAP), F.lit(signals.ARTICLE_FIRST) + (bad - 1) * signals.ARTICLE_EXTRA)).otherwise(0)
-    dated = F.when(U.path(url).rlike(r"/20\d{2}/"), F.lit(signals.DATED_PATH)).otherwise(0)
-    return bonus + penalty + dated
+    return bonus + penalty + F.when(F.col("_dated"), F.lit(signals.DATED_PATH)).otherwise(0)
 
 
 def scope_level(structural: Column, body: Column | None = None) -> Column:
@@ -146,16 +154,13 @@ def audience_of(scope: Column, international: Column) -> Column:
 
 def candidate_scores(urls: DataFrame) -> DataFrame:
     """Every url with each kind's relevance, authority and priority, from the URL alone."""
-    u = F.col("url")
-    base = urls.withColumns({"_segs": U.segments(u), "_path": U.words(U.path(u))})
-    base = base.withColumn("_level", scope_level(F.col("_path")))
-    base = base.withColumn("_scope", scope_of(F.col("_level"), F.col("_path")))
-    base = base.withColumn("audience", audience_of(F.col("_scope"), any_hit(F.col("_path"), signals.INTERNATIONAL_MARKERS)))
+    hay = F.col("_hay")
+    base = with_path(spread(urls, "institution_id", "url")).withColumns({"_level": scope_level(hay), "_intl": any_hit(hay, signals.INTERNATIONAL_MARKERS)})
+    base = base.withColumn("audience", audience_of(F.col("_level"), F.col("_intl")))
     adjust = F.element_at(S.lit_map(signals.AUDIENCE_ADJUST), F.col("audience"))
     rows = F.array(*[
         F.struct(
-            F.lit(i).alias("kind_ordinal"), F.lit(kind).alias("kind"), path_relevance(u, kind).alias("relevance"),
-            path_authority(u, F.col("_segs"), kind).alias("authority"),
+            F.lit(i).alias("kind_ordinal"), F.lit(kind).alias("kind"), path_relevance(kind).alias("relevance"), path_authority(kind).alias("authority"),
             (adjust if signals.KIND_SIGNALS[kind]["audience"] else F.lit(0)).alias("audience_adjust"),
         ) for i, kind in enumerate(signals.KINDS)
     ])

@@ -50,6 +50,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash narrow rows on a key before they fan out or meet CPU-heavy columns.
+
+    A profile becomes many pairs and a page costs milliseconds, so partitions
+    sized by bytes would be a few huge tasks. Later windows on the same key run
+    where the rows already are: what the rows grow into never shuffles.
+    """
+    spark = df.sparkSession
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(wanted, *keys)
+
+
 _SHIPPED: set[str] = set()
 
 
