@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from waymark import fixed
 from waymark.operators import compare as C, diagnostics as D, explain as E, fits, pairs as P, roadmap as R, shortlist as L, whatif as W
 from waymark.plans import bindings as B, oracle_match as O
+from waymark.session import materialize
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -72,7 +73,7 @@ def id_lookup_join(spark, sf):
 
 def _compare_set(spark, sf):
     rows = _rows(spark, sf).where(F.col("rank") <= 4)
-    return C.relative_leads(rows.withColumns({"set_id": F.col("profile_id"), "position": F.col("rank") - 1}))
+    return materialize(C.relative_leads(rows.withColumns({"set_id": F.col("profile_id"), "position": F.col("rank") - 1})), "compared")
 
 
 @query("compare_rows", O.COMPARE_ALL + "SELECT set_id, position, option_id, metric, label, better, display, numeric_value AS numeric, note FROM v_metric")
@@ -118,7 +119,8 @@ def takeaways(spark, sf):
 def _sides(spark, sf):
     options = B.ready_options(spark, sf)
     before, after = B.ready_profiles(spark, sf), B.changed_profiles(spark, sf)
-    return before, after, L.shortlist(before, options), L.shortlist(after, options), options
+    listed = [materialize(L.shortlist(p, options), "listed") for p in (before, after)]
+    return before, after, *listed, options
 
 
 @query("budget_presets", O.with_(O.PROFILE, O.OPTION, f"""
@@ -179,7 +181,7 @@ def whatif_effects(spark, sf):
 
 def _facts(spark, sf):
     profiles, options = B.ready_profiles(spark, sf), B.ready_options(spark, sf)
-    rows = E.enrich(L.shortlist(profiles, options), profiles, options)
+    rows = materialize(E.enrich(L.shortlist(profiles, options), profiles, options), "shortlist")
     return D.profile_facts(profiles, rows, L.verdict_counts(profiles, options)), rows
 
 
