@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waymark.llm import positional
+from waymark.llm import mixture, naming, positional
 from waymark.llm.common import table
 from waymark.session import tune
 
@@ -28,3 +28,27 @@ def op4(spark, sf):
     return judged.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op7_mixture", r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
+w AS (SELECT source, source_size, [5, 2, 1][(r - 1) % 3 + 1] AS weight, 2 * source_size AS most, r FROM s),
+o AS (SELECT *, coalesce(sum(most) OVER (ORDER BY most / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+  sum(weight) OVER (ORDER BY most / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, sum(source_size) OVER () AS total FROM w),
+l AS (SELECT *, (1.5::DOUBLE * total - held) / open AS level FROM o),
+f AS (SELECT level FROM l WHERE weight * level <= most ORDER BY most / weight, r LIMIT 1),
+t AS (SELECT source, source_size, least(weight * f.level, most::DOUBLE) AS target FROM w, f),
+j AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+  CAST('0x' || md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), ''))[1:13] AS BIGINT)::DOUBLE / 4503599627370496 AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + (u < rate - floor(rate))::INT) AS BIGINT) AS taken FROM j""")
+def op7(spark, sf):
+    """Words that the mix takes of every document."""
+    return mixture.taken_words(table(spark, sf, "documents"))
+
+
+@query("op8_block_naming", r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
+g AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM t JOIN g USING (body)""")
+def op8(spark, sf):
+    """Exact groups of whole texts."""
+    return naming.exact_groups(table(spark, sf, "documents"))
