@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waymark.llm import mixture, naming, positional
+from waymark.llm import lines, mixture, naming, perspectives, positional, secrets, warc
 from waymark.llm.common import table
 from waymark.session import tune
 
@@ -52,3 +52,36 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 def op8(spark, sf):
     """Exact groups of whole texts."""
     return naming.exact_groups(table(spark, sf, "documents"))
+
+
+@query("op1_warc_dictionary")
+def op1(spark, sf):
+    """Pages written to archives and read back."""
+    records = warc.read_archives(warc.write_archives(table(spark, sf, "pages")), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+@query("op5_line_deletions")
+def op5(spark, sf):
+    """Lines of documents that repeat an earlier one, or differ from it by one edit."""
+    return lines.dropped_lines(table(spark, sf, "documents"))
+
+
+@query("op9_perspectives", r"""WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+j AS (SELECT t.*, speaker, CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user' END AS as_role FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+h AS (SELECT *, '<|im_start|>' || as_role || CASE WHEN as_role = 'user' THEN ' name=' || role ELSE '' END || chr(10) AS head FROM j),
+g AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h),
+e AS (SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS LAST, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end" FROM g)
+SELECT conv_id, speaker, turn, as_role, segment, "end" - length(segment) AS begin, "end", CASE WHEN as_role = 'assistant' THEN "end" - length(segment) + length(head) END AS mask_begin,
+  CASE WHEN as_role = 'assistant' THEN "end" - 1 END AS mask_end FROM e""")
+def op9(spark, sf):
+    """Every dialogue from each speaker's side."""
+    return perspectives.rotate(table(spark, sf, "conversations"))
+
+
+@query("op10_token_efficiency")
+def op10(spark, sf):
+    """Spans of secrets: the stated kinds, and random strings."""
+    found = secrets.scan(spark, table(spark, sf, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
