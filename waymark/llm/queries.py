@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waymark.llm import lines, mixture, naming, perspectives, positional, secrets, warc
+from waymark.llm import jaccard, lines, mixture, naming, perspectives, positional, secrets, warc
 from waymark.llm.common import table
 from waymark.session import tune
 
@@ -85,3 +85,9 @@ def op10(spark, sf):
     """Spans of secrets: the stated kinds, and random strings."""
     found = secrets.scan(spark, table(spark, sf, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op6_vertical_partitions")
+def op6(spark, sf):
+    """Groups of documents that share four fifths of their five-word shingles."""
+    return jaccard.similar_groups(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
