@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waymark.llm import jaccard, lines, mixture, naming, perspectives, positional, secrets, warc
+from waymark.llm import crf, jaccard, lines, mixture, naming, perspectives, positional, reshard, secrets, warc
 from waymark.llm.common import table
 from waymark.session import tune
 
@@ -91,3 +91,23 @@ def op10(spark, sf):
 def op6(spark, sf):
     """Groups of documents that share four fifths of their five-word shingles."""
     return jaccard.similar_groups(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OLD_SHARDS, NEW_SHARDS = 12, 16
+
+
+@query("op3_min_cost_reshard")
+def op3(spark, sf):
+    """Documents moved from shards by source to sixteen of near equal bytes."""
+    docs = table(spark, sf, "documents")
+    by_source = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(OLD_SHARDS))
+    sharded = reshard.reshard(docs, by_source, OLD_SHARDS, NEW_SHARDS)
+    text = F.coalesce("text", F.lit(""))
+    return sharded.select("doc_id", reshard.size_of("text").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "moved")
+
+
+@query("op2_crf_language")
+def op2(spark, sf):
+    """Languages of whole documents, learned from the rows that are not held out."""
+    docs = table(spark, sf, "documents")
+    return crf.predict(docs, crf.learn(docs)).select("doc_id", crf.held_out().alias("held_out"), "lang_pred", "score")
