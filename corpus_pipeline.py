@@ -1,22 +1,56 @@
-"""The corpus pipeline: documents through language ID, near-duplicate removal, decontamination, mixing and sharding."""
+"""The corpus pipeline: documents through language ID, near-duplicate removal, decontamination, mixing and sharding.
+
+Each stage works on all rows that its predecessor kept. All but the last return
+the columns of documents; the last adds shard, slot and moved.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waymark.llm import positional
+from waymark.llm import crf, jaccard, mixture, positional, reshard
 from waymark.llm.common import stage, table
 from waymark.session import tune
 
+OLD_SHARDS, NEW_SHARDS = 12, 16
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; rejected are texts without letters, and those of which no language has three tenths."""
+    tune(spark)
+    return crf.keep_identified(docs, crf.learn(docs))
+
+
+def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares four fifths of its five-word shingles, the one with the smallest id."""
+    tune(spark)
+    return jaccard.keep_one(docs)
+
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth stands in benchmark windows."""
     return positional.drop_contaminated(docs, table(tune(spark), sf_dir, "benchmark"))
 
 
-STAGES = [("benchmark decontamination", decontaminate)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    tune(spark)
+    return mixture.mix(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in sixteen shards of near equal bytes, moved from shards by source."""
+    tune(spark)
+    by_source = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(OLD_SHARDS))
+    return reshard.reshard(docs, by_source, OLD_SHARDS, NEW_SHARDS)
+
+
+STAGES = [
+    ("language ID", identify), ("n-gram Jaccard join", join_near), ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix), ("sharding", shard),
+]
 
-#: A learned labeller takes part, which SQL can't express.
+#: A learned labeller takes part, which SQL can't express; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
