@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from waymark import signals
 from waymark.functions import html as H, urls as U
 from waymark.operators import evidence as E, extract as X, pages as G, registry as R
-from waymark.streaming import freshness as FR
 
 PAD = "Our office answers questions by letter and keeps a record of every answer. " * 4
 
@@ -129,16 +128,6 @@ def test_every_kind_has_signals():
     assert list(signals.KIND_SIGNALS) == signals.KINDS and len(signals.KINDS) == 12
 
 
-def test_stream_equals_batch(spark, sf):
-    from waymark.plans import registry
-    from waymark.plans.stream_queries import _snapshots
-
-    streamed = registry.queries()["stream_freshness"](spark, sf)
-    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    batch = FR.change_batch(_snapshots(events)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
-
-
 def test_url_normalisation(spark):
     got = spark.sql("select 'HTTPS://A.Edu/x/?q=1#f' as u").select(U.normalize(F.col("u"))).first()[0]
     assert got == "https://a.edu/x?q=1"

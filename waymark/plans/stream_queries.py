@@ -27,15 +27,16 @@ def stream_progress(spark, sf):
     toggles = PR.toggle_stream(spark, f"{sf}/events*.parquet").where(F.col("event_type") == "click").select(
         "event_id", "ts", F.col("user_id").alias("profile_id"), S.pick(B.TASK_IDS, k % 12).alias("task_id"),
     )
-    return PR.latest(PR.run_to_table(PR.completion(toggles), "progress"))
+    return PR.latest(PR.run_to_table(toggles, "progress"))
 
 
 def _snapshots(events):
     return events.select(F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".edu/")).alias("url"), "ts", F.sha2(F.floor(F.col("value") / 20).cast("string"), 256).alias("content_hash"))
 
 
-@query("stream_freshness", """WITH s AS (SELECT user_id, ts, CAST(floor(value / 20) AS BIGINT) AS v FROM events), l AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM s)
+@query("stream_freshness", """WITH s AS (SELECT user_id, ts, CAST(floor(value / 20) AS BIGINT) AS v FROM events), l AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY ts, sha256(CAST(v AS VARCHAR))) AS b FROM s)
 SELECT 'https://u' || user_id || '.edu/' AS url, ts, sha256(CAST(b AS VARCHAR)) AS before_hash, sha256(CAST(v AS VARCHAR)) AS after_hash FROM l WHERE b <> v""")
 def stream_freshness(spark, sf):
     stream = _snapshots(PR.toggle_stream(spark, f"{sf}/events*.parquet"))
-    return FR.run_to_table(FR.change_stream(stream), "freshness").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    found = FR.latest_changes(FR.run_to_table(FR.change_stream(stream), "freshness"))
+    return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -8,36 +8,35 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waymark.session import checkpoint_dir
 
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
-def toggle_stream(spark: SparkSession, path: str) -> DataFrame:
-    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
+def toggle_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(EVENTS)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
-def completion(toggles: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """A task is done after an odd number of distinct toggles, so arrival order does not matter.
-
-    ``toggles`` has event_id, ts, profile_id, task_id; a replayed event id is dropped.
-    """
-    once = toggles.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
-    return once.groupBy("profile_id", "task_id").agg(F.count(F.lit(1)).alias("toggles"))
 
+def run_to_table(toggles: DataFrame, name: str) -> DataFrame:
+    """Drain the available input; each batch appends its toggles (event_id, profile_id, task_id).
 
-def run_to_table(counts: DataFrame, name: str) -> DataFrame:
-    """Drain the available input; each batch appends its changed counts, a reader keeps the newest per key."""
-    spark = counts.sparkSession
+    The stream keeps no state: a replayed event, in whatever batch, is told by
+    its id when the table is read, so no event is ever too late to count.
+    """
+    spark = toggles.sparkSession
     base = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    once = toggles.select("event_id", "profile_id", "task_id")
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{base}/out")
+        batch.distinct().write.mode("append").parquet(f"{base}/out")
 
-    stream = (
-        counts.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    )
+    stream = once.writeStream.foreachBatch(append).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.schema(once.schema).parquet(f"{base}/out")
 
 
 def latest(out: DataFrame) -> DataFrame:
-    newest = out.groupBy("profile_id", "task_id").agg(F.max_by("toggles", F.struct("batch_id", "toggles")).alias("toggles"))
-    return newest.select("profile_id", "task_id", (F.col("toggles") % 2 == 1).alias("done"))
+    """A task is done after an odd number of distinct toggles, so arrival order does not matter."""
+    once = out.dropDuplicates(["event_id"])
+    return once.groupBy("profile_id", "task_id").agg((F.count(F.lit(1)) % 2 == 1).alias("done"))
