@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.llm.common import _INVERSE, _ODD, _powers, mix, stage
 
@@ -87,7 +87,9 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     halves = [F.col("halves")[i]["key"].alias(f"h{i}") for i in range(4)]
     narrow = keyed.select(place.alias("place"), "low", "high", "n", _halves().alias("halves")).select("place", "low", "high", "n", *halves)
     distinct = narrow.groupBy("low", "high").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("n", "h0", "h1", "h2", "h3")])
-    distinct = stage(distinct.withColumn("line", F.monotonically_increasing_id()), "lines")
+    # numbered in order of place, so that the smaller number is the earlier line
+    distinct = distinct.repartitionByRange("place").sortWithinPartitions("place").withColumn("line", F.monotonically_increasing_id())
+    distinct = stage(distinct, "lines")
 
     half = F.explode(F.array(*[F.struct(F.col(f"h{i}").alias("key"), F.lit(i < 2).alias("own")) for i in range(4)])).alias("h")
     halves = distinct.select("line", half).select("line", "h.key", "h.own")
@@ -97,17 +99,17 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     texts = keyed.select(place.alias("at"), "low", "high", F.col("line").alias("text")).join(able, ["low", "high"]).where(F.col("at").eqNullSafe(F.col("place")))
     texts = stage(texts.select("line", "place", "text").dropDuplicates(["line"]), "line-texts")
 
-    variants = stage(texts.select("line", "text").mapInArrow(_variants, VARIANTS).join(texts.select("line", "place").withColumnRenamed("place", "at"), "line"), "variants")
-    earliest = F.min(F.struct("at", "line")).alias("first")
-    same = variants.where("place >= 0").groupBy("key", "place").agg(earliest, F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "place", "first")
-    swapped = variants.join(same, ["key", "place"]).where(F.col("first.line") != F.col("line")).select("line", F.col("first.line").alias("other"))
-    whole = variants.where("place = -1").select("key", F.col("line").alias("whole"), F.col("at").alias("whole_at"))
-    longer = variants.where("place >= 0").join(whole, "key")
-    after = longer.where(F.col("at") > F.col("whole_at")).select("line", F.col("whole").alias("other"))
-    prior = longer.where(F.col("at") < F.col("whole_at")).groupBy("whole").agg(F.min(F.struct("at", "line")).alias("first")).select(F.col("whole").alias("line"), F.col("first.line").alias("other"))
-    pairs = swapped.unionByName(after).unionByName(prior).distinct()
-    own, other = texts.select("line", "text"), texts.select(F.col("line").alias("other"), F.col("text").alias("other_text"), F.col("place").alias("keep"))
-    near = pairs.join(own, "line").join(other, "other").where(F.levenshtein("text", "other_text", 1) == 1).groupBy("line").agg(F.min("keep").alias("near"))
+    # lines of one key differ by one character, so a key's rows are bounded by the alphabet and the line's length
+    whole, variant = F.col("place") < 0, F.col("place") >= 0
+    by_key, by_place = Window.partitionBy("key"), Window.partitionBy("key", "place")
+    met = texts.select("line", "text").mapInArrow(_variants, VARIANTS).select(
+        "line", "place", F.min(F.when(whole, F.col("line"))).over(by_key).alias("shorter"), F.min(F.when(variant, F.col("line"))).over(by_key).alias("longer"),
+        F.min("line").over(by_place).alias("swapped"),
+    )
+    others = F.when(whole, F.array("longer")).otherwise(F.array("shorter", "swapped"))
+    pairs = met.select("line", F.explode(others).alias("other")).where("other < line").distinct()
+    own, other = texts.select("line", "text", "place"), texts.select(F.col("line").alias("other"), F.col("text").alias("other_text"), F.col("place").alias("keep"))
+    near = pairs.join(own, "line").join(other, "other").where((F.col("keep") < F.col("place")) & (F.levenshtein("text", "other_text", 1) == 1)).groupBy("line").agg(F.min("keep").alias("near"))
 
     kept = distinct.select("low", "high", "place", "line").join(near, "line", "left").drop("line")
     all_lines = keyed.select(place.alias("at"), "low", "high").join(kept, ["low", "high"])
