@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waymark.session import checkpoint_dir
@@ -39,14 +40,15 @@ def unpack(packed: str, added: dict[str, Column], columns: list[str]) -> list[Co
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_ODD, -1, 1 << 64)
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 
 
 def byte_class(excluded: list[tuple[int, int]]) -> np.ndarray:
-    """True for the bytes of a word: all but the excluded inclusive ranges."""
+    """True for the bytes of a word once A-Z are a-z: all but the excluded inclusive ranges."""
     table_ = np.ones(256, dtype=bool)
     for low, high in excluded:
         table_[low:high + 1] = False
+    table_[ord("A"):ord("Z") + 1] = table_[ord("a"):ord("z") + 1]
     return table_
 
 
@@ -142,13 +144,11 @@ def one_list(values: np.ndarray, type_: pa.DataType) -> pa.Array:
 def text_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[tuple[pa.Table, list[bytes]]]:
     """Rows in runs of about most_bytes of text, with the texts in UTF-8; null counts as empty."""
     for batch in batches:
-        at = batch.schema.get_field_index(column)
-        texts = [b"" if t is None else t for t in batch.column(at).cast(pa.binary()).to_pylist()]
+        column_ = batch.column(batch.schema.get_field_index(column))
+        sizes = np.array(pc.fill_null(pc.binary_length(column_), 0), dtype=np.int64)
         begin, size = 0, 0
-        for i, t in enumerate(texts):
-            if i > begin and size + len(t) > most_bytes:
-                yield pa.Table.from_batches([batch.slice(begin, i - begin)]), texts[begin:i]
+        for i, n in enumerate([*sizes.tolist(), most_bytes + 1]):
+            if i > begin and size + n > most_bytes:
+                yield pa.Table.from_batches([batch.slice(begin, i - begin)]), [b"" if t is None else t for t in column_.slice(begin, i - begin).cast(pa.binary()).to_pylist()]
                 begin, size = i, 0
-            size += len(t)
-        if begin < len(texts):
-            yield pa.Table.from_batches([batch.slice(begin)]), texts[begin:]
+            size += n
