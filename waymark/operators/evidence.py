@@ -177,12 +177,19 @@ def evidence_coverage(records: DataFrame, values: DataFrame) -> DataFrame:
     )
 
 
+#: Offending ids that a report shows.
+SAMPLE_IDS = 5
+
+
 def expectations(options: DataFrame, rules: dict[str, Column], id_col: str = "option_id") -> DataFrame:
-    """Violations per rule in one pass over the rows, with the first few offending ids."""
+    """Violations per rule in one pass over the rows, with the first few offending ids. Each task keeps no more than those."""
     broken = F.array(*[F.struct(F.lit(name).alias("rule"), (~F.coalesce(rule, F.lit(True))).alias("broken")) for name, rule in rules.items()])
-    return options.select(F.col(id_col).alias("_id"), F.inline(broken)).groupBy("rule").agg(
-        F.count(F.when(F.col("broken"), 1)).alias("violations"), F.min(F.when(F.col("broken"), F.col("_id"))).alias("first_id"),
-    )
+    judged = options.select(F.col(id_col).alias("_id"), F.inline(broken))
+    first = Window.partitionBy("rule").orderBy("_id")
+    few = judged.where("broken").select("rule", "_id", F.row_number().over(first).alias("n")).where(F.col("n") <= SAMPLE_IDS)
+    ids = few.groupBy("rule").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_id")), lambda i: i.cast("string")), ",").alias("sample_ids"))
+    counts = judged.groupBy("rule").agg(F.count(F.when(F.col("broken"), 1)).alias("violations"), F.min(F.when(F.col("broken"), F.col("_id"))).alias("first_id"))
+    return counts.join(ids, "rule", "left")
 
 
 def duplicate_keys(options: DataFrame, columns) -> DataFrame:
@@ -190,6 +197,6 @@ def duplicate_keys(options: DataFrame, columns) -> DataFrame:
     out = None
     for c in columns:
         part = options.groupBy(F.trim(F.lower(F.col(c).cast("string"))).alias("key")).count().where(F.col("count") > 1).groupBy().agg(
-            F.lit(f"unique_{c}").alias("rule"), F.count(F.lit(1)).alias("violations"), F.lit(None).cast("bigint").alias("first_id"))
+            F.lit(f"unique_{c}").alias("rule"), F.count(F.lit(1)).alias("violations"), F.lit(None).cast("bigint").alias("first_id"), F.lit(None).cast("string").alias("sample_ids"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -185,6 +185,10 @@ def guess_paths(institutions: DataFrame, top: DataFrame) -> DataFrame:
     ).select("institution_id", "kind", F.concat(F.regexp_replace("root_url", "/+$", ""), F.col("path")).alias("url"))
 
 
+#: What a site publishes is fetched before what its URLs are guessed to be.
+DISCOVERED, GUESSED = 0, 1
+
+
 def fetch_order(candidates: DataFrame, budget: int = signals.FETCH_BUDGET) -> DataFrame:
     """One row per url: best priority, best tier, kinds united; published before guessed; within budget."""
     merged = candidates.groupBy("institution_id", "url").agg(

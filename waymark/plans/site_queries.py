@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Window, functions as F
 
@@ -10,7 +9,7 @@ from waymark import signals
 from waymark.functions import scalar as S, urls as U
 from waymark.operators import evidence as E, registry as R, sanitize as Z
 from waymark.plans import bindings as B, oracle_match as O, site_bindings as V
-from waymark.session import checkpoint_dir
+from waymark.session import run_folder
 from waymark.sources import files as SRC
 
 QUERIES: dict = {}
@@ -144,17 +143,24 @@ def _canon(kind: str) -> str:
     return f"len(list_filter({O.lst(signals.KIND_SIGNALS[kind]['canonical'])}, lambda c: len(list_filter(segs, lambda s: s = c OR starts_with(s, c || ' '))) > 0))"
 
 
-def _candidate_rows() -> str:
+def _candidate_rows(of: str = "v_aud", more: str = "") -> str:
     return " UNION ALL ".join(
-        f"""SELECT institution_id, url, url_id, '{k}' AS kind, greatest(0e0, {_w('hay', sig['path'])} - CASE WHEN depth > 5 THEN 0.5e0 ELSE 0e0 END) AS relevance,
+        f"""SELECT institution_id, url, url_id{more}, '{k}' AS kind, greatest(0e0, {_w('hay', sig['path'])} - CASE WHEN depth > 5 THEN 0.5e0 ELSE 0e0 END) AS relevance,
  CAST(CASE WHEN bad = 0 THEN least(4, {_canon(k)} * 2) ELSE greatest(-6, -4 - (bad - 1)) END + CASE WHEN regexp_matches(path, '/20[0-9][0-9]/') THEN -2 ELSE 0 END AS INTEGER) AS authority,
- {O.case_map('audience', signals.AUDIENCE_ADJUST) if sig['audience'] else '0'} AS adj, audience FROM v_aud""" for k, sig in signals.KIND_SIGNALS.items())
+ {O.case_map('audience', signals.AUDIENCE_ADJUST) if sig['audience'] else '0'} AS adj, audience FROM {of}""" for k, sig in signals.KIND_SIGNALS.items())
 
 
 CANDIDATE_SQL = f"""
 v_lev AS (SELECT *, {_LEVEL} AS lev, {_any('hay', signals.INTERNATIONAL_MARKERS)} AS intl, {_ARTICLE} AS bad FROM v_part),
 v_aud AS (SELECT *, CASE WHEN lev = 'first_year' THEN 'first_year' WHEN lev = 'general_undergraduate' THEN 'all_undergraduate' WHEN lev <> 'unknown' THEN lev WHEN intl THEN 'international' ELSE 'unknown' END AS audience FROM v_lev),
 v_cand0 AS ({_candidate_rows()}), v_cand AS (SELECT *, relevance + authority + adj AS priority FROM v_cand0)"""
+GUESSED_SQL = f"""
+v_gpath AS (SELECT institution_id, url, kind AS own_kind, regexp_extract(url, '^https://[^/]*([^?#]*)', 1) AS path FROM v_guess),
+v_gpart AS (SELECT *, ' ' || trim(regexp_replace(lower(path), '[^a-z0-9]+', ' ', 'g')) || ' ' AS hay, len(list_filter(string_split(path, '/'), lambda s: s <> '')) AS depth,
+  list_filter(list_transform(string_split(path, '/'), lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS segs FROM v_gpath),
+v_glev AS (SELECT *, {_LEVEL} AS lev, {_any('hay', signals.INTERNATIONAL_MARKERS)} AS intl, {_ARTICLE} AS bad, 0 AS url_id FROM v_gpart),
+v_gaud AS (SELECT *, CASE WHEN lev = 'first_year' THEN 'first_year' WHEN lev = 'general_undergraduate' THEN 'all_undergraduate' WHEN lev <> 'unknown' THEN lev WHEN intl THEN 'international' ELSE 'unknown' END AS audience FROM v_glev),
+v_gcand AS (SELECT institution_id, url, kind, relevance + authority + adj AS priority FROM ({_candidate_rows('v_gaud', ', own_kind')}) g WHERE kind = own_kind)"""
 CANDS = O.with_(V.INSTITUTION_SQL, V.URL_SQL, CANDIDATE_SQL)
 
 
@@ -167,14 +173,14 @@ def path_relevance(spark, sf):
     return _scored(spark, sf).where(F.col("relevance") > 0).select("url_id", "kind", "relevance")
 
 
-@query("path_authority", CANDS + "SELECT url_id, kind, authority FROM v_cand WHERE authority <> 0")
+@query("path_authority", CANDS + "SELECT url_id, kind, authority FROM v_cand")
 def path_authority(spark, sf):
-    return _scored(spark, sf).where(F.col("authority") != 0).select("url_id", "kind", F.col("authority").cast("int").alias("authority"))
+    return _scored(spark, sf).select("url_id", "kind", F.col("authority").cast("int").alias("authority"))
 
 
-@query("candidate_priority", CANDS + "SELECT url_id, kind, audience, priority FROM v_cand WHERE priority <> 0")
+@query("candidate_priority", CANDS + "SELECT url_id, kind, audience, priority FROM v_cand")
 def candidate_priority(spark, sf):
-    return _scored(spark, sf).where(F.col("priority") != 0).select("url_id", "kind", "audience", F.col("priority").cast("double").alias("priority"))
+    return _scored(spark, sf).select("url_id", "kind", "audience", F.col("priority").cast("double").alias("priority"))
 
 
 _UNIQ = "v_uniq AS (SELECT institution_id, url, kind, any_value(relevance) AS relevance, any_value(priority) AS priority FROM v_cand GROUP BY ALL HAVING any_value(relevance) > 0), v_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY institution_id, kind ORDER BY priority DESC, length(url), url) AS kind_rank FROM v_uniq) x WHERE kind_rank <= 4)"
@@ -198,11 +204,18 @@ def guess_paths(spark, sf):
     return R.guess_paths(V.institutions(spark, sf), _top(spark, sf))
 
 
-@query("fetch_order", CANDS + ", " + _UNIQ + """, v_m AS (SELECT institution_id, url, max(priority) AS priority, string_agg(kind, ',' ORDER BY kind) AS kinds FROM v_top GROUP BY ALL)
-SELECT institution_id, url, CAST(priority AS DOUBLE) AS priority, kinds, CAST(n AS INTEGER) AS fetch_rank FROM (SELECT *, row_number() OVER (PARTITION BY institution_id ORDER BY priority DESC, url) AS n FROM v_m) x WHERE n <= 45""")
+_GUESS_SQL = O.with_(V.INSTITUTION_SQL, V.URL_SQL, CANDIDATE_SQL, _UNIQ, _GUESS, GUESSED_SQL, """v_both AS (SELECT institution_id, url, kind, priority, 0 AS tier FROM v_top UNION ALL SELECT institution_id, url, kind, priority, 1 FROM v_gcand),
+v_m AS (SELECT institution_id, url, max(priority) AS priority, min(tier) AS tier, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM v_both GROUP BY ALL)""")
+
+
+@query("fetch_order", _GUESS_SQL + "SELECT institution_id, url, tier, CAST(priority AS DOUBLE) AS priority, kinds, CAST(n AS INTEGER) AS fetch_rank FROM (SELECT *, row_number() OVER (PARTITION BY institution_id ORDER BY tier, priority DESC, url) AS n FROM v_m) x WHERE n <= 45")
 def fetch_order(spark, sf):
-    out = R.fetch_order(_top(spark, sf).withColumn("tier", F.lit(0)))
-    return out.select("institution_id", "url", F.col("priority").cast("double").alias("priority"), F.array_join("kinds", ",").alias("kinds"), "fetch_rank")
+    top = _top(spark, sf).withColumn("tier", F.lit(R.DISCOVERED))
+    guessed = R.guess_paths(V.institutions(spark, sf), top)
+    scored = R.candidate_scores(guessed.select("institution_id", "url").distinct()).join(guessed, ["institution_id", "url", "kind"], "left_semi").withColumn("tier", F.lit(R.GUESSED))
+    columns = ["institution_id", "url", "kind", "priority", "tier"]
+    out = R.fetch_order(top.select(*columns).unionByName(scored.select(*columns)))
+    return out.select("institution_id", "url", "tier", F.col("priority").cast("double").alias("priority"), F.array_join("kinds", ",").alias("kinds"), "fetch_rank")
 
 
 @query("term_hits", "WITH h AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS hay FROM documents) " + " UNION ALL ".join(
@@ -262,19 +275,20 @@ def registry_merge(spark, sf):
 @query("scan_registry_json", "SELECT 'u' || s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'uni' || s_suppkey || '.edu' ELSE 'legacy' || s_suppkey || '.edu' END AS allowed FROM supplier")
 def scan_registry_json(spark, sf):
     lines = B.table(spark, sf, "supplier").selectExpr("""concat('{"version":1,"universities":[{"id":"u', s_suppkey, '",', CASE WHEN s_suppkey % 2 = 0 THEN concat('"officialDomains":["UNI', s_suppkey, '.edu"]') ELSE concat('"allowedDomains":["legacy', s_suppkey, '.edu"]') END, ',"pages":{"tuition":null}}]}') AS value""")
-    path = f"{checkpoint_dir(spark)}/registry-{uuid.uuid4().hex}"
+    path = run_folder(spark, "registry")
     lines.write.text(path)
     entries = spark.read.schema(SRC.REGISTRY_SCHEMA).json(path).select(F.inline("universities"))
     return SRC.normalize_entries(entries).select("id", F.array_join("allowedDomains", ",").alias("allowed"))
 
 
-@query("link_inventory", O.with_(O.PROFILE, O.OPTION) + "SELECT url, string_agg(used, ',' ORDER BY used) AS fields, count(*) AS uses FROM (SELECT official_url AS url, option_id || '.officialUrl' AS used FROM v_option UNION ALL SELECT 'https://aid.example.org/' || (option_id % 10), option_id || '.scholarshipUrl' FROM v_option) t GROUP BY url")
+@query("link_inventory", O.with_(O.PROFILE, O.OPTION) + "SELECT url, used, count(*) OVER (PARTITION BY url) AS uses FROM (SELECT official_url AS url, option_id || '.officialUrl' AS used FROM v_option UNION ALL SELECT 'https://aid.example.org/' || (option_id % 10), option_id || '.scholarshipUrl' FROM v_option) t")
 def link_inventory(spark, sf):
+    """Every use of a link, with how often its URL is used; a URL that many share stays rows."""
     o = B.options(spark, sf).select(F.inline(F.array(
         F.struct(F.col("official_url").alias("url"), F.concat(F.col("option_id").cast("string"), F.lit(".officialUrl")).alias("used")),
         F.struct(F.concat(F.lit("https://aid.example.org/"), (F.col("option_id") % 10).cast("string")).alias("url"), F.concat(F.col("option_id").cast("string"), F.lit(".scholarshipUrl")).alias("used")),
     )))
-    return o.groupBy("url").agg(F.array_join(F.sort_array(F.collect_list("used")), ",").alias("fields"), F.count(F.lit(1)).alias("uses"))
+    return o.join(o.groupBy("url").agg(F.count(F.lit(1)).alias("uses")), "url")
 
 
 @query("host_relatedness_join", """SELECT k, host, host_kind = 0 AND k >= 0 AS related FROM (SELECT s_suppkey AS k, unnest(['www.mit.edu', 'apply.mitsubishi.edu', 'mit.com', 'x.ac.uk']) AS host, unnest([0, 1, 2, 3]) AS host_kind FROM supplier) t""")
@@ -377,7 +391,7 @@ def approve(spark, sf):
 
 @query("approved_history", APPROVED + " SELECT record_id, field, value AS approved_value FROM v_app WHERE reason IS NULL")
 def approved_history(spark, sf):
-    base = f"{checkpoint_dir(spark)}/stages-{uuid.uuid4().hex}"
+    base = run_folder(spark, "stages")
     events = _approval_events(spark, sf)
     path = SRC.append_approved(events, base, confirm=True)
     return E.latest_approved(spark.read.parquet(path))
@@ -385,8 +399,8 @@ def approved_history(spark, sf):
 
 @query("stage_layout", PROP + f"SELECT stage, count(*) AS n FROM (SELECT 'raw' AS stage FROM pages UNION ALL SELECT 'extracted' FROM v_prop) t GROUP BY stage")
 def stage_layout(spark, sf):
-    base = f"{checkpoint_dir(spark)}/stages-{uuid.uuid4().hex}"
-    raw = SRC.write_stage(B.table(spark, sf, "pages").select("page_id", "url"), base, "raw")
+    base = run_folder(spark, "stages")
+    raw = SRC.write_stage(B.table(spark, sf, "pages").select("page_id", "url", "html"), base, "raw")
     extracted = SRC.write_stage(V.proposals(spark, sf).select("record_id", "field"), base, "extracted")
     one = spark.read.parquet(raw).select(F.lit("raw").alias("stage"))
     return one.unionByName(spark.read.parquet(extracted).select(F.lit("extracted").alias("stage"))).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
@@ -436,7 +450,7 @@ def freshness_report(spark, sf):
 
 @query("report_sink", ORACLES["freshness_report"])
 def report_sink(spark, sf):
-    path = f"{checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    path = run_folder(spark, "report")
     SRC.write_report(freshness_report(spark, sf), path)
     return spark.read.schema("freshness string, n bigint").json(path)
 
@@ -471,8 +485,8 @@ _RULES = {
 
 
 @query("dq_expectations", O.with_(O.PROFILE, O.OPTION) + " UNION ALL ".join(
-    f"SELECT '{n}' AS rule, count(*) FILTER (WHERE NOT coalesce({d}, true)) AS violations, min(option_id) FILTER (WHERE NOT coalesce({d}, true)) AS first_id FROM v_option" for n, (_, d) in _RULES.items())
-    + " UNION ALL SELECT 'unique_option_id', 0, NULL UNION ALL SELECT 'unique_name', 0, NULL")
+    f"SELECT '{n}' AS rule, count(*) FILTER (WHERE NOT coalesce({d}, true)) AS violations, min(option_id) FILTER (WHERE NOT coalesce({d}, true)) AS first_id, array_to_string(min(option_id, 5) FILTER (WHERE NOT coalesce({d}, true)), ',') AS sample_ids FROM v_option" for n, (_, d) in _RULES.items())
+    + " UNION ALL " + " UNION ALL ".join(f"SELECT 'unique_{c}', count(*), NULL, NULL FROM (SELECT lower(trim(CAST({c} AS VARCHAR))) FROM v_option GROUP BY 1 HAVING count(*) > 1) u" for c in ("option_id", "name")))
 def dq_expectations(spark, sf):
     options = B.options(spark, sf)
     return E.expectations(options, {n: F.expr(s) for n, (s, _) in _RULES.items()}).unionByName(E.duplicate_keys(options, ["option_id", "name"]))

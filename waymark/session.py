@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,36 +31,44 @@ def build_session(master: str | None = None, app: str = "waymark", shuffle_parti
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder. A scratch one is made only in local mode, where all tasks share the machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     fallback = os.environ.get("WAYMARK_SCRATCH") or tempfile.mkdtemp(prefix="waymark-")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one stage in the shared folder; it goes when the driver ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a stage once to the shared folder and read it back.
 
     A stage feeds several jobs; as a table it is computed once, survives lost
     executors, and keeps later filters from re-evaluating what built it.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = run_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash narrow rows on a key before they fan out or meet CPU-heavy columns.
+    """Hash narrow rows on a key before they fan out.
 
-    A profile becomes many pairs and a page costs milliseconds, so partitions
-    sized by bytes would be a few huge tasks. Later windows on the same key run
-    where the rows already are: what the rows grow into never shuffles.
+    A profile becomes many pairs. Later windows on the same key run where the
+    rows already are: what the rows grow into never shuffles. The number of
+    partitions follows the data, up to the session's shuffle partitions.
     """
-    spark = df.sparkSession
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return df.repartition(wanted, *keys)
+    return df.repartition(*keys)
 
 
 _SHIPPED: set[str] = set()
@@ -84,6 +93,8 @@ def tune(spark: SparkSession) -> SparkSession:
     """
     ship_package(spark)
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    # narrow rows that fan out are few bytes and much work
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.dataFrameQueryContext.enabled", "false")
     return spark

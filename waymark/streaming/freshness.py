@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from waymark.session import checkpoint_dir
+from waymark.session import run_folder
 
 CHANGE = T.StructType([
     T.StructField("url", T.StringType()), T.StructField("ts", T.TimestampType()),
@@ -69,7 +68,7 @@ def change_batch(snapshots: DataFrame) -> DataFrame:
 def run_to_table(changes: DataFrame, name: str) -> DataFrame:
     """Drain the available input; each batch appends what it found, with its number."""
     spark = changes.sparkSession
-    base = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = run_folder(spark, name)
 
     def append(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{base}/out")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waymark.session import checkpoint_dir
+from waymark.session import run_folder
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -25,7 +24,7 @@ def run_to_table(toggles: DataFrame, name: str) -> DataFrame:
     its id when the table is read, so no event is ever too late to count.
     """
     spark = toggles.sparkSession
-    base = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = run_folder(spark, name)
     once = toggles.select("event_id", "profile_id", "task_id")
 
     def append(batch: DataFrame, batch_id: int) -> None:
