@@ -23,6 +23,8 @@ from waymark.llm.common import _INVERSE, _ODD, _powers, mix, stage
 
 #: Shorter lines are left alone: an edit is most of them.
 LEAST_CHARS = 5
+#: Lines that may have a neighbour are broadcast up to this size, by this width of a row; more of them meet the texts by shuffle.
+BROADCAST_BYTES, ABLE_BYTES = 16 << 20, 64
 VARIANTS = "line bigint, place int, key bigint"
 
 
@@ -96,7 +98,8 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     shared = halves.groupBy("key").agg(F.count(F.when(F.col("own"), 1)).alias("own"), F.count(F.lit(1)).alias("all")).where("own > 0 AND all > 1").select("key")
     able = halves.join(shared, "key", "left_semi").select("line").distinct()
     able = stage(distinct.join(able, "line", "left_semi").select("line", "place", "low", "high"), "lines-with-half")
-    texts = keyed.select(place.alias("at"), "low", "high", F.col("line").alias("text")).join(able, ["low", "high"]).where(F.col("at").eqNullSafe(F.col("place")))
+    few = ABLE_BYTES * able.count() <= BROADCAST_BYTES
+    texts = keyed.select(place.alias("at"), "low", "high", F.col("line").alias("text")).join(F.broadcast(able) if few else able, ["low", "high"]).where(F.col("at").eqNullSafe(F.col("place")))
     texts = stage(texts.select("line", "place", "text").dropDuplicates(["line"]), "line-texts")
 
     # lines of one key differ by one character, so a key's rows are bounded by the alphabet and the line's length
