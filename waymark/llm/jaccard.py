@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from waymark.llm.common import byte_class, joined_words, shingle_values, stage, text_batches
 
@@ -32,23 +32,23 @@ PERCENT = 80
 FRAGMENT_SHINGLES = 2_000_000
 #: Bytes of text per n-gram, to set the number of fragments.
 BYTES_PER_SHINGLE = 6
-FLUSH_BYTES = 12 << 20
+FLUSH_BYTES = 6 << 20
 #: Parts in which the overlap of a pair is counted.
 PARTS = 8
 
-CUT = "fragment bigint, doc_ids array<bigint>, text_keys array<bigint>, vertices binary, sizes binary, counts binary, grams binary"
+CUT = "fragment bigint, doc_ids array<bigint>, text_keys array<bigint>, sizes array<int>, vertices binary, counts binary, grams binary"
 HELD = "doc_id bigint, text_key bigint, vertex bigint, n int, grams array<bigint>, dfs array<int>"
 _GRAM_BITS = 48
 
 
-def _fragment_rows(fragment: int, vertices: np.ndarray, sizes: np.ndarray, counts: np.ndarray, grams: np.ndarray) -> dict:
+def _fragment_row(fragment: int, vertices: np.ndarray, counts: np.ndarray, grams: np.ndarray) -> dict:
     packed = np.ascontiguousarray(grams).view(np.uint8).reshape(-1, 8)[:, :_GRAM_BITS // 8].tobytes()
-    return {"fragment": fragment, "vertices": vertices.tobytes(), "sizes": sizes.astype(np.uint32).tobytes(), "counts": counts.astype(np.uint32).tobytes(), "grams": packed}
+    return {"fragment": fragment, "vertices": vertices.tobytes(), "counts": counts.astype(np.uint32).tobytes(), "grams": packed}
 
 
 def _cut(batches: Iterator[pa.RecordBatch], n: int, fragments: int) -> Iterator[pa.RecordBatch]:
     """Each run of documents as one row per fragment, and one with the documents themselves."""
-    schema = pa.schema([("fragment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("text_keys", pa.list_(pa.int64())), ("vertices", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
+    schema = pa.schema([("fragment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("text_keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("vertices", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
     turn = TaskContext.get().partitionId()
     for rows, texts in text_batches(batches, "text", FLUSH_BYTES):
         values, lengths = joined_words(texts, WORDS)
@@ -61,7 +61,7 @@ def _cut(batches: Iterator[pa.RecordBatch], n: int, fragments: int) -> Iterator[
                 vertices[i] = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
                 if fresh.setdefault(int(vertices[i]), i) == i:
                     held.append(own)
-        out = [{"fragment": fragments + turn % fragments, "doc_ids": rows["doc_id"].to_pylist(), "text_keys": rows["text_key"].to_pylist(), "vertices": vertices.tobytes(), "sizes": sizes.astype(np.uint32).tobytes()}]
+        out = [{"fragment": fragments + turn % fragments, "doc_ids": rows["doc_id"].to_pylist(), "text_keys": rows["text_key"].to_pylist(), "sizes": sizes.tolist(), "vertices": vertices.tobytes()}]
         turn += 1
         if held:
             first = np.fromiter(fresh.values(), np.int64, len(fresh))
@@ -74,8 +74,7 @@ def _cut(batches: Iterator[pa.RecordBatch], n: int, fragments: int) -> Iterator[
             for f in np.flatnonzero(np.diff(cuts)):
                 own = owner[cuts[f]:cuts[f + 1]]
                 begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                of = first[own[begin]]
-                out.append(_fragment_rows(int(f), vertices[of], sizes[of], np.diff(np.append(begin, len(own))), grams[cuts[f]:cuts[f + 1]]))
+                out.append(_fragment_row(int(f), vertices[first[own[begin]]], np.diff(np.append(begin, len(own))), grams[cuts[f]:cuts[f + 1]]))
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
@@ -87,12 +86,12 @@ def _shared(group: pa.Table, fragments: int) -> pa.Table:
     def joined(name: str, type_: type) -> np.ndarray:
         return np.concatenate([np.frombuffer(b, type_) for b in group[name].to_pylist()])
 
-    vertices, sizes = joined("vertices", np.int64), joined("sizes", np.uint32)
+    vertices = joined("vertices", np.int64)
     if fragment >= fragments:
         nothing = pa.nulls(len(vertices))
-        vertex = pa.array(vertices, pa.int64(), mask=sizes == 0)
-        ids, keys = (group[name].combine_chunks().flatten() for name in ("doc_ids", "text_keys"))
-        return pa.Table.from_arrays([ids, keys, vertex, pa.array(sizes.astype(np.int32)), nothing.cast(pa.list_(pa.int64())), nothing.cast(pa.list_(pa.int32()))], schema=schema)
+        ids, keys, sizes = (group[name].combine_chunks().flatten() for name in ("doc_ids", "text_keys", "sizes"))
+        vertex = pa.array(vertices, pa.int64(), mask=sizes.to_numpy() == 0)
+        return pa.Table.from_arrays([ids, keys, vertex, sizes, nothing.cast(pa.list_(pa.int64())), nothing.cast(pa.list_(pa.int32()))], schema=schema)
 
     counts = joined("counts", np.uint32).astype(np.int64)
     raw = np.frombuffer(b"".join(group["grams"].to_pylist()), np.uint8).reshape(-1, _GRAM_BITS // 8)
@@ -117,7 +116,7 @@ def _shared(group: pa.Table, fragments: int) -> pa.Table:
     first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.empty(0, np.int64)
     ends, of = pa.array(np.append(first, len(owner)), pa.int32()), owner[first]
     empty = pa.nulls(len(first), pa.int64())
-    return pa.Table.from_arrays([empty, empty, pa.array(vertices[of]), pa.array(sizes[of].astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(grams)), pa.ListArray.from_arrays(ends, pa.array(df.astype(np.int32)))], schema=schema)
+    return pa.Table.from_arrays([empty, empty, pa.array(vertices[of]), pa.nulls(len(first), pa.int32()), pa.ListArray.from_arrays(ends, pa.array(grams)), pa.ListArray.from_arrays(ends, pa.array(df.astype(np.int32)))], schema=schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -142,9 +141,14 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def _near_sizes(percent: int):
-    small, large = F.least("n", "other_n"), F.greatest("n", "other_n")
-    return 100 * small >= percent * large
+def _can_link(percent: int) -> Column:
+    """For the first n-gram in the order that two sets share: what both have from there on, as far as sizes allow, reaches the threshold."""
+    most = F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
+    return (100 + percent) * most >= percent * (F.col("n") + F.col("other_n"))
+
+
+def _of_part(part: int) -> Column:
+    return F.filter("grams", lambda g: F.pmod(F.shiftright(g, _GRAM_BITS), F.lit(PARTS)) == part)
 
 
 def _links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -175,34 +179,39 @@ def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, fragment
     cut = own.mapInArrow(lambda it: _cut(it, n, fragments), CUT)
     held = stage(cut.groupBy("fragment").applyInArrow(lambda t: _shared(t, fragments), HELD), "fragments")
     rows = held.where("grams IS NULL").select("doc_id", "text_key", "vertex", "n")
-    shared = held.where("grams IS NOT NULL").select("vertex", "n", "grams", "dfs")
+    shared = held.where("grams IS NOT NULL").select("vertex", "grams", "dfs")
+    sizes = rows.where("n > 0").groupBy("vertex").agg(F.max("n").alias("n"))
 
-    # the n-grams that are alone come first in the order of frequency, so they take up the prefix
     least = F.ceil(F.col("n") * percent / 100)
-    able = shared.groupBy("vertex").agg(F.max("n").alias("n"), F.sum(F.size("grams")).alias("c")).where(F.col("c") >= least).select("vertex", "c")
-    whole = shared.join(able, "vertex", "left_semi")
-    part = F.pmod(F.shiftright(F.col("grams")[0], _GRAM_BITS), F.lit(PARTS))
-    parts = stage(whole.groupBy("vertex", part.alias("part")).agg(F.max("n").alias("n"), F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("dfs")).alias("dfs")), "able-documents")
-    zipped = parts.groupBy("vertex").agg(F.max("n").alias("n"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("dfs", "grams")))).alias("ordered"))
-    prefix = zipped.select("vertex", "n", F.explode(F.slice(F.col("ordered"), F.lit(1), (F.size("ordered") - least + 1).cast("int"))).alias("g")).select("vertex", "n", F.col("g.grams").alias("gram"))
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("grams", "dfs")]
+    able = shared.groupBy("vertex").agg(*lists).join(sizes, "vertex").where(F.size("grams") >= least)
+    able = stage(able, "able-documents")
+    of_part = [_of_part(k) for k in range(PARTS)]
+    parts = stage(able.select("vertex", "n", F.posexplode(F.array(*of_part)).alias("part", "grams")), "parts")
+
+    # the n-grams that are alone come first in the order of frequency, so they take up the prefix
+    alone = F.col("n") - F.size("grams")
+    ordered = F.slice(F.array_sort(F.arrays_zip("dfs", "grams")), F.lit(1), (F.size("grams") - least + 1).cast("int"))
+    prefix = able.select("vertex", "n", alone.alias("alone"), F.posexplode(ordered).alias("k", "g")).select("vertex", "n", "alone", (F.col("alone") + F.col("k")).alias("place"), F.col("g.grams").alias("gram"))
     prefix = stage(prefix, "prefixes")
 
-    edges = None
-    for turn in range(2):
-        hub = F.min(F.struct(F.xxhash64(F.lit(turn), "vertex").alias("order"), "vertex", "n")).alias("hub")
-        hubs = prefix.groupBy("gram").agg(hub, F.count(F.lit(1)).alias("members")).where("members > 1").select("gram", F.col("hub.vertex").alias("a"), F.col("hub.n").alias("other_n"))
-        pairs = prefix.join(hubs, "gram").where((F.col("vertex") != F.col("a")) & _near_sizes(percent)).select("a", F.col("vertex").alias("b")).distinct()
-        linked = stage(_links(pairs, parts, percent), "links")
-        edges = linked if edges is None else edges.unionByName(linked)
+    pairs = None
+    for turn in (["alone", "n", "vertex"], [F.xxhash64("vertex"), "vertex"]):
+        hub = F.min(F.struct(*turn, F.struct("vertex", "n", "place").alias("own"))).alias("hub")
+        hubs = prefix.groupBy("gram").agg(hub, F.count(F.lit(1)).alias("members")).where("members > 1").select("gram", F.col("hub.own.vertex").alias("a"), F.col("hub.own.n").alias("other_n"), F.col("hub.own.place").alias("other_place"))
+        met = prefix.join(hubs, "gram").where((F.col("vertex") != F.col("a")) & _can_link(percent)).select("a", F.col("vertex").alias("b"))
+        pairs = met if pairs is None else pairs.unionByName(met)
+    edges = stage(_links(pairs.distinct(), parts, percent), "links")
     comps = components(edges)
 
     # what a group still holds of other components meets the whole group
-    placed = stage(prefix.join(comps, "vertex", "left").select("gram", "vertex", "n", F.coalesce("comp", "vertex").alias("comp")), "placed")
+    placed = stage(prefix.join(comps, "vertex", "left").select("gram", "vertex", "n", "place", F.coalesce("comp", "vertex").alias("comp")), "placed")
     sizes = placed.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("members"))
     major = sizes.groupBy("gram").agg(F.max(F.struct("members", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("gram", F.col("most.comp").alias("major"))
     open_ = stage(placed.join(major, "gram"), "open-groups")
-    minor = open_.where("comp <> major").select("gram", F.col("vertex").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
-    pairs = open_.join(minor, "gram").where((F.col("comp") != F.col("other_comp")) & _near_sizes(percent)).select(F.least("vertex", "other").alias("a"), F.greatest("vertex", "other").alias("b")).distinct()
+    minor = open_.where("comp <> major").select("gram", F.col("vertex").alias("other"), F.col("n").alias("other_n"), F.col("place").alias("other_place"), F.col("comp").alias("other_comp"))
+    met = open_.join(minor, "gram").where((F.col("comp") != F.col("other_comp")) & _can_link(percent))
+    pairs = met.select(F.least("vertex", "other").alias("a"), F.greatest("vertex", "other").alias("b")).distinct()
     rest = stage(_links(pairs, parts, percent), "links")
     comps = components(edges.unionByName(rest)) if not rest.isEmpty() else comps
 
