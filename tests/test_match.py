@@ -80,6 +80,24 @@ def test_salted_grid_gives_the_same_pairs(spark, sf, monkeypatch):
     assert salted.count() == small and salted.distinct().count() == small
 
 
+def test_one_absurd_price_costs_nothing(spark, sf):
+    profiles, options = B.ready_profiles(spark, sf), B.ready_options(spark, sf)
+    dear = options.withColumns({c: F.when(F.col("option_id") == 1, F.lit(10**12)).otherwise(F.col(c)) for c in ("total_annual_cost", "best_case_net_cost")})
+    counted = L.verdict_counts(profiles, dear)
+    plan = counted._jdf.queryExecution().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan.split("== Physical Plan ==")[1].split("Subquery")[0]
+    ceilings, prices = {r.profile_id: r.ceiling for r in profiles.collect()}, [r.total_annual_cost for r in dear.collect() if r.total_annual_cost is not None]
+    assert all(r.affordable_count == sum(p <= ceilings[r.profile_id] for p in prices) for r in counted.collect())
+
+
+def test_salted_country_join_gives_the_same_pairs(spark, sf):
+    profiles, options = B.ready_profiles(spark, sf).select("profile_id", "preferred_countries"), B.options(spark, sf).select("option_id", "country")
+    small = P.country_pairs(profiles, options)
+    salted = P.country_pairs(profiles, options, limit_bytes=0)
+    assert sorted(map(str, small.select("profile_id", "option_id").collect())) == sorted(map(str, salted.select("profile_id", "option_id").collect()))
+    assert "_salt" in salted._jdf.queryExecution().toString()
+
+
 def test_shortlist_plan_limits_groups_early_and_stays_out_of_python(spark, sf):
     plan = L.shortlist(B.ready_profiles(spark, sf), B.ready_options(spark, sf))._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -19,20 +19,15 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 64
 
 
-_ROW_COUNTS: dict[int, int] = {}
-
-
 def measured_bytes(df: DataFrame) -> tuple[int, int]:
-    """Row count and an upper estimate of the bytes a relation occupies.
+    """Row count and an upper estimate of the bytes a relation occupies, taken anew each time: a table grows.
 
     Catalyst multiplies the sizes of joined inputs, which overstates a joined
     dimension by orders of magnitude, so the rows are counted (columns pruned).
     """
-    key = df.semanticHash()
-    if key not in _ROW_COUNTS:
-        _ROW_COUNTS[key] = df.count()
+    rows = df.count()
     width = sum(16 if f.dataType.typeName() not in ("string", "array", "map", "struct") else 256 for f in df.schema.fields)
-    return _ROW_COUNTS[key], _ROW_COUNTS[key] * width
+    return rows, rows * width
 
 
 def checked_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -128,7 +123,16 @@ def pair_grid(profiles: DataFrame, options: DataFrame, block_rows: int = BLOCK_R
     return left.join(right, ["_block", "_salt"]).drop("_block", "_salt")
 
 
-def country_pairs(profiles: DataFrame, options: DataFrame) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, limit_bytes: int | None = None) -> DataFrame:
+    """An equi-join on a key of few values: broadcast behind a size check, else one copy of the right side per salt of the left."""
+    if measured_bytes(right)[1] <= (BROADCAST_BYTES if limit_bytes is None else limit_bytes):
+        return left.join(F.broadcast(right), key)
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def country_pairs(profiles: DataFrame, options: DataFrame, limit_bytes: int | None = None) -> DataFrame:
     """Only the options in a profile's own countries: an equi-join on country."""
     wanted = spread(profiles, "profile_id").withColumn("country", F.explode("preferred_countries"))
-    return wanted.join(checked_broadcast(options), "country")
+    return salted_join(wanted, options, "country", "profile_id", limit_bytes)

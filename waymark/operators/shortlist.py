@@ -9,7 +9,8 @@ from waymark.functions import scalar as S
 from waymark.operators import fits, pairs as P
 
 AID_VERDICTS = ["potentially-affordable-with-aid", "aid-dependent"]
-COST_BUCKET = 500
+#: Costs and ceilings are below two to the power of one more than this.
+COST_BITS = 50
 
 
 def best_first(profile_key=("profile_id",)):
@@ -89,36 +90,24 @@ def verdict_counts(profiles: DataFrame, options: DataFrame, key=("profile_id",))
     """Affordable / aid-dependent / above-budget counts over the whole catalogue, without pairing.
 
     A verdict group depends only on how a profile's ceiling compares with an
-    option's total and best-case cost. Costs are counted per bucket with a
-    running total; a ceiling adds the running total of lower buckets to an exact
-    count inside its own bucket.
+    option's total and best-case cost. Whole-dollar costs are counted in the
+    ranges of every power of two; the numbers up to a ceiling are the union of
+    one such range per set bit of it, so each distinct ceiling meets its few
+    ranges by an equi-join. No list is built up to the dearest option.
     """
     priced = options.where(F.col("total_annual_cost").isNotNull())
-    prices = (
-        priced.select(F.inline(F.array(
-            F.struct(F.lit("total").alias("what"), F.col("total_annual_cost").alias("cost")),
-            F.struct(F.lit("best").alias("what"), F.col("best_case_net_cost").alias("cost")),
-        )))
-        .groupBy("what", "cost").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", F.floor(F.col("cost") / F.lit(COST_BUCKET)))
-    )
-
-    def side(what: str):
-        mine = F.col("what") == what
-        return (
-            F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)).alias(f"{what}_n"),
-            F.collect_list(F.when(mine, F.struct("cost", "n"))).alias(f"{what}_prices"),
-        )
-
-    # a bucket is COST_BUCKET whole dollars wide, so its price list has a fixed maximum length
-    per_bucket = prices.groupBy("bucket").agg(*side("total"), *side("best"))
-    last = prices.agg(F.coalesce(F.max("bucket"), F.lit(-1).cast("bigint")).alias("b"))
-    every = last.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("b") + 1)).alias("bucket"))
-    below = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ladder = every.join(per_bucket, "bucket", "left").select(
-        "bucket", "total_prices", "best_prices",
-        F.coalesce(F.sum("total_n").over(below), F.lit(0)).alias("total_below"),
-        F.coalesce(F.sum("best_n").over(below), F.lit(0)).alias("best_below"),
+    prices = priced.select(F.inline(F.array(
+        F.struct(F.col("total_annual_cost").cast("bigint").alias("cost"), F.lit(1).alias("total"), F.lit(0).alias("best")),
+        F.struct(F.col("best_case_net_cost").cast("bigint").alias("cost"), F.lit(0).alias("total"), F.lit(1).alias("best")),
+    ))).groupBy("cost").agg(F.sum("total").alias("total"), F.sum("best").alias("best"))
+    ranges = prices.select("total", "best", F.explode(F.sequence(F.lit(0), F.lit(COST_BITS))).alias("bit"), "cost").select(
+        "bit", F.expr("shiftright(cost, bit)").alias("range"), "total", "best",
+    ).groupBy("bit", "range").agg(F.sum("total").alias("total"), F.sum("best").alias("best"))
+    above = F.greatest(F.floor("ceiling").cast("bigint") + 1, F.lit(0).cast("bigint"))
+    ceilings = profiles.select("ceiling").where(F.col("ceiling").isNotNull()).distinct().select("ceiling", F.least(above, F.lit(2 ** (COST_BITS + 1) - 1)).alias("above"))
+    bits = ceilings.select("ceiling", "above", F.explode(F.sequence(F.lit(0), F.lit(COST_BITS))).alias("bit")).where(F.expr("shiftright(above, bit) % 2 = 1"))
+    reached = bits.select("ceiling", "bit", F.expr("shiftright(above, bit) - 1").alias("range")).join(ranges, ["bit", "range"]).groupBy("ceiling").agg(
+        F.sum("total").alias("affordable"), F.sum("best").alias("within_best"),
     )
     totals = options.agg(
         F.struct(
@@ -126,19 +115,9 @@ def verdict_counts(profiles: DataFrame, options: DataFrame, key=("profile_id",))
             F.count(F.when(F.col("total_annual_cost").isNotNull(), 1)).alias("priced"),
         ).alias("t")
     ).scalar()
-
-    def reached(what: str):
-        inside = F.aggregate(
-            F.filter(F.coalesce(F.col(f"{what}_prices"), F.expr("array()")), lambda p: p["cost"] <= F.col("ceiling")),
-            F.lit(0).cast("bigint"), lambda acc, p: acc + p["n"],
-        )
-        return F.col(f"{what}_below") + inside
-
-    bucket = F.least(F.floor(F.col("ceiling") / F.lit(COST_BUCKET)), last.scalar() + F.lit(1))
-    keyed = profiles.select(*key, "ceiling").withColumn("bucket", bucket).withColumn("t", totals)
-    counted = keyed.join(F.broadcast(ladder), "bucket").select(
-        *key, F.col("t.options").alias("option_count"), F.col("t.priced").alias("priced"),
-        reached("total").alias("affordable_count"), reached("best").alias("within_best"),
+    none = F.lit(0).cast("bigint")
+    counted = profiles.select(*key, "ceiling").join(reached, "ceiling", "left").withColumn("t", totals).select(
+        *key, F.col("t.options").alias("option_count"), F.col("t.priced").alias("priced"), F.coalesce("affordable", none).alias("affordable_count"), F.coalesce("within_best", none).alias("within_best"),
     )
     return counted.select(
         *key, "option_count", "affordable_count",

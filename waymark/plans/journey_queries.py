@@ -149,8 +149,8 @@ def snapshot_before_after(spark, sf):
 
 
 @query("entered_left", O.BOTH_SIDES + """
-SELECT profile_id, option_id, CAST(rank AS INTEGER) AS rank, 'entered' AS movement FROM v_shortlist_a a WHERE NOT EXISTS (SELECT 1 FROM v_shortlist b WHERE b.profile_id = a.profile_id AND b.option_id = a.option_id)
-UNION ALL SELECT profile_id, option_id, CAST(rank AS INTEGER), 'left' FROM v_shortlist b WHERE NOT EXISTS (SELECT 1 FROM v_shortlist_a a WHERE b.profile_id = a.profile_id AND b.option_id = a.option_id)""")
+, m AS (SELECT coalesce(b.profile_id, a.profile_id) AS profile_id, coalesce(b.option_id, a.option_id) AS option_id, b.rank AS rank_before, a.rank AS rank_after FROM v_shortlist b FULL JOIN v_shortlist_a a ON a.profile_id = b.profile_id AND a.option_id = b.option_id)
+SELECT profile_id, option_id, CAST(coalesce(rank_after, rank_before) AS INTEGER) AS rank, CASE WHEN rank_before IS NULL THEN 'entered' ELSE 'left' END AS movement FROM m WHERE rank_before IS NULL OR rank_after IS NULL""")
 def entered_left(spark, sf):
     _, _, before, after, _ = _sides(spark, sf)
     return W.entered_left(before, after)

@@ -123,7 +123,7 @@ def region_fallback_join(spark, sf):
         "profile_id", "preferred_countries", F.explode("preferred_regions").alias("region"),
     )
     offers = B.options(spark, sf).select("option_id", "country", "region")
-    return wishes.join(P.checked_broadcast(offers), "region").where(
+    return P.salted_join(wishes, offers, "region", "profile_id").where(
         ~F.array_contains("preferred_countries", F.col("country"))
     ).select("profile_id", "option_id", "region")
 
