@@ -75,6 +75,56 @@ def test_wrong_population_yields_no_candidate(spark):
     assert X.extract_candidates(pages).count() == 0
 
 
+def table_of(spark, *pages):
+    """(page_id, kind, title, body) of one institution to its content."""
+    rows = [(i, 1, kind, f"https://uni.edu/{i}", f"<html><head><title>{title}</title></head><body><main><h1>{title}</h1>{body}</main></body></html>", "text/html") for i, kind, title, body in pages]
+    return G.with_scope(G.with_content(spark.createDataFrame(rows, "page_id bigint, institution_id bigint, kind string, url string, html string, content_type string"))).cache()
+
+
+def outcomes(spark, *pages):
+    content = table_of(spark, *pages)
+    candidates = X.extract_candidates(content).cache()
+    flags = X.aid_flags(X.aid_signals(X.routed(content, "aid")))
+    found = X.proposals(candidates).cache()
+    review = X.review_table(found, candidates, X.money_scoped(X.routed(content, "money")), flags, X.scope_refusals(content)).collect()
+    return {r.field: r for r in found.collect()}, {(r.field, r.verdict): r for r in review}
+
+
+def test_a_silent_but_eligible_page_does_not_hide_one_that_speaks(spark):
+    found, review = outcomes(
+        spark, (1, "financial_aid", "Aid", "<p>International students are eligible to apply.</p>"),
+        (2, "scholarships", "Aid", "<p>This aid is not available to international applicants.</p>"),
+    )
+    assert found["aidCertainty"].value == "minimal" and found["aidCertainty"].evidence_url == "https://uni.edu/2"
+    assert found["aidCertainty"].warnings == [signals.AID_EXCLUDED] and "not available" in found["aidCertainty"].evidence_excerpt
+    assert ("aidCertainty", "NO_EVIDENCE") not in review
+
+
+def test_common_data_set_comes_first_and_its_other_fields_are_unrouted(spark):
+    found, review = outcomes(
+        spark, (1, "tuition", "Tuition", "<p>Tuition is $9,000 per year for 2027-28.</p>"), (2, "admissions", "Apply", "<p>The SAT is required.</p>"),
+        (3, "common_data_set", "Common Data Set", "<p>Common Data Set 2026-27</p><p>C8 We are test-optional</p><p>C9 SAT Composite 25th 1200 75th 1400</p><p>G1 Tuition is $31,000 per year</p>"),
+    )
+    assert (found["tuition"].value, found["satPolicy"].value) == ("31000", "optional")
+    assert {found[f].evidence_source_type for f in ("tuition", "satPolicy")} == {"common_data_set"}
+    assert {("sat25", "UNROUTED"), ("sat75", "UNROUTED")} <= set(review)
+
+
+def test_wrong_applicants_leave_a_row_without_evidence(spark):
+    found, review = outcomes(spark, (1, "tuition", "Visiting students", "<p>Tuition is $9,000 per year.</p>"))
+    assert not found
+    assert review[("tuition", "NO_EVIDENCE")].reason == "the source is written for visiting applicants; tuition describes a first-year undergraduate and cannot be taken from it"
+
+
+def test_pages_are_read_where_they_lie(spark, sf):
+    from waymark.plans import page_bindings as V
+    pages = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id", "1L AS institution_id", "url", "html")
+    for df in (G.with_content(pages), G.with_scope(G.with_content(pages))):
+        plan = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert "ArrowEvalPython" in plan and "Exchange" not in plan
+    assert V.rendered(spark, sf).columns[0] == "page_id"
+
+
 def test_scope_rank_decides_between_equal_roles(spark):
     cols = "institution_id int, kind string, page_id int, url string, role string, scope string, score double, audience string, accepted boolean"
     rows = [(1, "tuition", 1, "https://u.edu/a", "canonical", "unknown", 20.0, "unknown", True), (1, "tuition", 2, "https://u.edu/b", "canonical", "first_year", 10.0, "first_year", True)]

@@ -39,6 +39,12 @@ def excerpt(text: Column, start: Column, length: Column, pad: int) -> Column:
     return squeeze(F.substring(text, first + 1, start + length + pad - first))
 
 
+def first_excerpt(text: Column, pattern: str, pad: int = 150) -> Column:
+    """The surroundings of a pattern's first match, or null."""
+    at = F.regexp_instr(text, F.lit(pattern))
+    return F.when(at > 0, excerpt(text, at - 1, F.length(F.regexp_extract(text, pattern, 0)), pad))
+
+
 def not_a_price(sentence_col: Column) -> Column:
     reason = None
     for pattern, why in signals.NOT_A_PRICE:
@@ -82,10 +88,11 @@ def nearest(text: Column, start: Column, terms) -> Column:
 
 def table_cells(pages: DataFrame) -> DataFrame:
     """(page, table, row, column) cells with the row label and every year they name."""
-    t = pages.select("institution_id", "page_id", F.posexplode(H.tables_of(F.col("main_html"))).alias("table_no", "rows"))
-    r = t.select("institution_id", "page_id", "table_no", F.posexplode("rows").alias("row_no", "cells"))
+    kept = ["institution_id", "page_id", *[c for c in ("page_years",) if c in pages.columns]]
+    t = pages.select(*kept, F.posexplode(H.tables_of(F.col("main_html"))).alias("table_no", "rows"))
+    r = t.select(*kept, "table_no", F.posexplode("rows").alias("row_no", "cells"))
     return r.select(
-        "institution_id", "page_id", "table_no", "row_no", F.get("cells", F.lit(0)).alias("row_label"), academic_years(F.array_join("cells", " ")).alias("row_years"),
+        *kept, "table_no", "row_no", F.get("cells", F.lit(0)).alias("row_label"), academic_years(F.array_join("cells", " ")).alias("row_years"),
         F.posexplode("cells").alias("col_no", "cell"),
     )
 
@@ -118,11 +125,11 @@ MONEY_COLUMNS = ["institution_id", "page_id", "field", "value", "currency", "uni
 def money_scoped(pages: DataFrame, fields: dict | None = None) -> DataFrame:
     """Figures per field with the year their column, row, section or page states; excluded figures keep their reason."""
     fields = fields or signals.MONEY_FIELDS
-    years = pages.select("page_id", academic_years(F.col("text")).alias("page_years"))
+    pages = pages.select("institution_id", "page_id", "main_html", academic_years(F.col("text")).alias("page_years"))
     # tables
     cells = header_years(table_cells(pages))
     in_cells = money_tokens(cells.where(F.col("cell").rlike(r"\d")), "cell")
-    in_cells = with_unit(in_cells.withColumn("sentence", squeeze(F.concat_ws(" ", "row_label", "column_label", "cell")))).join(years, "page_id")
+    in_cells = with_unit(in_cells.withColumn("sentence", squeeze(F.concat_ws(" ", "row_label", "column_label", "cell"))))
     by_column = F.size("column_years") == 1
     scope_years = F.when(by_column, F.col("column_years")).otherwise(F.col("row_years"))
     in_cells = _attributed(in_cells, scope_years, F.when(by_column, F.lit("table-column")).otherwise(F.lit("table-row")))
@@ -131,9 +138,9 @@ def money_scoped(pages: DataFrame, fields: dict | None = None) -> DataFrame:
         F.when(label.rlike(_word(terms)), F.lit(name)) for name, terms in fields.items()
     ]))).where(F.col("field").isNotNull()).withColumn("excluded", not_a_price(F.col("sentence")))
     # prose, section by section
-    sections = pages.select("institution_id", "page_id", F.posexplode(H.sections_of(F.regexp_replace("main_html", H.TABLE, " "))).alias("section_no", "s"))
+    sections = pages.select("institution_id", "page_id", "page_years", F.posexplode(H.sections_of(F.regexp_replace("main_html", H.TABLE, " "))).alias("section_no", "s"))
     sections = sections.withColumn("section_text", F.concat(F.col("s.heading"), F.lit("\n"), F.col("s.body"))).drop("s")
-    prose = money_tokens(sections, "section_text").withColumn("section_years", academic_years(F.col("section_text"))).join(years, "page_id")
+    prose = money_tokens(sections, "section_text").withColumn("section_years", academic_years(F.col("section_text")))
     prose = _attributed(prose, F.col("section_years"), F.lit("section"))
     judged = []
     for name, terms in fields.items():
@@ -185,12 +192,8 @@ def aid_signals(pages: DataFrame) -> DataFrame:
     )
 
 
-SILENT = "the page never states whether international students are eligible, so this cannot be concluded from it"
-EXCLUDED = "the page states this aid is not open to international students"
-
-
 def aid_flags(rows: DataFrame) -> DataFrame:
-    """Three-state evidence per aid field: silence is UNKNOWN, never false."""
+    """Three-state evidence per aid field, with the page's issues and excerpt: silence is UNKNOWN, never false."""
     closed, open_ = F.col("international_excluded"), F.col("international_eligible")
     full, ride, tuition = F.col("meets_full_need"), F.col("full_ride"), F.col("full_tuition")
 
@@ -198,32 +201,32 @@ def aid_flags(rows: DataFrame) -> DataFrame:
         state = F.when(closed, "CONTRADICTED").when(open_ & cond, "SUPPORTED").otherwise("UNKNOWN")
         return F.struct(
             F.lit(field).alias("field"), state.alias("state"), F.when(closed, F.lit("false")).when(open_ & cond, F.lit(value)).alias("value"),
-            F.when(closed, F.lit(EXCLUDED)).when(~open_, F.lit(SILENT)).when(cond, F.lit(why)).otherwise(F.lit(silent)).alias("reason"),
+            F.when(closed, F.lit(signals.AID_EXCLUDED)).when(~open_, F.lit(signals.AID_SILENT)).when(cond, F.lit(why)).otherwise(F.lit(silent)).alias("reason"),
         )
 
-    contest = F.concat(F.lit('the page describes the award as a contest: "'), F.substring("contest_sentence", 1, 120), F.lit('"'))
-    unclear = F.when(F.col("any_scholarship"), F.lit("the page mentions scholarships but does not say whether they are competitive, limited or dependable")).otherwise(
-        F.lit("the page states nothing about how aid is awarded"))
+    contest = F.concat(F.lit(signals.AID_CONTEST), F.substring("contest_sentence", 1, 120), F.lit('"'))
+    unclear = F.when(F.col("any_scholarship"), F.lit(signals.AID_UNCLEAR)).otherwise(F.lit(signals.AID_NOTHING))
     certainty = F.struct(
         F.lit("aidCertainty").alias("field"),
         F.when(closed, "SUPPORTED").when(open_ & (full | F.col("competitive_award")), "SUPPORTED").otherwise("UNKNOWN").alias("state"),
         F.when(closed, F.lit("minimal")).when(open_ & full, F.lit("meets-full-need")).when(open_ & F.col("competitive_award"), F.lit("competitive")).alias("value"),
-        F.when(closed, F.lit(EXCLUDED)).when(~open_, F.lit(SILENT)).when(full, F.lit("the page states that full demonstrated need is met and that international students are eligible"))
+        F.when(closed, F.lit(signals.AID_EXCLUDED)).when(~open_, F.lit(signals.AID_SILENT)).when(full, F.lit(signals.AID_CERTAIN))
         .when(F.col("competitive_award"), contest).otherwise(unclear).alias("reason"),
     )
     items = F.array(
-        flag("meetsFullNeedForInternationals", full, "true", "the page states that full demonstrated need is met, and that international students are eligible",
-             "the page does not state that full demonstrated need is met; that is not evidence that it is not"),
-        flag("fullRidePossible", ride, "true", "the page states an award covering tuition and living costs", "the page does not describe an award covering living costs as well as tuition"),
-        flag("fullTuitionPossible", tuition | ride, "true", "the page states an award covering full tuition", "the page does not describe an award covering full tuition"),
-        flag("needBasedAidForInternationals", full | F.col("need_blind"), "true", "the page states need-based aid and that international students are eligible",
-             "international students are eligible to apply, but the page does not state that the aid is need-based"),
+        flag("meetsFullNeedForInternationals", full, "true", signals.AID_FULL_NEED, signals.AID_NO_FULL_NEED),
+        flag("fullRidePossible", ride, "true", signals.AID_RIDE, signals.AID_NO_RIDE),
+        flag("fullTuitionPossible", tuition | ride, "true", signals.AID_TUITION, signals.AID_NO_TUITION),
+        flag("needBasedAidForInternationals", full | F.col("need_blind"), "true", signals.AID_NEED_BASED, signals.AID_NO_NEED_BASED),
         certainty,
     )
-    warned = (
-        closed | ~open_ | (F.col("any_scholarship") & ~tuition & ~ride) | (tuition & ~ride)
-    )
-    return rows.select("institution_id", "page_id", warned.alias("warned"), F.when(open_, 0.8).otherwise(0.3).alias("confidence"), F.inline(items))
+    issues = F.when(closed, S.str_array([signals.AID_EXCLUDED])).otherwise(S.texts(
+        F.when(~open_, F.lit(signals.AID_ISSUE_SILENT)), F.when(F.col("any_scholarship") & ~tuition & ~ride, F.lit(signals.AID_ISSUE_SIZE)),
+        F.when(tuition & ~ride, F.lit(signals.AID_ISSUE_LIVING)),
+    ))
+    t = F.col("text")
+    quoted = F.coalesce(first_excerpt(t, signals.AID_PATTERNS["meets_full_need"]), first_excerpt(t, signals.COMPETITIVE), first_excerpt(t, signals.AID_PATTERNS["any_scholarship"]))
+    return rows.select("institution_id", "page_id", issues.alias("issues"), quoted.alias("excerpt"), F.when(open_, 0.8).otherwise(0.3).alias("confidence"), F.inline(items))
 
 
 def deadline_tokens(pages: DataFrame) -> DataFrame:
@@ -243,6 +246,10 @@ def deadline_tokens(pages: DataFrame) -> DataFrame:
     ).where(F.col("date").isNotNull())
 
 
+#: Characters that a quotation of a Common Data Set section shows.
+EXCERPT = 160
+
+
 def common_data_set(pages: DataFrame) -> DataFrame:
     """Section-coded values of a Common Data Set text."""
     t = F.col("text")
@@ -259,15 +266,18 @@ def common_data_set(pages: DataFrame) -> DataFrame:
     applied, admitted = F.get(nums, F.lit(0)), F.get(nums, F.lit(1))
     rate = F.when((admitted > 0) & (admitted <= applied), S.js_round(admitted / applied * F.lit(1000.0)).cast("double") / F.lit(10.0))
 
-    def item(field, value):
-        return F.when(value.isNotNull(), F.struct(F.lit(field).alias("field"), value.cast("string").alias("value")))
+    def item(field, value, quoted):
+        return F.when(value.isNotNull(), F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), squeeze(quoted).alias("excerpt")))
 
     blank = lambda c: F.when(c != "", c)
+    scores, price = F.regexp_extract(c9, sat, 0), r"(?i)\btuition\b[^.\n]*?[$]\s?([\d,]+(?:\.\d{1,2})?)"
     found = S.texts(
-        item("sat25", blank(F.regexp_extract(c9, sat, 1))), item("sat75", blank(F.regexp_extract(c9, sat, 2))),
-        item("satPolicy", F.when(F.size(policy) == 1, F.get(policy, F.lit(0)))), item("tuition", blank(F.regexp_replace(tuition, ",", ""))), item("admitRate", rate),
+        item("sat25", blank(F.regexp_extract(c9, sat, 1)), scores), item("sat75", blank(F.regexp_extract(c9, sat, 2)), scores),
+        item("satPolicy", F.when(F.size(policy) == 1, F.get(policy, F.lit(0))), F.substring(c8, 1, EXCERPT)),
+        item("tuition", blank(F.regexp_replace(tuition, ",", "")), F.regexp_extract(g, price, 0)), item("admitRate", rate, F.substring(c1, 1, EXCERPT)),
     )
-    return pages.where(t.rlike("(?i)common data set")).select("institution_id", "page_id", F.get(academic_years(t), F.size(academic_years(t)) - 1).alias("academic_year"), F.inline(found))
+    years = academic_years(t)
+    return pages.where(t.rlike("(?i)common data set")).select("institution_id", "page_id", F.get(years, F.size(years) - 1).alias("academic_year"), F.inline(found))
 
 
 # ---- validation -----------------------------------------------------------
@@ -353,22 +363,43 @@ def routed(pages: DataFrame, route: str) -> DataFrame:
     return pages.where(F.col("kind").isin(*ROUTES[route]) & F.col("scope").isin(*signals.FIRST_YEAR_SCOPES))
 
 
+CANDIDATE = {
+    "institution_id": None, "page_id": None, "field": None, "value": "string", "currency": "string", "unit": "string", "academic_year": "string", "year_source": "string", "year_ambiguous": "boolean",
+    "is_annual": "boolean", "cand_kind": "string", "confidence": "double", "from_cds": "boolean", "ordinal": "bigint", "excerpt": "string", "issues": "array<string>",
+}
+SOURCE = ["url", "title", "retrieved_at", "source_type", "content_hash"]
+AID_FIELDS = ["meetsFullNeedForInternationals", "fullRidePossible", "fullTuitionPossible", "needBasedAidForInternationals", "aidCertainty"]
+MONEY_FIELDS = list(signals.MONEY_FIELDS)
+VALIDATED = [*MONEY_FIELDS, "minimumIELTS", "minimumTOEFL", "satPolicy", "applicationDeadline", "scholarshipDeadline", *AID_FIELDS]
+#: The fields for which a page of the wrong applicants is refused, by what it would have fed.
+REFUSED = {"money": MONEY_FIELDS, "english": ["minimumIELTS"], "testing": ["satPolicy"], "deadlines": ["applicationDeadline"], "aid": ["aidCertainty"]}
+
+
+def sources(pages: DataFrame) -> DataFrame:
+    """Where each page came from, for the evidence of its values."""
+    kind = F.when(F.col("kind") == "common_data_set", "common_data_set").when(F.col("content_type") == "application/pdf", "official_pdf").otherwise("official_web")
+    retrieved = F.col("retrieved_at").cast("timestamp") if "retrieved_at" in pages.columns else F.lit(None).cast("timestamp")
+    return pages.select("page_id", "url", "title", retrieved.alias("retrieved_at"), kind.alias("source_type"), "content_hash")
+
+
 def extract_candidates(pages: DataFrame) -> DataFrame:
-    """All candidate values as one long table."""
-    cols = ["institution_id", "page_id", "field", "value", "currency", "unit", "academic_year", "year_source", "year_ambiguous", "is_annual", "cand_kind", "confidence", "from_cds", "ordinal"]
+    """All candidate values as one long table, each with its source and the words it was read from."""
+    defaults = {"year_ambiguous": F.lit(False), "is_annual": F.lit(False), "from_cds": F.lit(False), "ordinal": F.lit(0), "issues": S.str_array([])}
 
     def shaped(df, **fixed_cols):
-        base = {"currency": F.lit(None).cast("string"), "unit": F.lit(None).cast("string"), "academic_year": F.lit(None).cast("string"), "year_source": F.lit(None).cast("string"),
-                "year_ambiguous": F.lit(False), "is_annual": F.lit(False), "cand_kind": F.lit(None).cast("string"), "from_cds": F.lit(False), "ordinal": F.lit(0).cast("bigint")}
-        for name, default in base.items():
-            if name not in df.columns and name not in fixed_cols:
-                df = df.withColumn(name, default)
-        return df.withColumns(fixed_cols).withColumns({"value": F.col("value").cast("string"), "ordinal": F.col("ordinal").cast("bigint")}).select(*cols)
-
-    money = money_scoped(routed(pages, "money")).where(F.col("excluded").isNull())
+        df = df.withColumns(fixed_cols)
+        return df.select(*[
+            (F.col(c) if c in df.columns else defaults.get(c, F.lit(None))).cast(kind).alias(c) if kind else F.col(c) for c, kind in CANDIDATE.items()
+        ])
+
+    money = money_scoped(routed(pages, "money")).where(F.col("excluded").isNull()).withColumnRenamed("sentence", "excerpt")
     ielts = ielts_scores(routed(pages, "english")).withColumnRenamed("score", "value").withColumnRenamed("score_kind", "cand_kind")
     toefl = toefl_scores(routed(pages, "english")).withColumnRenamed("score", "value")
-    policy = routed(pages, "testing").select("institution_id", "page_id", testing_policy(F.col("text")).alias("p")).where(F.size("p") == 1).select("institution_id", "page_id", F.get("p", F.lit(0)).alias("value"))
+    stated = None
+    for _, pattern in signals.TESTING_PATTERNS:
+        quoted = first_excerpt(F.col("text"), pattern)
+        stated = quoted if stated is None else F.coalesce(stated, quoted)
+    policy = routed(pages, "testing").select("institution_id", "page_id", testing_policy(F.col("text")).alias("p"), stated.alias("excerpt")).where(F.size("p") == 1).withColumn("value", F.get("p", F.lit(0)))
     dates = deadline_tokens(routed(pages, "deadlines")).withColumnRenamed("date", "value").withColumnRenamed("date_kind", "cand_kind")
     both = dates.withColumn("field", F.explode(S.str_array(["applicationDeadline", "scholarshipDeadline"])))
     aid = aid_flags(aid_signals(routed(pages, "aid"))).where(F.col("state") != "UNKNOWN").withColumnRenamed("state", "cand_kind")
@@ -379,35 +410,57 @@ def extract_candidates(pages: DataFrame) -> DataFrame:
         shaped(toefl, field=F.lit("minimumTOEFL"), confidence=F.lit(0.85)),
         shaped(policy, field=F.lit("satPolicy"), confidence=F.lit(0.9)),
         shaped(both, confidence=F.lit(0.75)), shaped(aid),
-        shaped(cds, unit=F.lit("per-year"), year_source=F.lit("common-data-set"), confidence=F.lit(0.95), from_cds=F.lit(True)),
+        shaped(cds, currency=F.when(F.col("field") == "tuition", "USD"), unit=F.lit("per-year"), year_source=F.lit("common-data-set"), confidence=F.lit(0.95), from_cds=F.lit(True)),
     ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
-
-
-def proposals(pages: DataFrame) -> DataFrame:
-    """At most one validated outcome per institution and field."""
-    money_rows = money_scoped(routed(pages, "money")).where(F.col("excluded").isNull()).withColumns({"confidence": F.when(F.col("is_annual"), 0.85).otherwise(0.5), "from_cds": F.lit(False)})
-    best = money_issues(best_money(money_rows)).select("institution_id", "field", S.num_text(F.col("value")).alias("value"), "errors", "warnings", "confidence")
-    english = routed(pages, "english")
-    ielts = score_outcome(ielts_scores(english), "minimumIELTS").withColumn("confidence", F.lit(0.9))
-    toefl = score_outcome(toefl_scores(english), "minimumTOEFL").withColumn("confidence", F.lit(0.85))
-    stated = routed(pages, "testing").select("institution_id", "page_id", testing_policy(F.col("text")).alias("p")).where(F.size("p") == 1)
-    policy = stated.groupBy("institution_id").agg(F.min_by(F.get("p", F.lit(0)), "page_id").alias("value")).select(
-        "institution_id", F.lit("satPolicy").alias("field"), "value", S.str_array([]).alias("errors"), S.str_array([]).alias("warnings"), F.lit(0.9).alias("confidence"))
-    dates = deadline_tokens(routed(pages, "deadlines"))
-    due = deadline_outcome(dates, "applicationDeadline").unionByName(deadline_outcome(dates, "scholarshipDeadline")).withColumn("confidence", F.lit(0.75))
-    flags = aid_flags(aid_signals(routed(pages, "aid")))
-    strongest = flags.groupBy("institution_id").agg(F.min_by("page_id", F.struct(-F.col("confidence"), F.col("page_id"))).alias("page_id"))
-    aid = flags.join(strongest, ["institution_id", "page_id"]).where(F.col("state") != "UNKNOWN").select(
-        "institution_id", "field", "value", S.str_array([]).alias("errors"), F.when(F.col("warned"), S.str_array(["aid"])).otherwise(S.str_array([])).alias("warnings"), "confidence")
-    rows = best
-    for part in (ielts, toefl, policy, due, aid):
-        rows = rows.unionByName(part)
-    judged = rows.withColumn("verdict", E.verdict((F.size("errors") > 0) | F.col("value").isNull(), F.lit(True), F.size("warnings") > 0, F.col("confidence")))
-    return demote(judged)
+    return out.join(sources(pages), "page_id")
+
+
+def proposals(candidates: DataFrame) -> DataFrame:
+    """At most one validated outcome per institution and field, with its evidence, from the written candidates."""
+    key = ["institution_id", "field"]
+    of = lambda *fields: candidates.where(F.col("field").isin(*fields))
+    shown = [F.col(c).alias(f"evidence_{c}") for c in (*SOURCE, "excerpt")]
+    none = S.str_array([])
+
+    money = best_money(of(*MONEY_FIELDS).withColumn("value", F.col("value").cast("decimal(18,2)")))
+    rows = money_issues(money).select(*key, S.num_text(F.col("value")).alias("value"), "errors", "warnings", "confidence", *shown)
+
+    # the first candidate is the evidence; an overall score before others, a Common Data Set before pages
+    order = F.struct(F.coalesce(F.col("cand_kind") != "overall", F.lit(True)), ~F.col("from_cds"), "page_id", "ordinal")
+    first = candidates.groupBy(*key).agg(F.min_by(F.struct("value", *SOURCE, "excerpt"), order).alias("e"))
+    evidence = first.select(*key, F.col("e.value").alias("first_value"), *[F.col(f"e.{c}").alias(f"evidence_{c}") for c in (*SOURCE, "excerpt")])
+    score = lambda field: of(field).withColumn("score", F.col("value").cast("double"))
+    ielts = score_outcome(score("minimumIELTS").withColumn("score_kind", F.col("cand_kind")), "minimumIELTS").withColumn("confidence", F.lit(0.9))
+    toefl = score_outcome(score("minimumTOEFL"), "minimumTOEFL").withColumn("confidence", F.lit(0.85))
+    due = [deadline_outcome(of(f).select("institution_id", F.col("value").cast("date").alias("date"), F.col("cand_kind").alias("date_kind")), f).withColumn("confidence", F.lit(0.75)) for f in ("applicationDeadline", "scholarshipDeadline")]
+    judged = ielts
+    for part in (toefl, *due):
+        judged = judged.unionByName(part)
+    policy = of("satPolicy").groupBy(*key).agg(F.min_by("confidence", order).alias("confidence")).select(*key, F.lit(None).cast("string").alias("value"), none.alias("errors"), none.alias("warnings"), "confidence")
+    judged = judged.unionByName(policy).join(evidence, key, "left")
+    judged = judged.withColumn("value", F.when(F.col("field") == "satPolicy", F.col("first_value")).otherwise(F.col("value"))).drop("first_value")
+
+    # of the aid pages that speak, the strongest
+    aid = of(*AID_FIELDS)
+    strongest = aid.groupBy("institution_id").agg(F.min_by("page_id", F.struct(-F.col("confidence"), F.col("page_id"))).alias("page_id"))
+    spoken = aid.join(strongest, ["institution_id", "page_id"]).select(*key, "value", none.alias("errors"), F.col("issues").alias("warnings"), "confidence", *shown)
+
+    rows = rows.unionByName(judged).unionByName(spoken)
+    has_evidence = F.col("evidence_url").isNotNull()
+    return demote(rows.withColumn("verdict", E.verdict((F.size("errors") > 0) | F.col("value").isNull(), has_evidence, F.size("warnings") > 0, F.col("confidence"))))
+
+
+def scope_refusals(pages: DataFrame) -> DataFrame:
+    """Fields that a page would have fed, were it not written for other applicants."""
+    wrong = ~F.col("scope").isin(*signals.FIRST_YEAR_SCOPES)
+    out = None
+    for route, fields in REFUSED.items():
+        part = pages.where(F.col("kind").isin(*ROUTES[route]) & wrong).select("institution_id", F.explode(S.str_array(fields)).alias("field"), F.replace(F.col("scope"), F.lit("_"), F.lit(" ")).alias("_scope"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("institution_id", "field", S.fill(signals.SCOPE_REFUSAL, scope=F.col("_scope"), field=F.col("field")).alias("reason"))
 
 
 CONSISTENCY = [
@@ -437,10 +490,12 @@ def demote(judged: DataFrame) -> DataFrame:
     ).drop("_bad")
 
 
-def review_table(outcomes: DataFrame, money: DataFrame, flags: DataFrame) -> DataFrame:
-    """accepted, review, rejected, excluded figures and no-evidence fields as one table."""
+def review_table(outcomes: DataFrame, candidates: DataFrame, money: DataFrame, flags: DataFrame, refusals: DataFrame) -> DataFrame:
+    """Outcomes, excluded figures, unrouted values and fields without evidence as one table."""
     accounted = outcomes.select("institution_id", "field")
-    silent = flags.where(F.col("state") == "UNKNOWN").select("institution_id", "field", "reason").distinct().join(accounted, ["institution_id", "field"], "left_anti")
+    unspoken = flags.where(F.col("state") == "UNKNOWN").select("institution_id", "field", "reason").unionByName(refusals).distinct()
+    silent = unspoken.join(accounted, ["institution_id", "field"], "left_anti").select("institution_id", "field", F.lit(None).cast("string").alias("value"), F.lit("NO_EVIDENCE").alias("verdict"), "reason")
     main = outcomes.select("institution_id", "field", "value", "verdict", F.get(F.concat("errors", "warnings"), F.lit(0)).alias("reason"))
     left_out = money.where(F.col("excluded").isNotNull()).select("institution_id", "field", S.num_text(F.col("value")).alias("value"), F.lit("EXCLUDED").alias("verdict"), F.col("excluded").alias("reason"))
-    return main.unionByName(left_out).unionByName(silent.withColumn("verdict", F.lit("NO_EVIDENCE")), allowMissingColumns=True)
+    unrouted = candidates.where(~F.col("field").isin(*VALIDATED)).select("institution_id", "field", "value", F.lit("UNROUTED").alias("verdict"), F.lit(None).cast("string").alias("reason"))
+    return main.unionByName(left_out).unionByName(unrouted).unionByName(silent)

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from waymark import signals
 from waymark.functions import html as H, scalar as S, urls as U
 from waymark.operators import registry as R
-from waymark.session import spread
 
 YEAR = r"\b(20\d{2})\s*[-–/]\s*(\d{2}|20\d{2})\b"
 
@@ -29,10 +28,10 @@ def current_academic_year(as_of: str) -> str:
 
 
 def with_content(pages: DataFrame) -> DataFrame:
-    """The html column is read once and not carried past this step."""
-    main = spread(pages, "page_id").withColumn("main", H.main_content(F.col("html")))
+    """The html column is read where it lies, once, and not carried past this step."""
+    main = pages.withColumn("main", H.main_content(F.col("html")))
     return main.withColumns({
-        "title": H.title_of(F.col("html")), "main_html": F.col("main.html"), "used_main": F.col("main.used_main"),
+        "content_hash": F.sha2(F.col("html").cast("binary"), 256), "title": H.title_of(F.col("html")), "main_html": F.col("main.html"), "used_main": F.col("main.used_main"),
         "published": first_date(F.col("html"), F.col("url"), PUBLISHED), "updated": first_date(F.col("html"), F.col("url"), UPDATED),
     }).withColumns({
         "text": H.text_of(F.col("main_html")), "headings": H.headings_of(F.col("main_html")),

@@ -31,12 +31,14 @@ def _text(spark, sf):
     return materialize(G.with_content(V.rendered(spark, sf)), "content")
 
 
-def _content(spark, sf):
-    return materialize(G.with_scope(_text(spark, sf)), "scoped")
+def _content(spark, sf, pages=None):
+    """Content and scope as one written stage."""
+    return materialize(G.with_scope(G.with_content(V.rendered(spark, sf) if pages is None else pages)), "scoped")
 
 
 def _temporal(spark, sf):
-    return materialize(G.with_temporal(_content(spark, sf), B.AS_OF), "dated")
+    """Content, scope and dates as one written stage."""
+    return materialize(G.with_temporal(G.with_scope(G.with_content(V.rendered(spark, sf))), B.AS_OF), "dated")
 
 
 def _scored(spark, sf):
@@ -225,10 +227,9 @@ def aid_flags(spark, sf):
     return X.aid_flags(X.aid_signals(_text(spark, sf))).select("page_id", "field", "state", "value")
 
 
-@query("deadline_tokens", TRUTH + "SELECT k AS page_id, due AS date, 'application' AS date_kind FROM v_r WHERE kind IN ('deadlines', 'admissions', 'testing_policy', 'tuition')")
+@query("deadline_tokens", TRUTH + "SELECT k AS page_id, due AS date, 'application' AS date_kind FROM v_r")
 def deadline_tokens(spark, sf):
-    c = _text(spark, sf).where(F.col("kind").isin("deadlines", "admissions", "testing_policy", "tuition"))
-    return X.deadline_tokens(c).select("page_id", "date", "date_kind")
+    return X.deadline_tokens(_text(spark, sf)).select("page_id", "date", "date_kind")
 
 
 @query("cds_fields", """SELECT p_partkey AS page_id, '2026-27' AS academic_year, unnest(['sat25', 'sat75', 'satPolicy', 'tuition', 'admitRate']) AS field,
@@ -273,10 +274,9 @@ def validate_scores(spark, sf):
 
 
 @query("validate_deadline", TRUTH + """SELECT institution_id, CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) END AS value, lo IS NULL OR lo <> hi AS failed FROM (SELECT institution_id, min(due) FILTER (WHERE due BETWEEN DATE '2026-08-01' AND DATE '2027-12-31') AS lo,
- max(due) FILTER (WHERE due BETWEEN DATE '2026-08-01' AND DATE '2027-12-31') AS hi FROM v_served WHERE kind IN ('deadlines', 'admissions') GROUP BY institution_id) t""")
+ max(due) FILTER (WHERE due BETWEEN DATE '2026-08-01' AND DATE '2027-12-31') AS hi FROM v_served WHERE kind IN ('deadlines', 'admissions', 'scholarships') GROUP BY institution_id) t""")
 def validate_deadline(spark, sf):
-    pages = X.routed(_content(spark, sf), "deadlines").where(F.col("kind") != "scholarships")
-    out = X.deadline_outcome(X.deadline_tokens(pages), "applicationDeadline")
+    out = X.deadline_outcome(X.deadline_tokens(X.routed(_content(spark, sf), "deadlines")), "applicationDeadline")
     return out.select("institution_id", "value", (F.size("errors") > 0).alias("failed"))
 
 
@@ -289,18 +289,32 @@ def record_consistency(spark, sf):
     return X.consistency_issues(p, "record_id").select("record_id", "field")
 
 
-@query("extract_candidates")
+def _evidence_pages(spark, sf):
+    """The rendered pages and Common Data Sets of every second institution."""
+    return _content(spark, sf, V.rendered(spark, sf).unionByName(V.cds_rendered(spark, sf)))
+
+
+def _candidates(content):
+    return materialize(X.extract_candidates(content), "candidates")
+
+
+@query("extract_candidates", V.OUTCOMES.replace("WITH", TRUTH.rstrip() + ",", 1) + """
+SELECT page_id, field, value, unit, academic_year, year_source, cand_kind, confidence, from_cds, CASE WHEN from_cds THEN 'common_data_set' ELSE 'official_web' END AS source_type, true AS sourced FROM v_candidate""")
 def extract_candidates(spark, sf):
-    return X.extract_candidates(_content(spark, sf)).drop("ordinal")
+    found = X.extract_candidates(_evidence_pages(spark, sf))
+    sourced = F.col("url").isNotNull() & F.col("title").isNotNull() & (F.length("content_hash") == 64) & (F.length("excerpt") > 3)
+    return found.select("page_id", "field", "value", "unit", "academic_year", "year_source", "cand_kind", "confidence", "from_cds", "source_type", sourced.alias("sourced"))
 
 
-@query("proposals")
+@query("proposals", V.OUTCOMES.replace("WITH", TRUTH.rstrip() + ",", 1) + " SELECT institution_id, field, value, verdict, errors, warnings, source_type FROM v_proposal")
 def proposals(spark, sf):
-    return X.proposals(_content(spark, sf)).select("institution_id", "field", "value", "verdict", F.array_join("errors", " | ").alias("errors"), F.array_join("warnings", " | ").alias("warnings"))
+    out = X.proposals(_candidates(_evidence_pages(spark, sf)))
+    return out.select("institution_id", "field", "value", "verdict", F.array_join("errors", " | ").alias("errors"), F.array_join("warnings", " | ").alias("warnings"), F.col("evidence_source_type").alias("source_type"))
 
 
-@query("outcome_union")
+@query("outcome_union", V.OUTCOMES.replace("WITH", TRUTH.rstrip() + ",", 1) + V.REVIEW)
 def outcome_union(spark, sf):
-    content = _content(spark, sf)
+    content = _evidence_pages(spark, sf)
+    candidates = _candidates(content)
     flags = X.aid_flags(X.aid_signals(X.routed(content, "aid")))
-    return X.review_table(X.proposals(content), X.money_scoped(X.routed(content, "money")), flags)
+    return X.review_table(X.proposals(candidates), candidates, X.money_scoped(X.routed(content, "money")), flags, X.scope_refusals(content))

@@ -299,3 +299,24 @@ DEADLINE_KINDS = [
 CYCLE = ("2026-08-01", "2027-12-31")
 COST_CEILING = 120000
 STATES_FIGURES = r"[$£€¥₩]\s?\d[\d,]{2,}"
+
+# ---- fixed sentences of aid evidence and review ----------------------------
+
+AID_SILENT = "the page never states whether international students are eligible, so this cannot be concluded from it"
+AID_EXCLUDED = "the page states this aid is not open to international students"
+AID_FULL_NEED = "the page states that full demonstrated need is met, and that international students are eligible"
+AID_NO_FULL_NEED = "the page does not state that full demonstrated need is met; that is not evidence that it is not"
+AID_RIDE = "the page states an award covering tuition and living costs"
+AID_NO_RIDE = "the page does not describe an award covering living costs as well as tuition"
+AID_TUITION = "the page states an award covering full tuition"
+AID_NO_TUITION = "the page does not describe an award covering full tuition"
+AID_NEED_BASED = "the page states need-based aid and that international students are eligible"
+AID_NO_NEED_BASED = "international students are eligible to apply, but the page does not state that the aid is need-based"
+AID_CERTAIN = "the page states that full demonstrated need is met and that international students are eligible"
+AID_CONTEST = 'the page describes the award as a contest: "'
+AID_UNCLEAR = "the page mentions scholarships but does not say whether they are competitive, limited or dependable"
+AID_NOTHING = "the page states nothing about how aid is awarded"
+AID_ISSUE_SILENT = "the page does not explicitly state that international students are eligible; nothing about international aid can be concluded from it either way"
+AID_ISSUE_SIZE = "scholarships are mentioned but neither full tuition nor full cost is claimed; nothing is concluded about their size"
+AID_ISSUE_LIVING = "full tuition is claimed but living costs are not; these are different things and are recorded separately"
+SCOPE_REFUSAL = "the source is written for {scope} applicants; {field} describes a first-year undergraduate and cannot be taken from it"
