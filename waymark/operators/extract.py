@@ -225,7 +225,8 @@ def aid_flags(rows: DataFrame) -> DataFrame:
         F.when(tuition & ~ride, F.lit(signals.AID_ISSUE_LIVING)),
     ))
     t = F.col("text")
-    quoted = F.coalesce(first_excerpt(t, signals.AID_PATTERNS["meets_full_need"]), first_excerpt(t, signals.COMPETITIVE), first_excerpt(t, signals.AID_PATTERNS["any_scholarship"]))
+    telling = [signals.AID_PATTERNS["meets_full_need"], signals.COMPETITIVE, signals.AID_PATTERNS["any_scholarship"], signals.AID_PATTERNS["international_excluded"], signals.AID_PATTERNS["international_eligible"]]
+    quoted = F.coalesce(*[first_excerpt(t, p) for p in telling])
     return rows.select("institution_id", "page_id", issues.alias("issues"), quoted.alias("excerpt"), F.when(open_, 0.8).otherwise(0.3).alias("confidence"), F.inline(items))
 
 
