@@ -134,10 +134,6 @@ def fill(template: str, **cols) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def all_of(conditions) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

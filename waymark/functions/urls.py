@@ -90,11 +90,6 @@ def non_content_reason(url: Column) -> Column:
     )
 
 
-def is_sitemap(url: Column) -> Column:
-    p = F.lower(path(url))
-    return parseable(url) & (words(p).contains(" sitemap ") | p.endswith(".xml") | p.endswith(".xml.gz"))
-
-
 def _is_ip(h: Column) -> Column:
     return h.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") | h.startswith("[")
 

@@ -140,10 +140,6 @@ def scope_level(structural: Column, body: Column | None = None) -> Column:
     return level.otherwise("unknown")
 
 
-def scope_of(level: Column, structural: Column) -> Column:
-    return F.when((level == "first_year") & any_hit(structural, signals.INTERNATIONAL_MARKERS), F.lit("international_first_year")).otherwise(level)
-
-
 def audience_of(scope: Column, international: Column) -> Column:
     return (
         F.when(scope.isin("first_year", "international_first_year"), F.lit("first_year"))

@@ -61,7 +61,7 @@ def main_content(spark, sf):
     return m.select("page_id", F.col("m.used_main").alias("used_main"), text.rlike("99,999|Scholarship links|88,888|How to apply").alias("has_chrome"), text.contains("<h2>Costs</h2>").alias("has_costs"))
 
 
-@query("page_main_content")
+@query("page_main_content", r"SELECT page_id, CAST(length(html) AS INTEGER) AS before, CAST(length(regexp_extract(html, '(?s)<article\b.*?</article>', 0)) AS INTEGER) AS after, true AS used_main FROM pages")
 def page_main_content(spark, sf):
     m = B.table(spark, sf, "pages").select("page_id", F.length("html").alias("before"), H.main_content(F.col("html")).alias("m"))
     return m.select("page_id", "before", F.length("m.html").alias("after"), F.col("m.used_main").alias("used_main"))

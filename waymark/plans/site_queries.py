@@ -277,8 +277,7 @@ def scan_registry_json(spark, sf):
     lines = B.table(spark, sf, "supplier").selectExpr("""concat('{"version":1,"universities":[{"id":"u', s_suppkey, '",', CASE WHEN s_suppkey % 2 = 0 THEN concat('"officialDomains":["UNI', s_suppkey, '.edu"]') ELSE concat('"allowedDomains":["legacy', s_suppkey, '.edu"]') END, ',"pages":{"tuition":null}}]}') AS value""")
     path = run_folder(spark, "registry")
     lines.write.text(path)
-    entries = spark.read.schema(SRC.REGISTRY_SCHEMA).json(path).select(F.inline("universities"))
-    return SRC.normalize_entries(entries).select("id", F.array_join("allowedDomains", ",").alias("allowed"))
+    return SRC.read_registry(spark, path).select("id", F.array_join("allowedDomains", ",").alias("allowed"))
 
 
 @query("link_inventory", O.with_(O.PROFILE, O.OPTION) + "SELECT url, used, count(*) OVER (PARTITION BY url) AS uses FROM (SELECT official_url AS url, option_id || '.officialUrl' AS used FROM v_option UNION ALL SELECT 'https://aid.example.org/' || (option_id % 10), option_id || '.scholarshipUrl' FROM v_option) t")

@@ -23,15 +23,12 @@ def normalize_entries(entries: DataFrame) -> DataFrame:
     )
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(REGISTRY_SCHEMA).json(path, multiLine=True)
+def read_registry(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Registry entries from JSON files: one registry a line, or one spread over a file."""
+    raw = spark.read.schema(REGISTRY_SCHEMA).json(path, multiLine=multi_line)
     return normalize_entries(raw.select(F.inline("universities")))
 
 
-def registry_pages(entries: DataFrame) -> DataFrame:
-    return entries.select("id", F.explode("pages").alias("kind", "url"))
-
-
 def decode_xml(c: Column) -> Column:
     for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
         c = F.replace(c, F.lit(entity), F.lit(char))
@@ -54,11 +51,6 @@ def sitemap_entries(documents: DataFrame) -> DataFrame:
     )
 
 
-def read_sitemap_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Well-formed sitemap files through the native XML source."""
-    return spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
-
-
 def robots_sitemaps(documents: DataFrame) -> DataFrame:
     lines = documents.withColumn("line", F.explode(F.split("text", "\r?\n"))).drop("text")
     target = F.regexp_extract("line", r"(?i)^[ \t]*sitemap[ \t]*:[ \t]*(\S+)", 1)
