@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from waymark import fixed
 from waymark.operators import compare as C, diagnostics as D, explain as E, fits, pairs as P, roadmap as R, shortlist as L, whatif as W
-from waymark.plans import bindings as B, oracle_match as O
+from waymark.plans import bindings as B, match_queries as M, oracle_match as O
 from waymark.session import materialize
 
 QUERIES: dict = {}
@@ -51,10 +51,10 @@ def card_top_reasons(spark, sf):
     )
 
 
-@query("main_advantage_concern", O.PAIRS + f"SELECT profile_id, option_id, {O.ADVANTAGE} AS advantage, {O.CONCERN} AS concern FROM v_scored")
+@query("main_advantage_concern", M.KEPT + f"SELECT profile_id, option_id, {O.ADVANTAGE} AS advantage, {O.CONCERN} AS concern FROM v_kept")
 def main_advantage_concern(spark, sf):
-    pairs = P.pair_grid(B.ready_profiles(spark, sf).select(*P.PROFILE_SCORING), B.ready_options(spark, sf).select(*P.OPTION_SCORING))
-    return fits.score_pairs(pairs).select("profile_id", "option_id", E.main_advantage().alias("advantage"), E.main_concern().alias("concern"))
+    listed = L.shortlist(B.ready_profiles(spark, sf), B.ready_options(spark, sf))
+    return listed.select("profile_id", "option_id", E.main_advantage().alias("advantage"), E.main_concern().alias("concern"))
 
 
 # ---- comparison ----------------------------------------------------------

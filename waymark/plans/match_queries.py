@@ -22,16 +22,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def _pairs(spark, sf):
-    return P.pair_grid(
-        B.ready_profiles(spark, sf).select(*P.PROFILE_SCORING), B.ready_options(spark, sf).select(*P.OPTION_SCORING),
-    )
-
-
 def _shortlist(spark, sf):
     return L.shortlist(B.ready_profiles(spark, sf), B.ready_options(spark, sf))
 
 
+def _kept(spark, sf, profile=P.PROFILE_SCORING, option=P.OPTION_SCORING):
+    """Profile and option columns of the pairs that the shortlist keeps: a few per profile, however large the catalogue."""
+    profiles, options = B.ready_profiles(spark, sf).select(*profile), B.ready_options(spark, sf).select(*option)
+    return _shortlist(spark, sf).select("profile_id", "option_id").join(profiles, "profile_id").join(options, "option_id")
+
+
+KEPT = O.with_(O.PROFILE, O.OPTION, O.SCORED, O.SHORTLIST, " v_kept AS (SELECT * FROM v_scored SEMI JOIN v_shortlist USING (profile_id, option_id))")
+
+
 # ---- sources and scalar work ---------------------------------------------
 
 @query("scan_options", O.with_(O.PROFILE, O.OPTION) + """
@@ -97,63 +100,63 @@ def profile_option_pairs(spark, sf):
     ).select("profile_id", "option_id", "country", "region")
 
 
-@query("major_match_join", O.PAIRS + """
+@query("major_match_join", KEPT + """
 SELECT profile_id, option_id, intended_major, CASE WHEN major_exact THEN 'exact' WHEN adjacent_pos IS NOT NULL THEN 'adjacent' ELSE 'none' END AS match_kind,
-  CASE WHEN NOT major_exact THEN supported_majors[adjacent_pos] END AS closest FROM v_pair""")
+  CASE WHEN NOT major_exact THEN supported_majors[adjacent_pos] END AS closest FROM v_pair SEMI JOIN v_shortlist USING (profile_id, option_id)""")
 def major_match_join(spark, sf):
-    prepared = B.ready_options(spark, sf).withColumn("closest_by_major", F.array(*[
-        P.closest_major(F.col("supported_majors"), F.lit(m)) for m in fixed.MAJORS
-    ])).select("option_id", "major_ratings", "closest_by_major")
+    kept = _kept(spark, sf, ["profile_id", "intended_major", "major_index"], ["option_id", "supported_majors", "major_ratings"])
     rating = F.element_at("major_ratings", F.col("major_index"))
-    return P.pair_grid(
-        B.ready_profiles(spark, sf).select("profile_id", "intended_major", "major_index"), prepared,
-    ).select(
+    return kept.select(
         "profile_id", "option_id", "intended_major",
         F.when(rating == 100, "exact").when(rating == 62, "adjacent").otherwise("none").alias("match_kind"),
-        F.when(rating != 100, F.element_at("closest_by_major", F.col("major_index"))).alias("closest"),
+        F.when(rating != 100, P.closest_major(F.col("supported_majors"), F.col("intended_major"))).alias("closest"),
     )
 
 
 @query("region_fallback_join", O.with_(O.PROFILE, O.OPTION) + """
-SELECT DISTINCT p.profile_id, o.option_id, o.region FROM v_profile p, v_option o WHERE p.wants_specific
+SELECT profile_id, region, count(*) AS options FROM (SELECT DISTINCT p.profile_id, o.option_id, o.region FROM v_profile p, v_option o WHERE p.wants_specific
  AND NOT list_contains(p.preferred_countries, o.country)
- AND EXISTS (SELECT 1 FROM v_country c WHERE list_contains(p.preferred_countries, c.country) AND c.region = o.region)""")
+ AND EXISTS (SELECT 1 FROM v_country c WHERE list_contains(p.preferred_countries, c.country) AND c.region = o.region)) x GROUP BY ALL""")
 def region_fallback_join(spark, sf):
+    """How many options a profile's regions hold beyond its countries; countries are counted first, so no option is paired."""
     wishes = B.ready_profiles(spark, sf).where("wants_specific").select(
         "profile_id", "preferred_countries", F.explode("preferred_regions").alias("region"),
     )
-    offers = B.options(spark, sf).select("option_id", "country", "region")
+    offers = B.options(spark, sf).groupBy("region", "country").agg(F.count(F.lit(1)).alias("n"))
     return P.salted_join(wishes, offers, "region", "profile_id").where(
         ~F.array_contains("preferred_countries", F.col("country"))
-    ).select("profile_id", "option_id", "region")
+    ).groupBy("profile_id", "region").agg(F.sum("n").alias("options"))
 
 
-@query("in_scope_flag", O.PAIRS + "SELECT profile_id, option_id, outside_preferred FROM v_scored")
+@query("in_scope_flag", O.PAIRS + "SELECT profile_id, count(*) FILTER (WHERE NOT outside_preferred) AS inside, count(*) FILTER (WHERE outside_preferred) AS outside FROM v_scored GROUP BY profile_id")
 def in_scope_flag(spark, sf):
-    pairs = P.pair_grid(
-        B.ready_profiles(spark, sf).select("profile_id", "wants_specific", "preferred_countries"),
-        B.options(spark, sf).select("option_id", "country"),
-    )
-    outside = F.col("wants_specific") & ~F.array_contains("preferred_countries", F.col("country"))
-    return pairs.select("profile_id", "option_id", outside.alias("outside_preferred"))
-
-
-@query("academic_fit", O.PAIRS + "SELECT profile_id, option_id, academic_score, academic_label FROM v_scored")
+    """Options inside and outside a profile's countries, from counts per country."""
+    options = B.options(spark, sf)
+    per_country = options.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+    total = options.agg(F.count(F.lit(1))).scalar()
+    profiles = B.ready_profiles(spark, sf).select("profile_id", "wants_specific", "preferred_countries")
+    wanted = profiles.where("wants_specific").select("profile_id", F.explode(F.array_distinct("preferred_countries")).alias("country"))
+    own = P.salted_join(wanted, per_country, "country", "profile_id").groupBy("profile_id").agg(F.sum("n").alias("own"))
+    inside = F.when(F.col("wants_specific"), F.coalesce("own", F.lit(0).cast("bigint"))).otherwise(total)
+    return profiles.join(own, "profile_id", "left").select("profile_id", inside.alias("inside"), (total - inside).alias("outside"))
+
+
+@query("academic_fit", KEPT + "SELECT profile_id, option_id, academic_score, academic_label FROM v_kept")
 def academic_fit(spark, sf):
-    return fits.academic_fit(_pairs(spark, sf)).select("profile_id", "option_id", "academic_score", "academic_label")
+    return fits.academic_fit(_kept(spark, sf)).select("profile_id", "option_id", "academic_score", "academic_label")
 
 
-@query("financial_fit", O.PAIRS + f"SELECT profile_id, option_id, financial_score, verdict, CASE WHEN verdict = 'unknown' THEN 'unknown' ELSE {O.label('financial_score')} END AS financial_label, total_annual_cost, best_case_net_cost, funding_gap FROM v_scored")
+@query("financial_fit", KEPT + f"SELECT profile_id, option_id, financial_score, verdict, CASE WHEN verdict = 'unknown' THEN 'unknown' ELSE {O.label('financial_score')} END AS financial_label, total_annual_cost, best_case_net_cost, funding_gap FROM v_kept")
 def financial_fit(spark, sf):
-    return fits.financial_fit(_pairs(spark, sf)).select(
+    return fits.financial_fit(_kept(spark, sf)).select(
         "profile_id", "option_id", "financial_score", "verdict", "financial_label", "total_annual_cost", "best_case_net_cost", "funding_gap",
     )
 
 
 def _simple_fit(name, fn, col):
-    @query(name, O.PAIRS + f"SELECT profile_id, option_id, CAST({col}_score AS INTEGER) AS {col}_score, {O.label(f'{col}_score') if col != 'major' else chr(67) + 'ASE major_score WHEN 100 THEN ' + O.q('excellent') + ' WHEN 62 THEN ' + O.q('moderate') + ' ELSE ' + O.q('weak') + ' END'} AS {col}_label FROM v_scored")
+    @query(name, KEPT + f"SELECT profile_id, option_id, CAST({col}_score AS INTEGER) AS {col}_score, {O.label(f'{col}_score') if col != 'major' else chr(67) + 'ASE major_score WHEN 100 THEN ' + O.q('excellent') + ' WHEN 62 THEN ' + O.q('moderate') + ' ELSE ' + O.q('weak') + ' END'} AS {col}_label FROM v_kept")
     def run(spark, sf):
-        return fn(_pairs(spark, sf)).select("profile_id", "option_id", f"{col}_score", f"{col}_label")
+        return fn(_kept(spark, sf)).select("profile_id", "option_id", f"{col}_score", f"{col}_label")
     return run
 
 
@@ -164,31 +167,29 @@ _simple_fit("test_fit", fits.test_fit, "tests")
 _simple_fit("preference_fit", fits.preference_fit, "preference")
 
 
-@query("overall_score", O.PAIRS + "SELECT profile_id, option_id, academic_score, financial_score, CAST(major_score AS INTEGER) AS major_score, geography_score, scholarship_score, tests_score, preference_score, outside_preferred, score, category FROM v_scored")
+@query("overall_score", KEPT + "SELECT profile_id, option_id, academic_score, financial_score, CAST(major_score AS INTEGER) AS major_score, geography_score, scholarship_score, tests_score, preference_score, outside_preferred, score, category FROM v_kept")
 def overall_score(spark, sf):
-    return fits.score_pairs(_pairs(spark, sf)).select("profile_id", "option_id", *fits.SCORES, "outside_preferred", "score", "category")
+    return fits.score_pairs(_kept(spark, sf)).select("profile_id", "option_id", *fits.SCORES, "outside_preferred", "score", "category")
 
 
-@query("requires_aid", O.PAIRS + "SELECT profile_id, option_id, verdict IN ('potentially-affordable-with-aid', 'aid-dependent') AS requires_aid FROM v_scored")
+@query("requires_aid", O.PAIRS + "SELECT profile_id, count(*) FILTER (WHERE verdict IN ('potentially-affordable-with-aid', 'aid-dependent')) AS requires_aid FROM v_scored GROUP BY profile_id")
 def requires_aid(spark, sf):
-    return _pairs(spark, sf).select("profile_id", "option_id", fits.verdict().isin(*L.AID_VERDICTS).alias("requires_aid"))
+    """Options of the whole catalogue that a profile could only pay with aid, counted without pairs."""
+    counts = L.verdict_counts(B.ready_profiles(spark, sf), B.ready_options(spark, sf))
+    return counts.select("profile_id", F.col("aid_dependent_count").alias("requires_aid"))
 
 
-@query("viable_filter", O.PAIRS + "SELECT profile_id, option_id, verdict FROM v_scored WHERE NOT outside_preferred AND verdict <> 'above-budget'")
+@query("viable_filter", KEPT + "SELECT profile_id, option_id, verdict FROM v_kept WHERE NOT outside_preferred AND verdict <> 'above-budget'")
 def viable_filter(spark, sf):
-    profiles, options = B.ready_profiles(spark, sf), B.ready_options(spark, sf)
-    left = ["profile_id", "ceiling", "preferred_countries"]
-    right = ["option_id", "country", "total_annual_cost", "best_case_net_cost", "aid_dependable"]
-    near = P.country_pairs(profiles.where("wants_specific").select(*left), options.select(*right)).select(*left, *right)
-    wide = P.pair_grid(profiles.where("not wants_specific").select(*left), options.select(*right)).select(*left, *right)
-    return near.unionByName(wide).withColumn("verdict", fits.verdict()).where(F.col("verdict") != "above-budget").select(
-        "profile_id", "option_id", "verdict",
-    )
+    outside = F.col("wants_specific") & ~F.array_contains("preferred_countries", F.col("country"))
+    return _kept(spark, sf).withColumn("verdict", fits.verdict()).where(~outside & (F.col("verdict") != "above-budget")).select("profile_id", "option_id", "verdict")
 
 
-@query("rank_options", O.PAIRS + "SELECT profile_id, option_id, score, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, name, option_id) AS INTEGER) AS rank FROM v_scored")
+@query("rank_options", O.PAIRS + "SELECT * FROM (SELECT profile_id, option_id, score, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, name, option_id) AS INTEGER) AS rank FROM v_scored) r WHERE rank <= 8")
 def rank_options(spark, sf):
-    return L.rank_options(fits.score_pairs(_pairs(spark, sf))).select("profile_id", "option_id", "score", "rank")
+    """The best options of each profile by score alone; rows are cut to the best before they leave their task."""
+    scored = L.scored_candidates(B.ready_profiles(spark, sf), B.ready_options(spark, sf), min_results=2**31 - 1)
+    return L.rank_options(scored).where(F.col("rank") <= fixed.RESULT_COUNT).select("profile_id", "option_id", "score", "rank")
 
 
 @query("shortlist_relaxation", O.ALL + f"""
