@@ -37,7 +37,8 @@ FLUSH_BYTES = 6 << 20
 PARTS = 8
 
 CUT = "fragment bigint, doc_ids array<bigint>, text_keys array<bigint>, sizes array<int>, vertices binary, counts binary, grams binary"
-HELD = "doc_id bigint, text_key bigint, vertex bigint, n int, grams array<bigint>, dfs array<int>"
+HELD = "doc_id bigint, text_key bigint, vertex bigint, n int, bucket bigint, vertices array<bigint>, counts array<int>, grams array<bigint>, dfs array<int>"
+SETS = "vertex bigint, grams array<bigint>, dfs array<int>"
 _GRAM_BITS = 48
 
 
@@ -67,7 +68,7 @@ def _cut(batches: Iterator[pa.RecordBatch], n: int, fragments: int) -> Iterator[
             first = np.fromiter(fresh.values(), np.int64, len(fresh))
             grams = np.concatenate(held)
             owner = np.repeat(np.arange(len(held)), sizes[first])
-            where = ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+            where = _range_of(grams, fragments)
             order = np.argsort(where.astype(np.uint16) if fragments <= 1 << 16 else where, kind="stable")
             grams, owner = grams[order], owner[order]
             cuts = np.concatenate(([0], np.cumsum(np.bincount(where, minlength=fragments))))
@@ -78,9 +79,20 @@ def _cut(batches: Iterator[pa.RecordBatch], n: int, fragments: int) -> Iterator[
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
+def _range_of(values: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each value when all 64-bit values are cut into so many equal ones."""
+    return ((values.view(np.uint64) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where a sorted array has a new value."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
+
+
 def _shared(group: pa.Table, fragments: int) -> pa.Table:
-    """Of one fragment, the n-grams that two vertices or more have: a row per vertex, with how many have each."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("vertex", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.int64())), ("dfs", pa.list_(pa.int32()))])
+    """Of one fragment, the n-grams that two vertices or more have, with how many have each: a row per range of vertices."""
+    lists = pa.list_(pa.int64()), pa.list_(pa.int32())
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("vertex", pa.int64()), ("n", pa.int32()), ("bucket", pa.int64()), ("vertices", lists[0]), ("counts", lists[1]), ("grams", lists[0]), ("dfs", lists[1])])
     fragment = group["fragment"][0].as_py()
 
     def joined(name: str, type_: type) -> np.ndarray:
@@ -88,10 +100,9 @@ def _shared(group: pa.Table, fragments: int) -> pa.Table:
 
     vertices = joined("vertices", np.int64)
     if fragment >= fragments:
-        nothing = pa.nulls(len(vertices))
         ids, keys, sizes = (group[name].combine_chunks().flatten() for name in ("doc_ids", "text_keys", "sizes"))
         vertex = pa.array(vertices, pa.int64(), mask=sizes.to_numpy() == 0)
-        return pa.Table.from_arrays([ids, keys, vertex, sizes, nothing.cast(pa.list_(pa.int64())), nothing.cast(pa.list_(pa.int32()))], schema=schema)
+        return pa.Table.from_arrays([ids, keys, vertex, sizes, *(pa.nulls(len(ids), t) for t in schema.types[4:])], schema=schema)
 
     counts = joined("counts", np.uint32).astype(np.int64)
     raw = np.frombuffer(b"".join(group["grams"].to_pylist()), np.uint8).reshape(-1, _GRAM_BITS // 8)
@@ -105,18 +116,32 @@ def _shared(group: pa.Table, fragments: int) -> pa.Table:
     grams, owner = grams[keep], np.repeat(np.arange(len(vertices)), counts)[keep]
     order = np.argsort(grams)
     grams, owner = grams[order], owner[order]
-    first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.empty(0, np.int64)
-    runs = np.diff(np.append(first, len(grams)))
+    runs = np.diff(np.append(_starts(grams), len(grams)))
     df = np.repeat(runs, runs)
     many = df > 1
     grams, owner, df = grams[many], owner[many], df[many]
-    order = np.argsort(owner, kind="stable")
-    grams, owner, df = grams[order], owner[order], df[order]
+    bucket = _range_of(vertices, fragments)[owner]
+    order = np.lexsort((owner, bucket))
+    grams, owner, df, bucket = grams[order], owner[order], df[order], bucket[order]
     grams = (grams | np.uint64((fragment & 0x7FFF) << _GRAM_BITS)).view(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.empty(0, np.int64)
-    ends, of = pa.array(np.append(first, len(owner)), pa.int32()), owner[first]
-    empty = pa.nulls(len(first), pa.int64())
-    return pa.Table.from_arrays([empty, empty, pa.array(vertices[of]), pa.nulls(len(first), pa.int32()), pa.ListArray.from_arrays(ends, pa.array(grams)), pa.ListArray.from_arrays(ends, pa.array(df.astype(np.int32)))], schema=schema)
+    first, cut = _starts(owner), _starts(bucket)
+    of_gram = pa.array(np.append(cut, len(grams)), pa.int32())
+    of_owner = pa.array(np.searchsorted(first, np.append(cut, len(grams))), pa.int32())
+    empty = [pa.nulls(len(cut), t) for t in schema.types[:4]]
+    return pa.Table.from_arrays([
+        *empty, pa.array(bucket[cut]), pa.ListArray.from_arrays(of_owner, pa.array(vertices[owner[first]])), pa.ListArray.from_arrays(of_owner, pa.array(np.diff(np.append(first, len(grams))).astype(np.int32))),
+        pa.ListArray.from_arrays(of_gram, pa.array(grams)), pa.ListArray.from_arrays(of_gram, pa.array(df.astype(np.int32))),
+    ], schema=schema)
+
+
+def _sets(group: pa.Table) -> pa.Table:
+    """Of one range of vertices, what all fragments hold of each."""
+    vertices, counts, grams, dfs = (group[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("vertices", "counts", "grams", "dfs"))
+    owner = np.repeat(vertices, counts)
+    order = np.argsort(owner, kind="stable")
+    owner, first = owner[order], _starts(owner[order])
+    ends = pa.array(np.append(first, len(owner)), pa.int32())
+    return pa.Table.from_arrays([pa.array(owner[first], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(grams[order], pa.int64())), pa.ListArray.from_arrays(ends, pa.array(dfs[order], pa.int32()))], ["vertex", "grams", "dfs"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,13 +203,12 @@ def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, fragment
     fragments = max(1, -(-size // (BYTES_PER_SHINGLE * fragment_shingles)))
     cut = own.mapInArrow(lambda it: _cut(it, n, fragments), CUT)
     held = stage(cut.groupBy("fragment").applyInArrow(lambda t: _shared(t, fragments), HELD), "fragments")
-    rows = held.where("grams IS NULL").select("doc_id", "text_key", "vertex", "n")
-    shared = held.where("grams IS NOT NULL").select("vertex", "grams", "dfs")
+    rows = held.where("bucket IS NULL").select("doc_id", "text_key", "vertex", "n")
+    shared = held.where("bucket IS NOT NULL").select("bucket", "vertices", "counts", "grams", "dfs").groupBy("bucket").applyInArrow(_sets, SETS)
     sizes = rows.where("n > 0").groupBy("vertex").agg(F.max("n").alias("n"))
 
     least = F.ceil(F.col("n") * percent / 100)
-    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("grams", "dfs")]
-    able = shared.groupBy("vertex").agg(*lists).join(sizes, "vertex").where(F.size("grams") >= least)
+    able = shared.join(sizes, "vertex").where(F.size("grams") >= least)
     able = stage(able, "able-documents")
     of_part = [_of_part(k) for k in range(PARTS)]
     parts = stage(able.select("vertex", "n", F.posexplode(F.array(*of_part)).alias("part", "grams")), "parts")
