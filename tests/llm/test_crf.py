@@ -91,6 +91,11 @@ def test_odd_rows(odd, none, field):
     assert C.learn(odd).labels
 
 
+def test_numbers_that_count_as_words_are_no_letters(spark, field):
+    docs = spark.createDataFrame([(1, "½ ² ³ ¼ ¾ Ⅷ Ⅸ ① ② ③ ④"), (2, "½ ² ³ ¼ ¾ Ⅷ Ⅸ ① ② ③ the")], "doc_id bigint, text string")
+    assert [r.lang_pred == "und" for r in C.predict(docs, field).orderBy("doc_id").collect()] == [True, False]
+
+
 def test_few_kept_words_change_nothing(monkeypatch, field):
     texts = [f"The word number{i} and ünder der Wörter la maison {'abcdefgh' * (i % 9)}" for i in range(50)]
     whole = C.Labeller(field).label(texts)[2]

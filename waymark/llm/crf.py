@@ -305,7 +305,7 @@ def _languages(own: Labeller, texts: list[bytes]) -> tuple[list[str], list[float
     if len(some):
         mean[some] = np.add.reduceat(chance.astype(float), begin[some], axis=0) / lengths[some, None]
     best = mean.argmax(axis=1)
-    lettered = [n > 0 and (n > 8 or any(c.isalpha() for w in ws for c in w)) for ws, n in zip(found, lengths.tolist())]
+    lettered = [any(c.isalpha() for w in ws for c in w) for ws in found]
     return [labels[b] if ok else UNKNOWN for b, ok in zip(best, lettered)], [min(1.0, float(mean[i, b])) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, lettered))]
 
 
