@@ -85,8 +85,8 @@ def non_content_reason(url: Column) -> Column:
     mark = F.get(F.filter(S.str_array(signals.INDEX_MARKERS), lambda m: F.contains(hay, F.concat(F.lit(" "), m, F.lit(" ")))), F.lit(0))
     return F.coalesce(
         F.when(~parseable(url), F.lit("unparseable URL")).when(target == "/robots.txt", F.lit(signals.ROBOTS_REASON)),
-        F.concat(asset, F.lit(" is not a readable page")),
-        F.concat(F.lit('"'), mark, F.lit('" marks a machine-readable index, not a page')),
+        F.concat(asset, F.lit(signals.NOT_READABLE)),
+        F.concat(F.lit('"'), mark, F.lit(signals.INDEX_PAGE)),
     )
 
 
@@ -100,11 +100,11 @@ def policy_reason(url: Column, allowed: Column) -> Column:
     local = (h == "localhost") | h.endswith(".localhost") | h.endswith(".internal") | h.endswith(".local") | _is_ip(h)
     return (
         F.when(~parseable(url), F.lit("unparseable URL"))
-        .when(scheme(url) != "https", F.concat(F.lit("only https is permitted, got "), scheme(url), F.lit(":")))
-        .when(has_credentials(url), F.lit("credentials in URL"))
-        .when((port(url) != "") & (port(url) != "443"), F.concat(F.lit("non-standard port "), port(url)))
-        .when(local, F.concat(h, F.lit(" is not a public domain name")))
-        .when(~allowed, F.concat(h, F.lit(" is not an approved domain for this institution")))
+        .when(scheme(url) != "https", F.concat(F.lit(signals.ONLY_HTTPS), scheme(url), F.lit(":")))
+        .when(has_credentials(url), F.lit(signals.CREDENTIALS))
+        .when((port(url) != "") & (port(url) != "443"), F.concat(F.lit(signals.ODD_PORT), port(url)))
+        .when(local, F.concat(h, F.lit(signals.NOT_PUBLIC_NAME)))
+        .when(~allowed, F.concat(h, F.lit(signals.NOT_APPROVED)))
     )
 
 

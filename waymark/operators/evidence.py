@@ -17,10 +17,10 @@ def value_issues(values: DataFrame) -> DataFrame:
     v, status, evidence = F.col("value"), F.col("status"), F.col("evidence")
     empty = F.size(F.coalesce(evidence, F.expr("array()"))) == 0
     own = S.texts(
-        F.when((status == "unverified") & v.isNotNull(), F.lit("status is unverified but a value is present; unverified values must be null")),
-        F.when((status == "verified") & empty, F.lit("status is verified but no evidence is attached")),
-        F.when((status == "verified") & v.isNull(), F.lit("status is verified but the value is null")),
-        F.when((status == "derived") & (F.size(F.coalesce("derived_from", S.str_array([]))) == 0), F.lit("status is derived but no source fields are recorded")),
+        F.when((status == "unverified") & v.isNotNull(), F.lit(signals.UNVERIFIED_VALUE)),
+        F.when((status == "verified") & empty, F.lit(signals.VERIFIED_BARE)),
+        F.when((status == "verified") & v.isNull(), F.lit(signals.VERIFIED_NULL)),
+        F.when((status == "derived") & (F.size(F.coalesce("derived_from", S.str_array([]))) == 0), F.lit(signals.DERIVED_BARE)),
         F.when((F.col("confidence") < 0) | (F.col("confidence") > 1), F.concat(F.lit("confidence "), S.num_text(F.col("confidence")), F.lit(" is outside 0-1"))),
     )
 

@@ -9,11 +9,6 @@ from waymark.functions import html as H, scalar as S
 from waymark.operators import evidence as E
 from waymark.operators.pages import academic_years
 
-# an amount is a symbol with a grouped or plain number, or a number with a currency code; group commas never swallow blanks
-MONEY = r"(?:US\$|HK\$|S\$|[$£€¥₩])\s?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d{1,2})?|\b\d[\d,]{2,14}(?:\.\d{1,2})?\s?(?:USD|GBP|EUR|HKD|SGD|JPY|KRW|CHF|CZK|PLN|KZT|AED)\b"
-SYMBOL = r"(US\$|HK\$|S\$|[$£€¥₩]|USD|GBP|EUR|HKD|SGD|JPY|KRW|CHF|CZK|PLN|KZT|AED)"
-
-
 def spans(text: Column, pattern: str) -> Column:
     """All matches with their zero-based start: the pieces between matches give the offsets."""
     hits, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
@@ -55,11 +50,11 @@ def not_a_price(sentence_col: Column) -> Column:
 
 def money_tokens(rows: DataFrame, text: str) -> DataFrame:
     """One row per amount in ``text``: value, currency, unit, annual flag and owning sentence."""
-    out = rows.withColumn("m", F.explode(spans(F.col(text), MONEY)))
+    out = rows.withColumn("m", F.explode(spans(F.col(text), signals.MONEY)))
     start, size = F.col("m.start"), F.length("m.hit")
     out = out.withColumns({
         "start": start, "token": F.col("m.n"), "value": F.expr("try_cast(regexp_replace(m.hit, '[^0-9.]', '') AS decimal(18,2))"),
-        "currency": F.element_at(S.lit_map(signals.CURRENCIES), F.regexp_extract("m.hit", SYMBOL, 1)),
+        "currency": F.element_at(S.lit_map(signals.CURRENCIES), F.regexp_extract("m.hit", signals.SYMBOL, 1)),
         "sentence": sentence(F.col(text), start, size),
     }).drop("m").where(F.col("value") > 0)
     return with_unit(out)
@@ -287,18 +282,18 @@ def money_issues(rows: DataFrame) -> DataFrame:
     usd = F.col("currency") == "USD"
     v, unit = F.col("value"), F.col("unit")
     errors = S.texts(
-        F.when(v.isNull(), F.lit("no value extracted")),
-        F.when(F.col("currency").isNull(), F.lit("currency could not be determined; a bare number is not usable")),
+        F.when(v.isNull(), F.lit(signals.NO_VALUE)),
+        F.when(F.col("currency").isNull(), F.lit(signals.NO_CURRENCY)),
         F.when(unit.isin("per-credit", "per-course", "per-month", "per-week"),
-               S.fill("figure is quoted {u}, not annually; annualising it would require a course load or term count this source does not state", u=unit)),
-        F.when(usd & (v > signals.COST_CEILING), S.fill("{v} USD exceeds the plausible annual ceiling; likely a multi-year or programme total", v=S.num_text(v))),
-        F.when(F.col("year_ambiguous"), F.lit("the page lists several academic years; cannot attribute this figure to one")),
+               S.fill(signals.NOT_ANNUAL, u=unit)),
+        F.when(usd & (v > signals.COST_CEILING), S.fill(signals.OVER_CEILING, v=S.num_text(v))),
+        F.when(F.col("year_ambiguous"), F.lit(signals.SEVERAL_YEARS)),
     )
     warnings = S.texts(
-        F.when(unit.isin("per-semester", "per-quarter"), S.fill("figure is {u}; annualising requires knowing the number of terms, so this needs review", u=unit)),
-        F.when(unit == "unqualified", F.lit("the page does not state that this figure is annual; confirm before approving")),
-        F.when(usd & (v > 0) & (v < 100) & (unit != "per-credit"), S.fill("{v} USD is implausibly small for an annual figure", v=S.num_text(v))),
-        F.when(F.col("academic_year").isNull(), F.lit("no academic year attached; cost figures are cycle-specific")),
+        F.when(unit.isin("per-semester", "per-quarter"), S.fill(signals.NEEDS_TERMS, u=unit)),
+        F.when(unit == "unqualified", F.lit(signals.UNSTATED_UNIT)),
+        F.when(usd & (v > 0) & (v < 100) & (unit != "per-credit"), S.fill(signals.TOO_SMALL, v=S.num_text(v))),
+        F.when(F.col("academic_year").isNull(), F.lit(signals.NO_YEAR)),
     )
     return rows.withColumns({"errors": errors, "warnings": warnings})
 
@@ -323,9 +318,9 @@ def score_outcome(scores: DataFrame, field: str) -> DataFrame:
     )
     has = F.col("_overall") > 0
     lo, hi = F.when(has, F.col("_olo")).otherwise(F.col("_plo")), F.when(has, F.col("_ohi")).otherwise(F.col("_phi"))
-    error = F.when((F.col("_overall") == 0) & (F.col("_plain") == 0), F.lit("only per-section minimums found; the overall requirement is what the engine compares against")).when(
-        lo != hi, F.lit("conflicting overall minimums on the same page; requires review"))
-    warning = F.when(~has, F.lit('the page does not say "overall"; confirm this is not a section minimum'))
+    error = F.when((F.col("_overall") == 0) & (F.col("_plain") == 0), F.lit(signals.ONLY_SECTIONS)).when(
+        lo != hi, F.lit(signals.CONFLICTING_SCORES))
+    warning = F.when(~has, F.lit(signals.NOT_OVERALL))
     return agg.select(
         "institution_id", F.lit(field).alias("field"), F.when(error.isNull(), S.num_text(lo)).alias("value"), S.texts(error).alias("errors"),
         F.when(error.isNull(), S.texts(warning)).otherwise(S.str_array([])).alias("warnings"),
@@ -345,9 +340,9 @@ def deadline_outcome(dates: DataFrame, field: str, cycle=signals.CYCLE) -> DataF
     use = F.col("n_t") > 0
     lo, hi = F.when(use, F.col("lo_t")).otherwise(F.col("lo_l")), F.when(use, F.col("hi_t")).otherwise(F.col("hi_l"))
     error = (
-        F.when(F.col("n_l") == 0, F.lit("dates found but none is labelled as a deadline; a bare date is not a deadline"))
+        F.when(F.col("n_l") == 0, F.lit(signals.BARE_DATES))
         .when(lo.isNull(), F.lit(f"every candidate date falls outside the current cycle ({cycle[0]}..{cycle[1]}); the page is probably stale"))
-        .when(lo != hi, F.lit("several in-cycle deadlines found; pick one in review"))
+        .when(lo != hi, F.lit(signals.SEVERAL_DEADLINES))
     )
     return agg.select("institution_id", F.lit(field).alias("field"), F.when(error.isNull(), lo.cast("string")).alias("value"), S.texts(error).alias("errors"), S.str_array([]).alias("warnings"))
 
@@ -464,21 +459,10 @@ def scope_refusals(pages: DataFrame) -> DataFrame:
     return out.select("institution_id", "field", S.fill(signals.SCOPE_REFUSAL, scope=F.col("_scope"), field=F.col("field")).alias("reason"))
 
 
-CONSISTENCY = [
-    ("fullTuitionPossible", "v['fullRidePossible'] = 'true' AND v['fullTuitionPossible'] = 'false'", "a full ride necessarily covers tuition, so full tuition cannot be false"),
-    ("needBasedAidForInternationals", "v['meetsFullNeedForInternationals'] = 'true' AND v['needBasedAidForInternationals'] = 'false'", "meeting full demonstrated need is need-based aid"),
-    ("aidCertainty", "v['aidCertainty'] = 'meets-full-need' AND coalesce(v['meetsFullNeedForInternationals'], 'x') <> 'true'", "meets-full-need certainty requires an explicit institutional commitment"),
-    ("aidCertainty", "v['aidCertainty'] = 'minimal' AND v['fullRidePossible'] = 'true'", "a full ride contradicts minimal published aid"),
-    ("totalCostOfAttendance", "try_cast(v['totalCostOfAttendance'] AS double) < try_cast(v['tuition'] AS double)", "total cost is below tuition"),
-    ("minimumIELTS", "try_cast(v['minimumIELTS'] AS double) > try_cast(v['recommendedIELTS'] AS double)", "minimum exceeds the recommended threshold"),
-    ("satPolicy", "v['satPolicy'] = 'not-used' AND (v['minimumSAT'] IS NOT NULL OR v['recommendedSAT'] IS NOT NULL)", "a test-blind policy should not carry SAT thresholds"),
-]
-
-
 def consistency_issues(record_values: DataFrame, key: str = "institution_id") -> DataFrame:
     """Cross-field contradictions; a record has at most one row per known field, so its map is small."""
     record = record_values.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("v"))
-    items = S.texts(*[F.when(F.expr(cond), F.struct(F.lit(field).alias("field"), F.lit(message).alias("message"))) for field, cond, message in CONSISTENCY])
+    items = S.texts(*[F.when(F.expr(cond), F.struct(F.lit(field).alias("field"), F.lit(message).alias("message"))) for field, cond, message in signals.CONSISTENCY])
     return record.select(key, F.inline(items))
 
 

@@ -32,23 +32,12 @@ def with_content(pages: DataFrame) -> DataFrame:
     main = pages.withColumn("main", H.main_content(F.col("html")))
     return main.withColumns({
         "content_hash": F.sha2(F.col("html").cast("binary"), 256), "title": H.title_of(F.col("html")), "main_html": F.col("main.html"), "used_main": F.col("main.used_main"),
-        "published": first_date(F.col("html"), F.col("url"), PUBLISHED), "updated": first_date(F.col("html"), F.col("url"), UPDATED),
+        "published": first_date(F.col("html"), F.col("url"), signals.PUBLISHED), "updated": first_date(F.col("html"), F.col("url"), signals.UPDATED),
     }).withColumns({
         "text": H.text_of(F.col("main_html")), "headings": H.headings_of(F.col("main_html")),
     }).drop("html", "main")
 
 
-def _meta(name: str):
-    return [rf"""(?is)<meta[^>]+(?:property|name)=["']{name}["'][^>]+content=["']([^"']+)["']""",
-            rf"""(?is)<meta[^>]+content=["']([^"']+)["'][^>]+(?:property|name)=["']{name}["']"""]
-
-
-PUBLISHED = [*_meta("article:published_time"), *_meta("datePublished"), *_meta("pubdate"), *_meta("date"), *_meta("DC.date"),
-             r'(?i)"datePublished"\s*:\s*"([^"]+)"', r"""(?i)<time[^>]+datetime=["']([^"']+)["']""", "path"]
-UPDATED = [*_meta("article:modified_time"), *_meta("og:updated_time"), *_meta("dateModified"), r'(?i)"dateModified"\s*:\s*"([^"]+)"',
-           r"(?i)last\s+(?:updated|modified|reviewed)\s*:?\s*([A-Z][a-z]+ \d{1,2},? \d{4}|\d{4}-\d{2}-\d{2})"]
-
-
 def as_date(raw: Column) -> Column:
     return F.coalesce(F.try_to_date(F.substring(raw, 1, 10), "yyyy-MM-dd"), F.try_to_date(F.regexp_replace(raw, ",", ""), "MMMM d yyyy"))
 
@@ -209,14 +198,14 @@ def best_pages(ranked: DataFrame) -> DataFrame:
     spaced = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
     ru = F.col("runner_up")
     why = (
-        F.when(ru.isNull(), "no other candidate qualified")
-        .when(rank(signals.ROLE_RANK, F.col("role"), 0) != rank(signals.ROLE_RANK, ru["role"], 0), S.fill("{a} source outranks {b}", a=F.col("role"), b=ru["role"]))
+        F.when(ru.isNull(), signals.WHY_ALONE)
+        .when(rank(signals.ROLE_RANK, F.col("role"), 0) != rank(signals.ROLE_RANK, ru["role"], 0), S.fill(signals.WHY_ROLE, a=F.col("role"), b=ru["role"]))
         .when(rank(signals.SCOPE_RANK, F.col("scope"), 1) != rank(signals.SCOPE_RANK, ru["scope"], 1),
-              S.fill("written for {a} applicants rather than {b}", a=spaced(F.col("scope")), b=spaced(ru["scope"])))
-        .when(F.col("score") != ru["score"], S.fill("higher final score ({a} vs {b})", a=S.num_text(F.col("score")), b=S.num_text(ru["score"])))
+              S.fill(signals.WHY_SCOPE, a=spaced(F.col("scope")), b=spaced(ru["scope"])))
+        .when(F.col("score") != ru["score"], S.fill(signals.WHY_SCORE, a=S.num_text(F.col("score")), b=S.num_text(ru["score"])))
         .when(rank(signals.AUDIENCE_RANK, F.col("audience"), 3) != rank(signals.AUDIENCE_RANK, ru["audience"], 3),
-              S.fill("scores tied; audience {a} is preferred over {b}", a=F.col("audience"), b=ru["audience"]))
-        .otherwise(S.fill("scores tied ({a}); first by discovery order", a=S.num_text(F.col("score"))))
+              S.fill(signals.WHY_AUDIENCE, a=F.col("audience"), b=ru["audience"]))
+        .otherwise(S.fill(signals.WHY_ORDER, a=S.num_text(F.col("score"))))
     )
     return won.withColumn("why_it_won", why)
 

@@ -92,7 +92,7 @@ def academic_year(spark, sf):
 @query("page_dates", TRUTH + "SELECT k AS page_id, CASE k % 5 WHEN 1 THEN DATE '2026-06-15' WHEN 2 THEN DATE '2025-03-01' WHEN 3 THEN DATE '2023-01-10' END AS updated, CASE WHEN k % 10 = 9 THEN DATE '2019-03-01' END AS published FROM v_r")
 def page_dates(spark, sf):
     p = V.rendered(spark, sf)
-    return p.select("page_id", G.first_date(F.col("html"), F.col("url"), G.UPDATED).alias("updated"), G.first_date(F.col("html"), F.col("url"), G.PUBLISHED).alias("published"))
+    return p.select("page_id", G.first_date(F.col("html"), F.col("url"), signals.UPDATED).alias("updated"), G.first_date(F.col("html"), F.col("url"), signals.PUBLISHED).alias("published"))
 
 
 _STATUS = "CASE WHEN k % 10 = 9 OR k % 5 = 3 THEN 'historical' WHEN k % 7 <> 0 THEN 'current' WHEN k % 5 = 1 THEN 'current' ELSE 'dated' END"

@@ -320,3 +320,60 @@ AID_ISSUE_SILENT = "the page does not explicitly state that international studen
 AID_ISSUE_SIZE = "scholarships are mentioned but neither full tuition nor full cost is claimed; nothing is concluded about their size"
 AID_ISSUE_LIVING = "full tuition is claimed but living costs are not; these are different things and are recorded separately"
 SCOPE_REFUSAL = "the source is written for {scope} applicants; {field} describes a first-year undergraduate and cannot be taken from it"
+
+# ---- fixed patterns and sentences of extraction, validation and selection ----
+
+# an amount is a symbol with a grouped or plain number, or a number with a currency code; group commas never swallow blanks
+MONEY = r"(?:US\$|HK\$|S\$|[$£€¥₩])\s?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d{1,2})?|\b\d[\d,]{2,14}(?:\.\d{1,2})?\s?(?:USD|GBP|EUR|HKD|SGD|JPY|KRW|CHF|CZK|PLN|KZT|AED)\b"
+SYMBOL = r"(US\$|HK\$|S\$|[$£€¥₩]|USD|GBP|EUR|HKD|SGD|JPY|KRW|CHF|CZK|PLN|KZT|AED)"
+NO_VALUE = "no value extracted"
+NO_CURRENCY = "currency could not be determined; a bare number is not usable"
+NOT_ANNUAL = "figure is quoted {u}, not annually; annualising it would require a course load or term count this source does not state"
+OVER_CEILING = "{v} USD exceeds the plausible annual ceiling; likely a multi-year or programme total"
+SEVERAL_YEARS = "the page lists several academic years; cannot attribute this figure to one"
+NEEDS_TERMS = "figure is {u}; annualising requires knowing the number of terms, so this needs review"
+UNSTATED_UNIT = "the page does not state that this figure is annual; confirm before approving"
+TOO_SMALL = "{v} USD is implausibly small for an annual figure"
+NO_YEAR = "no academic year attached; cost figures are cycle-specific"
+ONLY_SECTIONS = "only per-section minimums found; the overall requirement is what the engine compares against"
+CONFLICTING_SCORES = "conflicting overall minimums on the same page; requires review"
+NOT_OVERALL = 'the page does not say "overall"; confirm this is not a section minimum'
+BARE_DATES = "dates found but none is labelled as a deadline; a bare date is not a deadline"
+SEVERAL_DEADLINES = "several in-cycle deadlines found; pick one in review"
+CONSISTENCY = [
+    ("fullTuitionPossible", "v['fullRidePossible'] = 'true' AND v['fullTuitionPossible'] = 'false'", "a full ride necessarily covers tuition, so full tuition cannot be false"),
+    ("needBasedAidForInternationals", "v['meetsFullNeedForInternationals'] = 'true' AND v['needBasedAidForInternationals'] = 'false'", "meeting full demonstrated need is need-based aid"),
+    ("aidCertainty", "v['aidCertainty'] = 'meets-full-need' AND coalesce(v['meetsFullNeedForInternationals'], 'x') <> 'true'", "meets-full-need certainty requires an explicit institutional commitment"),
+    ("aidCertainty", "v['aidCertainty'] = 'minimal' AND v['fullRidePossible'] = 'true'", "a full ride contradicts minimal published aid"),
+    ("totalCostOfAttendance", "try_cast(v['totalCostOfAttendance'] AS double) < try_cast(v['tuition'] AS double)", "total cost is below tuition"),
+    ("minimumIELTS", "try_cast(v['minimumIELTS'] AS double) > try_cast(v['recommendedIELTS'] AS double)", "minimum exceeds the recommended threshold"),
+    ("satPolicy", "v['satPolicy'] = 'not-used' AND (v['minimumSAT'] IS NOT NULL OR v['recommendedSAT'] IS NOT NULL)", "a test-blind policy should not carry SAT thresholds"),
+]
+WHY_ALONE = "no other candidate qualified"
+WHY_ROLE = "{a} source outranks {b}"
+WHY_SCOPE = "written for {a} applicants rather than {b}"
+WHY_SCORE = "higher final score ({a} vs {b})"
+WHY_AUDIENCE = "scores tied; audience {a} is preferred over {b}"
+WHY_ORDER = "scores tied ({a}); first by discovery order"
+
+def _meta(name: str):
+    return [rf"""(?is)<meta[^>]+(?:property|name)=["']{name}["'][^>]+content=["']([^"']+)["']""",
+            rf"""(?is)<meta[^>]+content=["']([^"']+)["'][^>]+(?:property|name)=["']{name}["']"""]
+
+
+PUBLISHED = [*_meta("article:published_time"), *_meta("datePublished"), *_meta("pubdate"), *_meta("date"), *_meta("DC.date"),
+             r'(?i)"datePublished"\s*:\s*"([^"]+)"', r"""(?i)<time[^>]+datetime=["']([^"']+)["']""", "path"]
+UPDATED = [*_meta("article:modified_time"), *_meta("og:updated_time"), *_meta("dateModified"), r'(?i)"dateModified"\s*:\s*"([^"]+)"',
+           r"(?i)last\s+(?:updated|modified|reviewed)\s*:?\s*([A-Z][a-z]+ \d{1,2},? \d{4}|\d{4}-\d{2}-\d{2})"]
+
+UNVERIFIED_VALUE = "status is unverified but a value is present; unverified values must be null"
+VERIFIED_BARE = "status is verified but no evidence is attached"
+VERIFIED_NULL = "status is verified but the value is null"
+DERIVED_BARE = "status is derived but no source fields are recorded"
+NOT_PUBLIC_NAME = " is not a public domain name"
+NOT_APPROVED = " is not an approved domain for this institution"
+ONLY_HTTPS = "only https is permitted, got "
+CREDENTIALS = "credentials in URL"
+ODD_PORT = "non-standard port "
+NOT_READABLE = " is not a readable page"
+INDEX_PAGE = '" marks a machine-readable index, not a page'
