@@ -152,3 +152,4 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int
                 yield pa.Table.from_batches([batch.slice(begin, i - begin)]), [b"" if t is None else t for t in column_.slice(begin, i - begin).cast(pa.binary()).to_pylist()]
                 begin, size = i, 0
             size += n
+        pa.default_memory_pool().release_unused()

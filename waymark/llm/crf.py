@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -265,13 +265,17 @@ class Labeller:
         self.known = np.empty((0, len(field.labels)), np.float32)
         self.filled = 0
 
-    def label(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-        """Words of each text, how many, and their probabilities in a row."""
+    def label(self, texts: Iterable[str], kept: list[list[str]] | None = None) -> tuple[np.ndarray, list[bool], np.ndarray]:
+        """How many words each text has, whether any has a letter, and the words' probabilities in a row. ``kept`` gets the words."""
         if len(self.words) > TABLE_WORDS:
             self.words, self.filled = _Words(), 0
-        found = [WORD.findall(t.lower()) for t in texts]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((self.words[w] for ws in found for w in ws), np.int64, int(lengths.sum()))
+        ids, lettered = [np.empty(0, np.int32)], []
+        for text in texts:
+            words = WORD.findall(text.lower())
+            ids.append(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)))
+            lettered.append(any(c.isalpha() for w in words for c in w))
+            if kept is not None:
+                kept.append(words)
         if self.words.new:
             upto = self.filled + len(self.words.new)
             if upto > len(self.known):
@@ -280,7 +284,8 @@ class Labeller:
                 self.known = grown
             self.known[self.filled:upto] = self.field.scores(self.words.new)
             self.filled, self.words.new = upto, []
-        return found, lengths, marginals(self.known[ids], lengths, self.field.transitions)
+        lengths = np.fromiter(map(len, ids[1:]), np.int64, len(ids) - 1)
+        return lengths, lettered, marginals(self.known[np.concatenate(ids)], lengths, self.field.transitions)
 
 
 _LABELLERS: dict[str, Labeller] = {}
@@ -298,14 +303,13 @@ def _languages(own: Labeller, texts: list[bytes]) -> tuple[list[str], list[float
     labels = own.field.labels
     if not labels:
         return [UNKNOWN] * len(texts), [0.0] * len(texts)
-    found, lengths, chance = own.label([t.decode("utf-8", "replace") for t in texts])
+    lengths, lettered, chance = own.label(t.decode("utf-8", "replace") for t in texts)
     begin = np.cumsum(lengths) - lengths
     some = np.flatnonzero(lengths)
     mean = np.zeros((len(texts), len(labels)))
     if len(some):
         mean[some] = np.add.reduceat(chance.astype(float), begin[some], axis=0) / lengths[some, None]
     best = mean.argmax(axis=1)
-    lettered = [any(c.isalpha() for w in ws for c in w) for ws in found]
     return [labels[b] if ok else UNKNOWN for b, ok in zip(best, lettered)], [min(1.0, float(mean[i, b])) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, lettered))]
 
 
@@ -334,7 +338,8 @@ def label_words(docs: DataFrame, field: Field) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = labeller(key, shared.value)
         for rows, texts in text_batches(batches, "text", BATCH_BYTES):
-            found, lengths, chance = own.label([t.decode("utf-8", "replace") for t in texts])
+            found: list[list[str]] = []
+            lengths, _, chance = own.label((t.decode("utf-8", "replace") for t in texts), found)
             names = np.array(own.field.labels, dtype=object)[chance.argmax(axis=1)] if len(chance) else np.empty(0, object)
             ends = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(v, t)) for v, t in (([w for ws in found for w in ws], pa.string()), (names, pa.string()), (chance.max(axis=1) if len(chance) else [], pa.float32()))]
