@@ -53,6 +53,19 @@ def test_random_strings_by_token_efficiency():
         assert S.random_spans(f"see {word} here", encoding, []) == [], word
 
 
+def test_random_letters():
+    with open(S.VOCABULARY, "rb") as f:
+        encoding = S.encoding_of(f.read())
+    rng = random.Random(3)
+
+    def letters(n):
+        return "".join(rng.choice(string.ascii_letters) for _ in range(n))
+
+    for _ in range(200):
+        for key in (letters(32), f"sk-{letters(32)}", f"{letters(28)}{rng.randrange(1000, 10000)}", "-".join(letters(4) for _ in range(8))):
+            assert S.random_spans(f"some words {key} and more", encoding, []) == [(11, 3, 11 + len(key))], key
+
+
 def test_whole_table(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in documents.collect()}

@@ -35,6 +35,7 @@ DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 #: Words, numbers, and words with a short number, joined by the usual signs.
 IDENTIFIER = re.compile(r"[-_/+=]*(?:(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)(?:[-_/+=]+|$))+")
+LETTERS = re.compile(r"[A-Za-z]+")
 
 OUT = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base string, spans string"
 
@@ -47,9 +48,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def known(run: str) -> bool:
-    """A digest of a usual length, a UUID, or an identifier."""
-    return run.isalpha() or (len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run) is not None) or UUID.fullmatch(run) is not None or IDENTIFIER.fullmatch(run) is not None
+def known(run: str, encoding: tiktoken.Encoding, most_ratio: float = MOST_RATIO) -> bool:
+    """A digest of a usual length, a UUID, or an identifier whose letters are no random ones: they have ``most_ratio`` characters per token or more."""
+    if (len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run) is not None) or UUID.fullmatch(run) is not None:
+        return True
+    if IDENTIFIER.fullmatch(run) is None:
+        return False
+    words = LETTERS.findall(run)
+    return sum(map(len, words)) >= most_ratio * sum(len(encoding.encode_ordinary(w)) for w in words)
 
 
 def random_spans(text: str, encoding: tiktoken.Encoding, base: list[tuple[int, int, int]], most_ratio: float = MOST_RATIO) -> list[tuple[int, int, int]]:
@@ -58,7 +64,7 @@ def random_spans(text: str, encoding: tiktoken.Encoding, base: list[tuple[int, i
     reach = list(itertools.accumulate((e for _, _, e in base), max))
     for m in RUN.finditer(text):
         run, before = m.group(), bisect.bisect_left(starts, m.end())
-        if known(run) or (before and reach[before - 1] > m.start()):
+        if known(run, encoding, most_ratio) or (before and reach[before - 1] > m.start()):
             continue
         if len(run) / len(encoding.encode_ordinary(run)) < most_ratio:
             out.append((m.start(), 3, m.end()))
