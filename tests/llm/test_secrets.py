@@ -66,6 +66,42 @@ def test_random_letters():
             assert S.random_spans(f"some words {key} and more", encoding, []) == [(11, 3, 11 + len(key))], key
 
 
+def test_keys_beside_words():
+    with open(S.VOCABULARY, "rb") as f:
+        encoding = S.encoding_of(f.read())
+    rng = random.Random(4)
+
+    def key(n, alphabet=string.ascii_letters + string.digits):
+        return "".join(rng.choice(alphabet) for _ in range(n))
+
+    paths = ["static/media/images/products/catalog/downloads/public/", "organization/department/projects/repository/documents/internal/", "12345678901234567890/internationalization-of-documentation/"]
+    for _ in range(100):
+        for path in paths:
+            for word in (key(24), key(32, string.ascii_letters)):
+                for text, at in ((path + word, len(path)), (f"{word}/{path}", 0)):
+                    found = S.random_spans(f"some words {text} and more", encoding, [])
+                    assert any(s <= 11 + at and e >= 11 + at + len(word) for s, _, e in found), (text, found)
+        # a base span takes only itself out of a run
+        access, secret = f"AKIA{key(16, string.ascii_uppercase)}", key(40)
+        for text in (f"{access}/{secret}", f"{secret}/{access}", f"{path}{secret}/{access}"):
+            base, at = S.base_spans(text), text.index(secret)
+            assert [k for _, k, _ in base] == [1] and (at, 3, at + 40) in S.random_spans(text, encoding, base), text
+
+
+def test_short_keys():
+    with open(S.VOCABULARY, "rb") as f:
+        encoding = S.encoding_of(f.read())
+    rng = random.Random(5)
+    keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(16)) for _ in range(300)]
+    assert sum(S.random_spans(f"some words {k} and more", encoding, []) == [(11, 3, 27)] for k in keys) > 285
+    plain = [
+        "organization/department/projects/documents/550e8400-e29b-41d4-a716-446655440000", "organization/department/projects/images/D41D8CD98F00B204E9800998ECF8427E/small", "to-be-or-not-to-be-it-is", "2024/01/15/12/30/45/001", "responsibilities", "en/us/v1/a/b/c/d/e/f",
+        "get_user_by_name", "archive/12345678901234567890",
+    ]
+    for word in plain:
+        assert S.random_spans(f"see {word} here", encoding, []) == [], word
+
+
 def test_whole_table(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in documents.collect()}

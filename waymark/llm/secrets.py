@@ -3,6 +3,8 @@
 A random string needs a token for every one or two characters, while words and
 names are covered by longer tokens. Runs of key characters with a low ratio of
 characters to tokens are reported, after digests and identifiers are set aside.
+A run is judged whole and, if it passes, by its pieces, so that words beside a
+key don't hide it.
 """
 
 from __future__ import annotations
@@ -27,9 +29,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "random"]
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
-#: A run of key characters is judged from this length on, and is random below this many characters per token.
-LEAST_RUN, MOST_RATIO = 20, 2.2
+#: Key characters are judged from this length on, and are random below this many characters per token.
+LEAST_RUN, MOST_RATIO = 16, 2.2
+#: Identifiers of under this length, where rare words come near MOST_RATIO, are random below this many characters per token.
+SHORT_RUN, SHORT_RATIO = 20, 1.6
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
+SIGNS = "+/_=-"
+PIECE = re.compile(r"[A-Za-z0-9]+|[+/_=-]+")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
@@ -49,25 +55,78 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def known(run: str, encoding: tiktoken.Encoding, most_ratio: float = MOST_RATIO) -> bool:
-    """A digest of a usual length, a UUID, or an identifier whose letters are no random ones: they have ``most_ratio`` characters per token or more."""
+    """A digest of a usual length, a UUID, or an identifier whose letters are no random ones: they have ``most_ratio`` characters per token or more.
+
+    Words of one token are left out of that ratio, so that they don't hide what stands beside them. In short identifiers, SHORT_RATIO is enough.
+    """
     if (len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run) is not None) or UUID.fullmatch(run) is not None:
         return True
     if IDENTIFIER.fullmatch(run) is None:
         return False
-    words = LETTERS.findall(run)
-    return sum(map(len, words)) >= most_ratio * sum(len(encoding.encode_ordinary(w)) for w in words)
+    words = [(len(w), len(encoding.encode_ordinary(w))) for w in LETTERS.findall(run)]
+    enough = most_ratio if len(run) >= SHORT_RUN else min(most_ratio, SHORT_RATIO)
+    return sum(n for n, k in words if k > 1) >= enough * sum(k for _, k in words if k > 1)
+
+
+def is_random(run: str, encoding: tiktoken.Encoding, most_ratio: float = MOST_RATIO) -> bool:
+    return len(run) >= LEAST_RUN and len(run) / len(encoding.encode_ordinary(run)) < most_ratio and not known(run, encoding, most_ratio)
+
+
+def dense(scores: list[float]) -> Iterator[tuple[int, int]]:
+    """Stretches of a positive sum, each up to where its sum is greatest; what follows is looked at anew."""
+    begin = 0
+    while begin < len(scores):
+        total = best = 0.0
+        end = begin
+        for k in range(begin, len(scores)):
+            total += scores[k]
+            if total <= 0:
+                break
+            if total > best:
+                best, end = total, k + 1
+        if end > begin:
+            yield begin, end
+        begin = max(end, begin + 1)
+
+
+def random_pieces(run: str, encoding: tiktoken.Encoding, most_ratio: float = MOST_RATIO) -> Iterator[tuple[int, int]]:
+    """Where the pieces of a run, alone or several in a row, are random; known strings between its signs are left out."""
+    ids = [(m.start(), m.end()) for m in UUID.finditer(run) if not run[m.start() - 1:m.start()].isalnum() and not run[m.end():m.end() + 1].isalnum()]
+    for begin, end in zip([0, *(e for _, e in ids)], [*(s for s, _ in ids), len(run)]):
+        pieces = [(begin + m.start(), begin + m.end(), m.group()) for m in PIECE.finditer(run[begin:end])]
+        scores = []
+        for _, _, piece in pieces:
+            digest = len(piece) in DIGEST_LENGTHS and DIGEST.fullmatch(piece) is not None
+            score = most_ratio * len(encoding.encode_ordinary(piece)) - len(piece)
+            # a long number must not make up for the words between it and a key
+            scores.append(-float("inf") if digest else min(score, most_ratio) if piece.isdigit() else score)
+        for first, last in dense(scores):
+            start, stop = pieces[first][0], pieces[last - 1][1]
+            inner = run[start:stop].lstrip(SIGNS)
+            start, inner = stop - len(inner), inner.rstrip("+/_-")
+            if is_random(inner, encoding, most_ratio):
+                yield start, start + len(inner)
 
 
 def random_spans(text: str, encoding: tiktoken.Encoding, base: list[tuple[int, int, int]], most_ratio: float = MOST_RATIO) -> list[tuple[int, int, int]]:
-    """Runs of few characters per token that no base span touches."""
+    """Runs of few characters per token, or such pieces of a run; of a run that base spans touch, what lies outside them is judged by its pieces."""
     out, starts = [], [s for s, _, _ in base]
     reach = list(itertools.accumulate((e for _, _, e in base), max))
     for m in RUN.finditer(text):
-        run, before = m.group(), bisect.bisect_left(starts, m.end())
-        if known(run, encoding, most_ratio) or (before and reach[before - 1] > m.start()):
+        before = bisect.bisect_left(starts, m.end())
+        if not (before and reach[before - 1] > m.start()):
+            run = m.group()
+            if is_random(run, encoding, most_ratio):
+                out.append((m.start(), 3, m.end()))
+            else:
+                out += [(m.start() + s, 3, m.start() + e) for s, e in random_pieces(run, encoding, most_ratio)]
             continue
-        if len(run) / len(encoding.encode_ordinary(run)) < most_ratio:
-            out.append((m.start(), 3, m.end()))
+        at = m.start()
+        # spans that end before the run have no part in it; the others stand in the order of their starts
+        for start, _, end in [*base[bisect.bisect_right(reach, m.start()):before], (m.end(), 0, m.end())]:
+            if start - at >= LEAST_RUN:
+                out += [(at + s, 3, at + e) for s, e in random_pieces(text[at:start], encoding, most_ratio)]
+            at = max(at, end)
     return out
 
 
