@@ -1,6 +1,7 @@
 import random
 
 from waymark.llm import lines as L
+from waymark.llm import queries
 
 
 def apart(a, b):
@@ -62,3 +63,26 @@ def test_odd_rows(odd, none):
     assert {r.text for r in cut.where("doc_id = 1").collect()} == {rows[0][1]}
     assert [r.text for r in cut.where("doc_id = 9").collect()] == [""]
     assert L.dropped_lines(none).count() == 0 and L.without_dropped(none).count() == 0
+
+
+def brute_every_length(rows, least=5):
+    """As brute, but equal lines of every length count; neighbours of one edit need ``least`` characters."""
+    places = sorted((((d is None), d or 0, n), d, n, line) for d, t in rows if t is not None for n, line in enumerate(t.split("\n")))
+    out = []
+    for i, (at, d, n, line) in enumerate(places):
+        for other_at, od, on, other in places[:i]:
+            edits = apart(line, other) if other_at < at else 2
+            if edits == 0 or (edits == 1 and min(len(line), len(other)) >= least):
+                out.append((d, n, od, on, edits))
+                break
+    return sorted(out, key=str)
+
+
+def test_short_lines_repeat(spark, tmp_path):
+    rng, rows = random.Random(6), []
+    for d in range(60):
+        rows.append((d, "\n".join(rng.choice(["Les.", "Les", "Less.", "a", "b", "", "--", "é😀", "Home", "Homes", "Homey", "long enough", "long enouhg", "long enoug"]) for _ in range(6))))
+    spark.createDataFrame([*rows, (None, "Les.\n\na"), (70, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = result(queries.QUERIES["op5_line_deletions"](spark, str(tmp_path)))
+    want = brute_every_length([*rows, (None, "Les.\n\na")])
+    assert {(r[4]) for r in want} == {0, 1} and got == want

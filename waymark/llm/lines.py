@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.llm.common import _INVERSE, _ODD, _powers, mix, stage
 
-#: Shorter lines are left alone: an edit is most of them.
+#: Shorter lines have no neighbours of one edit: an edit is most of them.
 LEAST_CHARS = 5
 #: Lines that may have a neighbour are broadcast up to this size, by this width of a row; more of them meet the texts by shuffle.
 BROADCAST_BYTES, ABLE_BYTES = 16 << 20, 64
@@ -72,19 +72,21 @@ def _rows(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int32()), pa.array(parts[2], pa.int64())], ["line", "place", "key"])
 
 
-def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_exact: int | None = None) -> DataFrame:
     """Lines that go: doc_id, line_no, keep_doc, keep_line, edits.
 
     A line goes if an earlier one, by doc_id (null last) and line number from
     0, is equal (edits 0) or one insertion, deletion or substitution away (1),
     whether that one stays or not; of all such, the earliest is named. Lines
-    end at line feeds. Null texts have no lines, and lines shorter than
-    ``least_chars`` stay. Repeated rows share their place, so neither goes for
+    end at line feeds. Null texts have no lines. Lines shorter than
+    ``least_chars`` have no neighbours of one edit, and those shorter than
+    ``least_exact`` (``least_chars`` unless given) stay; at 0 every repeated
+    line goes, empty ones too. Repeated rows share their place, so neither goes for
     the other's sake. Other columns are not read. Equal lines are those of one
     128-bit digest; linked ones are compared.
     """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
-    lines = _lines(docs).where(F.length("line") >= least_chars)
+    lines = _lines(docs).where(F.length("line") >= (least_chars if least_exact is None else min(least_exact, least_chars)))
     keyed = lines.select("doc_id", "line_no", *_address(F.col("line")), F.length("line").alias("n"), "line")
     halves = [F.col("halves")[i]["key"].alias(f"h{i}") for i in range(4)]
     narrow = keyed.select(place.alias("place"), "low", "high", "n", _halves().alias("halves")).select("place", "low", "high", "n", *halves)
@@ -94,7 +96,7 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     distinct = stage(distinct, "lines")
 
     half = F.explode(F.array(*[F.struct(F.col(f"h{i}").alias("key"), F.lit(i < 2).alias("own")) for i in range(4)])).alias("h")
-    halves = distinct.select("line", half).select("line", "h.key", "h.own")
+    halves = distinct.where(F.col("n") >= least_chars).select("line", half).select("line", "h.key", "h.own")
     shared = halves.groupBy("key").agg(F.count(F.when(F.col("own"), 1)).alias("own"), F.count(F.lit(1)).alias("all")).where("own > 0 AND all > 1").select("key")
     able = halves.join(shared, "key", "left_semi").select("line").distinct()
     able = stage(distinct.join(able, "line", "left_semi").select("line", "place", "low", "high"), "lines-with-half")

@@ -63,8 +63,8 @@ def op1(spark, sf):
 
 @query("op5_line_deletions")
 def op5(spark, sf):
-    """Lines of documents that repeat an earlier one, or differ from it by one edit."""
-    return lines.dropped_lines(table(spark, sf, "documents"))
+    """Lines of documents that repeat an earlier one, whatever their length, or differ from it by one edit."""
+    return lines.dropped_lines(table(spark, sf, "documents"), least_exact=0)
 
 
 @query("op9_perspectives", r"""WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
