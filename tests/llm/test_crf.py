@@ -103,3 +103,15 @@ def test_few_kept_words_change_nothing(monkeypatch, field):
     own = C.Labeller(field)
     parts = np.concatenate([own.label([t])[2] for t in texts])
     assert whole == pytest.approx(parts, abs=1e-5)
+
+
+def test_every_letter_of_a_long_run_is_read(field):
+    head, tail = "straßeund" * 3, "derwörter" * 3
+    runs = [f"{head}{middle}{tail}" for middle in ("thewhichthough" * 9, "maisonquelleoù" * 9)]
+    lengths, _, chance = C.Labeller(field).label(runs)
+    assert list(lengths) == [-(-len(run) // 30) for run in runs] and max(lengths) > 1
+    words = [C.WORD.findall(run) for run in runs]
+    assert ["".join(w) for w in words] == runs and all(len(w) <= C.LONGEST for ws in words for w in ws)
+    # the two differ in their middles alone, and so do their languages
+    first, second = chance[:lengths[0]].mean(axis=0), chance[lengths[0]:].mean(axis=0)
+    assert abs(first - second).max() > 0.1

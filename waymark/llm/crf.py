@@ -27,13 +27,13 @@ SAMPLE_ROWS, SAMPLE_CHARS = 300, 3000
 #: Training chains, their words, and the chance that the language switches after a word.
 CHAINS, CHAIN_WORDS, BATCH, SWITCH = 16000, 24, 64, 1 / 30
 BUCKETS, RATE, DECAY = 1 << 16, 0.1, 1e-6
-#: Words kept with their features in a Python worker, and longest word whose inner n-grams count.
+#: Words kept with their features in a Python worker, and the most letters of a word; longer runs of letters are several words in a row.
 TABLE_WORDS, LONGEST = 300_000, 30
 LEXICON_COUNT = 2
 BATCH_BYTES = 4 << 20
 UNKNOWN = "und"
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
