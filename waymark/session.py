@@ -42,12 +42,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return fallback
 
 
+_FOLDERS: dict[tuple[str, str], str] = {}
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for one stage in the shared folder; it goes when the driver ends."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+    """A new folder for one stage in the application's own part of the shared folder, which goes when the driver ends."""
+    shared = checkpoint_dir(spark).rstrip("/")
+    key = (spark.sparkContext.applicationId, shared)
+    if key not in _FOLDERS:
+        # only a folder that is there can be marked to go
+        own = f"{shared}/waymark-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(own)
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(at)
+        store.deleteOnExit(at)
+        _FOLDERS[key] = own
+    return f"{_FOLDERS[key]}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
