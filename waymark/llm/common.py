@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +9,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from waymark.session import checkpoint_dir
+from waymark.llm.files import qualified
+from waymark.session import run_folder
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the driver and all executors share."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path, with its scheme, in the folder that the driver and all executors share; it goes when the driver ends."""
+    return qualified(spark, run_folder(spark, name))
 
 
 def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:

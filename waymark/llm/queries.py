@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waymark.llm import crf, jaccard, lines, mixture, naming, perspectives, positional, reshard, secrets, warc
+from waymark.llm import alignment, collocation, crf, jaccard, lines, mixture, naming, perspectives, positional, reshard, secrets, token_files, warc
 from waymark.llm.common import table
 from waymark.session import tune
 
@@ -111,3 +111,21 @@ def op2(spark, sf):
     """Languages of whole documents, learned from the rows that are not held out."""
     docs = table(spark, sf, "documents")
     return crf.predict(docs, crf.learn(docs)).select("doc_id", crf.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op11_simple8b_ids")
+def op11(spark, sf):
+    """Token ids of whole documents, written to files in order and read back."""
+    return token_files.read_tokens(token_files.write_tokens(table(spark, sf, "documents"))).drop("ids")
+
+
+@query("op12_pointer_jumping")
+def op12(spark, sf):
+    """Groups and links of the tokens of two tokenizers."""
+    return alignment.align(table(spark, sf, "documents"))[0]
+
+
+@query("op13_count_streams")
+def op13(spark, sf):
+    """Phrases of each language that are said more often than their parts would be."""
+    return collocation.collocations(table(spark, sf, "documents"))

@@ -15,12 +15,12 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from waymark.llm.common import shared_path, stage
+from waymark.llm.files import opened, qualified
 
 # Fixed values of the format.
 SKIPPABLE = 0x184D2A5D
@@ -36,10 +36,6 @@ MANIFEST = "archive string, records bigint, payload_bytes bigint, stored_bytes b
 RECORDS = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
 
 
-def opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
-
-
 def dictionary_of(records: list[bytes], size: int = DICTIONARY_BYTES, sample_bytes: int = SAMPLE_BYTES) -> bytes:
     """A dictionary trained on records spread evenly over all; of too few, their content itself."""
     total = sum(map(len, records))
@@ -168,7 +164,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     those of the tasks that counted. An archive is at most ``archive_bytes``
     and one record in memory. Empty input gives an empty manifest.
     """
-    folder = folder or shared_path(pages.sparkSession, "warc")
+    folder = qualified(pages.sparkSession, folder) if folder else shared_path(pages.sparkSession, "warc")
     store, at = opened(folder)
     store.create_dir(at, recursive=True)
     return stage(roles(pages, least_bytes).mapInArrow(lambda it: _write(it, folder, archive_bytes, date), MANIFEST), "warc-manifest")
