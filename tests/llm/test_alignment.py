@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from waymark.llm import alignment as A
-from waymark.llm.tokens import bpe, pieces, sentence_pieces
+from waymark.llm.tokens import bpe, chunks, sentence_pieces
 
 
 @pytest.fixture(scope="module")
@@ -63,7 +63,7 @@ def test_against_running_offsets(documents, texts, both):
 
 
 def test_odd_texts(spark, both):
-    texts = ["a", " a", "  a  b", "\n", "▁", "a▁b", "<|endoftext|> x <s> <0x41>", "naïve ☃ 😀😀 한국어", "\x00\x01", "1 2 3 " * 900, "word " * 30_000, "it's  it 's", " ", "\u00a0x", "e\u0301"]
+    texts = ["a", " a", "  a  b", "\n", "▁", "a▁b", "<|endoftext|> x <s> <0x41>", "naïve ☃ 😀😀 한국어", "\x00\x01", "1 2 3 " * 900, "word " * 30_000, "it's  it 's", " ", "\u00a0x", "e\u0301", "\ufffd \ufffd"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(50, None), (51, "")], "doc_id bigint, text string")
     rows, _ = A.align(docs)
     want, _ = brute([(i, t) for i, t in enumerate(texts)] + [(50, None), (51, "")], both)
@@ -72,12 +72,13 @@ def test_odd_texts(spark, both):
     assert {4, 5, 50, 51} <= zeros and len(zeros) < 8
 
 
-def test_pieces_encode_like_the_whole(texts, both):
+def test_chunks_encode_like_the_whole(texts, both):
     left, right, *_ = both
-    text = "\n".join(texts.values())
-    assert len(list(pieces(text))) > 3
-    a, b = A.encoded(text, left, right)
-    assert a == left.encode(" " + text, add_special_tokens=False).ids and b == right.encode(text)
+    text = "\n".join(texts.values()) + " é à la  x\n y 's 12 ☃ a\u0301 b"
+    parts = chunks(text, 1000)
+    assert len(parts) > 10_000 and " ".join(parts) == text == " ".join(chunks(text))
+    assert [i for p in parts for i in left.encode(" " + p, add_special_tokens=False).ids] == left.encode(" " + text, add_special_tokens=False).ids
+    assert [i for p in parts for i in right.encode(p)] == right.encode(text)
     # what the cut rests on: a blank only begins a piece of words
     assert not any("▁" in p.lstrip("▁") for p in map(right.id_to_piece, range(right.get_piece_size())))
 

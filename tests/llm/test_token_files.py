@@ -7,7 +7,7 @@ import pytest
 from waymark.llm import simple8b as S
 from waymark.llm import token_files as T
 from waymark.llm.files import opened
-from waymark.llm.tokens import bpe, pieces
+from waymark.llm.tokens import bpe
 
 
 @pytest.fixture(scope="module")
@@ -70,13 +70,32 @@ def test_many_files_and_ids(spark, documents, texts, tokenizer, tmp_path):
     assert one.ids == [*tokenizer.encode(texts[7], add_special_tokens=False).ids, 1]
 
 
-def test_long_texts_in_pieces(texts, tokenizer):
-    text = "\n".join(texts.values()) + " é\u0301 <|endoftext|> it's A  b"
-    parts = list(pieces(text, 300))
-    assert len(parts) > 500 and " ".join(parts) == text
-    joined = [i for p in parts for i in tokenizer.encode(p, add_special_tokens=False).ids]
-    assert joined == tokenizer.encode(text, add_special_tokens=False).ids
-    assert list(pieces("1 2 3 " * 50, 10)) == ["1 2 3 " * 50]
+def test_chunks_encode_like_the_whole(texts, tokenizer):
+    with open(T.VOCABULARY, "rb") as f:
+        encoder = T.Encoder(f.read(), None)
+    tricky = ["it's A  b\n\nc", "x\u00a0y\u2003z \u0301a e\u0301", "<|endoftext|> a<|endoftext|>b", "ΑΣ ΑΣΑ", "a\tb\rc \n d", "12 3.4 !!?", "", " ", "End. Of, it's. a.. b., c?! D.", "<|STARTOFTEXT|> A. <|startoftext|>", "É. A\u0300. K\u212a. İ.", "a ★ b ★★c", "☆★"]
+    assert encoder.mark is not None
+    for text in [*texts.values(), "\n".join(texts.values()), *tricky]:
+        ids, lengths = encoder.encode([text.encode()])
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and lengths.tolist() == [len(ids)]
+
+
+def test_known_chunks_are_bounded(texts, tokenizer):
+    with open(T.VOCABULARY, "rb") as f:
+        encoder = T.Encoder(f.read(), 1, most=10)
+    for text in texts.values():
+        assert encoder.encode([text.encode()])[0].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_one_id_fills_several_buckets(spark, texts, tokenizer):
+    docs = spark.createDataFrame([(5 if i % 3 else i, t) for i, t in texts.items()] + [(None, t) for t in texts.values()], "doc_id bigint, text string")
+    manifest = T.write_tokens(docs, buckets=20)
+    files = manifest.collect()
+    assert max(r.documents for r in files) < 60 and len({r.bucket for r in files}) > 12
+    got = result(T.read_tokens(manifest))
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], tokenizer)
+    assert [r[0] for r in got] == [r[0] for r in want] and [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist()
+    assert sorted(r[2:] for r in got) == sorted(r[2:] for r in want)
 
 
 def test_damaged_file(spark, documents, tmp_path):

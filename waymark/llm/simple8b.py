@@ -39,15 +39,19 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     first, last = block_bounds(lengths)
     if not len(first):
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    bits = np.searchsorted(_EDGES, values, side="right") - 1
-    at = np.arange(len(values))
-    left = np.repeat(last, last - first) - at
-    selector = np.full(len(values), ESCAPE, np.int8)
+    bits = (np.searchsorted(_EDGES, values, side="right") - 1).astype(np.int8)
+    at = np.arange(len(values), dtype=np.int32 if len(values) < 1 << 31 else np.int64)
+    left = np.repeat(last, last - first).astype(at.dtype) - at
+    selector, widest = np.full(len(values), ESCAPE, np.int8), int(bits.max())
     # from few numbers a word to many, so that the densest that fits is what stays
     for s in [*range(len(COUNTS) - 1, -1, -1), ZERO_RUN]:
-        wide = np.where(bits > _BITS[s], at, len(values))
-        free = np.minimum.accumulate(wide[::-1])[::-1] - at
-        selector[free >= np.minimum(_COUNT[s], left)] = s
+        if _BITS[s] >= widest:
+            selector[:] = s
+            continue
+        free = np.where(bits > _BITS[s], at, at.dtype.type(len(values)))
+        np.minimum.accumulate(free[::-1], out=free[::-1])
+        free -= at
+        selector[free >= np.minimum(left, _COUNT[s].astype(at.dtype))] = s
     step = np.minimum(_COUNT[selector], left)
 
     begins = np.zeros(len(values), bool)
