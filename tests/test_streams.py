@@ -1,5 +1,10 @@
 """Streams over several unsorted files and tiny Arrow batches give what the whole table gives."""
 
+import datetime
+import json
+import time
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +45,41 @@ def test_progress(spark, files):
     once = spark.read.parquet(files).dropDuplicates(["event_id"])
     whole = {(r.user_id, r.event_type): r["count"] % 2 == 1 for r in once.groupBy("user_id", "event_type").count().collect()}
     assert streamed == whole and set(whole.values()) == {True, False}
+
+
+def test_changes_across_long_gaps(spark, tmp_path):
+    """Four batches, each 200 days after the one before; between them other URLs move the watermark on."""
+    start, schema = datetime.datetime(2024, 1, 1), "url string, ts timestamp, content_hash string"
+    rows = [[("a", start + datetime.timedelta(days=200 * k + d), h) for d, h in ((0, f"h{k // 2}"), (1, f"h{k // 2}"))] + [(f"other{k}", start + datetime.timedelta(days=200 * k + 150), "x")] for k in range(4)]
+    for k, batch in enumerate(rows):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # the source takes files in order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = FR.run_to_table(FR.change_stream(stream), "test-gaps")
+    assert out.count() and len(spark.read.parquet(str(tmp_path / "in")).inputFiles()) == 4
+    streamed = sorted(map(tuple, FR.latest_changes(out).collect()))
+    batch = sorted(map(tuple, FR.change_batch(spark.createDataFrame([r for b in rows for r in b], schema)).select("url", "ts", "before_hash", "after_hash").collect()))
+    assert [r[0] for r in batch] == ["a"] and streamed == batch
+
+
+def test_state_of_quiet_urls_is_one_snapshot():
+    """The state function alone, with a stand-in for the state."""
+    class Held:
+        exists, hasTimedOut, value, timeout = False, False, None, None
+        get = property(lambda self: self.value)
+
+        def update(self, value):
+            self.value, self.exists = value, True
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def setTimeoutTimestamp(self, at):
+            self.timeout = at
+
+    state = Held()
+    days = [pd.Timestamp("2024-01-01") + pd.Timedelta(days=d) for d in range(50)]
+    frame = pd.DataFrame({"ts": days, "content_hash": [f"h{d}" for d in range(50)]})
+    assert len(list(FR._changes(("a",), iter([frame]), state))[0]) == 49 and len(json.loads(state.value[0])) == 50
+    state.hasTimedOut = True
+    assert list(FR._changes(("a",), iter([]), state)) == [] and json.loads(state.value[0]) == [[days[-1].value, "h49"]]

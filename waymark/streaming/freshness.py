@@ -18,7 +18,7 @@ CHANGE = T.StructType([
 ])
 #: The snapshots a later one may still fall between, oldest first, as one JSON list.
 STATE = T.StructType([T.StructField("snapshots", T.StringType())])
-#: Snapshots may come this much later than the newest one; state older than that is dropped.
+#: Snapshots may come this much later than the newest one. Of older ones, a URL's state keeps the last, whatever its age.
 LATENESS = "90 days"
 
 
@@ -28,10 +28,11 @@ def _changes(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> I
     A later batch may give the same snapshot another predecessor; the newest
     batch counts. Rows are taken as a whole, so Arrow chunks make no difference.
     """
+    before = [tuple(s) for s in json.loads(state.get[0])] if state.exists else []
     if state.hasTimedOut:
-        state.remove()
+        # nothing can fall before the last one any more, and it is the predecessor of whatever comes next
+        state.update((json.dumps(before[-1:]),))
         return
-    before = [tuple(s) for s in json.loads(state.get[0])] if state.exists else []
     new = sorted({(int(ts.value), value) for chunk in chunks for ts, value in chunk[["ts", "content_hash"]].itertuples(index=False)} - set(before))
     horizon = state.getCurrentWatermarkMs() * 1_000_000
     seen = sorted(set(before) | set(new))
@@ -52,7 +53,9 @@ def change_stream(snapshots: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """``snapshots`` streams url, ts, content_hash in any order within the lateness.
 
     Emits url, ts, before_hash, after_hash whenever a snapshot gets a
-    predecessor; ``latest_changes`` keeps the newest per snapshot.
+    predecessor; ``latest_changes`` keeps the newest per snapshot. A URL that
+    is fetched again after any gap is compared with its last snapshot: once a
+    URL has been quiet for the lateness, its state is that one snapshot.
     """
     return snapshots.withWatermark("ts", lateness).groupBy("url").applyInPandasWithState(_changes, CHANGE, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
