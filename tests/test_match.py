@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from waymark import fixed
 from waymark.functions import scalar as S
-from waymark.operators import fits, pairs as P, shortlist as L, whatif as W
+from waymark.operators import catalogue as C, fits, pairs as P, shortlist as L, whatif as W
 from waymark.plans import bindings as B
 
 
@@ -105,3 +105,47 @@ def test_shortlist_plan_limits_groups_early_and_stays_out_of_python(spark, sf):
 
 def test_weights_sum_to_one():
     assert abs(sum(fixed.WEIGHTS.values()) - 1) < 1e-9
+
+
+def _all_pairs(spark, sf):
+    ready = P.prepare_profiles(B.profiles(spark, sf), B.country_dim(spark, sf))
+    pairs = P.pair_grid(ready.select(*P.PROFILE_SCORING), B.ready_options(spark, sf).select(*P.OPTION_SCORING))
+    for fit in fits.FITS:
+        pairs = fit(pairs)
+    return fits.overall_score(pairs)
+
+
+def test_fits_by_signature_equal_fits_over_all_pairs(spark, sf):
+    profiles, options = B.ready_profiles(spark, sf), B.ready_options(spark, sf)
+    every = _all_pairs(spark, sf).cache()
+    for name in C.READS:
+        want = every.groupBy("profile_id", f"{name}_label").agg(F.count(F.lit(1)).alias("options"), F.sum(f"{name}_score").alias("score_sum"))
+        got = C.fit_summary(profiles, options, name).groupBy("profile_id", f"{name}_label").agg(F.sum("options").alias("options"), F.sum("score_sum").alias("score_sum"))
+        assert got.count() > 0 and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str), name
+    every.unpersist()
+
+
+def test_equal_profiles_and_options_are_evaluated_once(spark, sf):
+    """A thousand copies of each profile and option: no more pairs than without, and counts a thousand times as large."""
+    profiles, options = B.ready_profiles(spark, sf).limit(20), B.ready_options(spark, sf)
+    many = lambda df, key: df.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(999)))).withColumn(key, F.col(key) + F.col("_c") * 1_000_000).drop("_c")
+    pairs = P.pair_grid(C._signatures(many(profiles, "profile_id"), *_reads("tests", 0)), C._signatures(many(options, "option_id"), *_reads("tests", 1)))
+    assert pairs.count() <= profiles.count() * options.count()
+    one, all_ = (C.fit_summary(p, o, "tests") for p, o in ((profiles, options), (many(profiles, "profile_id"), many(options, "option_id"))))
+    found = {(r.profile_id % 1_000_000, r.tests_label): (r.options, r.score_sum) for r in all_.collect()}
+    assert found == {(r.profile_id, r.tests_label): (1000 * r.options, 1000 * r.score_sum) for r in one.collect()}
+
+
+def _reads(name, side):
+    return C.READS[name][side], ("profile", "option")[side]
+
+
+def test_viable_counts_need_no_pairs(spark, sf):
+    profiles, options = B.ready_profiles(spark, sf), B.ready_options(spark, sf)
+    want = _all_pairs(spark, sf).where("NOT outside_preferred AND verdict <> 'above-budget'").groupBy("profile_id", "country").agg(F.count(F.lit(1)).alias("viable"))
+    got = C.viable_counts(profiles, options)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "option_id" not in plan.split("Relation")[0] and "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
+    dearest = profiles.withColumn("ceiling", F.lit(2).cast("bigint") ** 40)
+    assert C.viable_counts(dearest.withColumn("ceiling", F.col("ceiling").cast("bigint")), options).where("viable = 0").count() == 0

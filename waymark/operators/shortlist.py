@@ -86,29 +86,36 @@ def notice(mode, preferred, is_open):
     )
 
 
+def counts_up_to(prices: DataFrame, asked: DataFrame, key: list[str], counts: list[str]) -> DataFrame:
+    """``asked`` (key, ceiling, distinct) with the sums of ``counts`` over ``prices`` (key, cost) up to the ceiling; none where there is nothing.
+
+    Whole-dollar costs are counted in the ranges of every power of two; the
+    numbers up to a ceiling are the union of one such range per set bit of it,
+    so each ceiling meets its few ranges by an equi-join. No list is built up
+    to the dearest option.
+    """
+    sums = [F.sum(c).alias(c) for c in counts]
+    ranges = prices.select(*key, *counts, F.explode(F.sequence(F.lit(0), F.lit(COST_BITS))).alias("bit"), "cost").select(
+        *key, "bit", F.expr("shiftright(cost, bit)").alias("range"), *counts,
+    ).groupBy(*key, "bit", "range").agg(*sums)
+    above = F.greatest(F.floor("ceiling").cast("bigint") + 1, F.lit(0).cast("bigint"))
+    ceilings = asked.where(F.col("ceiling").isNotNull()).select(*key, "ceiling", F.least(above, F.lit(2 ** (COST_BITS + 1) - 1)).alias("above"))
+    bits = ceilings.select(*key, "ceiling", "above", F.explode(F.sequence(F.lit(0), F.lit(COST_BITS))).alias("bit")).where(F.expr("shiftright(above, bit) % 2 = 1"))
+    return bits.select(*key, "ceiling", "bit", F.expr("shiftright(above, bit) - 1").alias("range")).join(ranges, [*key, "bit", "range"]).groupBy(*key, "ceiling").agg(*sums)
+
+
 def verdict_counts(profiles: DataFrame, options: DataFrame, key=("profile_id",)) -> DataFrame:
     """Affordable / aid-dependent / above-budget counts over the whole catalogue, without pairing.
 
     A verdict group depends only on how a profile's ceiling compares with an
-    option's total and best-case cost. Whole-dollar costs are counted in the
-    ranges of every power of two; the numbers up to a ceiling are the union of
-    one such range per set bit of it, so each distinct ceiling meets its few
-    ranges by an equi-join. No list is built up to the dearest option.
+    option's total and best-case cost.
     """
     priced = options.where(F.col("total_annual_cost").isNotNull())
     prices = priced.select(F.inline(F.array(
-        F.struct(F.col("total_annual_cost").cast("bigint").alias("cost"), F.lit(1).alias("total"), F.lit(0).alias("best")),
-        F.struct(F.col("best_case_net_cost").cast("bigint").alias("cost"), F.lit(0).alias("total"), F.lit(1).alias("best")),
-    ))).groupBy("cost").agg(F.sum("total").alias("total"), F.sum("best").alias("best"))
-    ranges = prices.select("total", "best", F.explode(F.sequence(F.lit(0), F.lit(COST_BITS))).alias("bit"), "cost").select(
-        "bit", F.expr("shiftright(cost, bit)").alias("range"), "total", "best",
-    ).groupBy("bit", "range").agg(F.sum("total").alias("total"), F.sum("best").alias("best"))
-    above = F.greatest(F.floor("ceiling").cast("bigint") + 1, F.lit(0).cast("bigint"))
-    ceilings = profiles.select("ceiling").where(F.col("ceiling").isNotNull()).distinct().select("ceiling", F.least(above, F.lit(2 ** (COST_BITS + 1) - 1)).alias("above"))
-    bits = ceilings.select("ceiling", "above", F.explode(F.sequence(F.lit(0), F.lit(COST_BITS))).alias("bit")).where(F.expr("shiftright(above, bit) % 2 = 1"))
-    reached = bits.select("ceiling", "bit", F.expr("shiftright(above, bit) - 1").alias("range")).join(ranges, ["bit", "range"]).groupBy("ceiling").agg(
-        F.sum("total").alias("affordable"), F.sum("best").alias("within_best"),
-    )
+        F.struct(F.col("total_annual_cost").cast("bigint").alias("cost"), F.lit(1).alias("affordable"), F.lit(0).alias("within_best")),
+        F.struct(F.col("best_case_net_cost").cast("bigint").alias("cost"), F.lit(0).alias("affordable"), F.lit(1).alias("within_best")),
+    ))).groupBy("cost").agg(F.sum("affordable").alias("affordable"), F.sum("within_best").alias("within_best"))
+    reached = counts_up_to(prices, profiles.select("ceiling").distinct(), [], ["affordable", "within_best"])
     totals = options.agg(
         F.struct(
             F.count(F.lit(1)).alias("options"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark import fixed
-from waymark.operators import compare as C, diagnostics as D, explain as E, fits, pairs as P, roadmap as R, shortlist as L, whatif as W
+from waymark.operators import catalogue, compare as C, diagnostics as D, explain as E, fits, pairs as P, roadmap as R, shortlist as L, whatif as W
 from waymark.plans import bindings as B, match_queries as M, oracle_match as O
 from waymark.session import materialize
 
@@ -51,10 +51,10 @@ def card_top_reasons(spark, sf):
     )
 
 
-@query("main_advantage_concern", M.KEPT + f"SELECT profile_id, option_id, {O.ADVANTAGE} AS advantage, {O.CONCERN} AS concern FROM v_kept")
+@query("main_advantage_concern", O.PAIRS + f"SELECT profile_id, advantage, concern, count(*) AS options FROM (SELECT profile_id, {O.ADVANTAGE} AS advantage, {O.CONCERN} AS concern FROM v_scored) x GROUP BY ALL")
 def main_advantage_concern(spark, sf):
-    listed = L.shortlist(B.ready_profiles(spark, sf), B.ready_options(spark, sf))
-    return listed.select("profile_id", "option_id", E.main_advantage().alias("advantage"), E.main_concern().alias("concern"))
+    """Main advantages and concerns over the whole catalogue."""
+    return catalogue.advantage_summary(B.ready_profiles(spark, sf), B.ready_options(spark, sf))
 
 
 # ---- comparison ----------------------------------------------------------

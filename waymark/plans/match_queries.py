@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from waymark import fixed
 from waymark.functions import scalar as S
-from waymark.operators import fits, pairs as P, shortlist as L
+from waymark.operators import catalogue as C, fits, pairs as P, shortlist as L
 from waymark.plans import bindings as B, oracle_match as O
 
 QUERIES: dict = {}
@@ -26,13 +26,8 @@ def _shortlist(spark, sf):
     return L.shortlist(B.ready_profiles(spark, sf), B.ready_options(spark, sf))
 
 
-def _kept(spark, sf, profile=P.PROFILE_SCORING, option=P.OPTION_SCORING):
-    """Profile and option columns of the pairs that the shortlist keeps: a few per profile, however large the catalogue."""
-    profiles, options = B.ready_profiles(spark, sf).select(*profile), B.ready_options(spark, sf).select(*option)
-    return _shortlist(spark, sf).select("profile_id", "option_id").join(profiles, "profile_id").join(options, "option_id")
-
-
-KEPT = O.with_(O.PROFILE, O.OPTION, O.SCORED, O.SHORTLIST, " v_kept AS (SELECT * FROM v_scored SEMI JOIN v_shortlist USING (profile_id, option_id))")
+def _catalogue(spark, sf):
+    return B.ready_profiles(spark, sf), B.ready_options(spark, sf)
 
 
 # ---- sources and scalar work ---------------------------------------------
@@ -100,17 +95,13 @@ def profile_option_pairs(spark, sf):
     ).select("profile_id", "option_id", "country", "region")
 
 
-@query("major_match_join", KEPT + """
-SELECT profile_id, option_id, intended_major, CASE WHEN major_exact THEN 'exact' WHEN adjacent_pos IS NOT NULL THEN 'adjacent' ELSE 'none' END AS match_kind,
-  CASE WHEN NOT major_exact THEN supported_majors[adjacent_pos] END AS closest FROM v_pair SEMI JOIN v_shortlist USING (profile_id, option_id)""")
+@query("major_match_join", O.PAIRS + """
+SELECT profile_id, intended_major, match_kind, closest, count(*) AS options FROM (
+  SELECT profile_id, intended_major, CASE WHEN major_exact THEN 'exact' WHEN adjacent_pos IS NOT NULL THEN 'adjacent' ELSE 'none' END AS match_kind,
+    CASE WHEN NOT major_exact THEN supported_majors[adjacent_pos] END AS closest FROM v_pair) x GROUP BY ALL""")
 def major_match_join(spark, sf):
-    kept = _kept(spark, sf, ["profile_id", "intended_major", "major_index"], ["option_id", "supported_majors", "major_ratings"])
-    rating = F.element_at("major_ratings", F.col("major_index"))
-    return kept.select(
-        "profile_id", "option_id", "intended_major",
-        F.when(rating == 100, "exact").when(rating == 62, "adjacent").otherwise("none").alias("match_kind"),
-        F.when(rating != 100, P.closest_major(F.col("supported_majors"), F.col("intended_major"))).alias("closest"),
-    )
+    """How the options of the whole catalogue match a profile's major."""
+    return C.major_summary(*_catalogue(spark, sf))
 
 
 @query("region_fallback_join", O.with_(O.PROFILE, O.OPTION) + """
@@ -141,35 +132,29 @@ def in_scope_flag(spark, sf):
     return profiles.join(own, "profile_id", "left").select("profile_id", inside.alias("inside"), (total - inside).alias("outside"))
 
 
-@query("academic_fit", KEPT + "SELECT profile_id, option_id, academic_score, academic_label FROM v_kept")
-def academic_fit(spark, sf):
-    return fits.academic_fit(_kept(spark, sf)).select("profile_id", "option_id", "academic_score", "academic_label")
-
-
-@query("financial_fit", KEPT + f"SELECT profile_id, option_id, financial_score, verdict, CASE WHEN verdict = 'unknown' THEN 'unknown' ELSE {O.label('financial_score')} END AS financial_label, total_annual_cost, best_case_net_cost, funding_gap FROM v_kept")
-def financial_fit(spark, sf):
-    return fits.financial_fit(_kept(spark, sf)).select(
-        "profile_id", "option_id", "financial_score", "verdict", "financial_label", "total_annual_cost", "best_case_net_cost", "funding_gap",
-    )
-
+def _fit(key: str, name: str, label: str, by: str = "", gap: str = ""):
+    """A fit over the whole catalogue, per profile and label; the statement scores every pair."""
+    sql = f"SELECT profile_id, {by}{label} AS {name}_label, count(*) AS options, CAST(sum({name}_score) AS BIGINT) AS score_sum{gap} FROM v_scored GROUP BY ALL"
 
-def _simple_fit(name, fn, col):
-    @query(name, KEPT + f"SELECT profile_id, option_id, CAST({col}_score AS INTEGER) AS {col}_score, {O.label(f'{col}_score') if col != 'major' else chr(67) + 'ASE major_score WHEN 100 THEN ' + O.q('excellent') + ' WHEN 62 THEN ' + O.q('moderate') + ' ELSE ' + O.q('weak') + ' END'} AS {col}_label FROM v_kept")
+    @query(key, O.PAIRS + sql)
     def run(spark, sf):
-        return fn(_kept(spark, sf)).select("profile_id", "option_id", f"{col}_score", f"{col}_label")
+        return C.fit_summary(*_catalogue(spark, sf), name)
     return run
 
 
-_simple_fit("scholarship_fit", fits.scholarship_fit, "scholarship")
-_simple_fit("major_fit", fits.major_fit, "major")
-_simple_fit("geographic_fit", fits.geographic_fit, "geography")
-_simple_fit("test_fit", fits.test_fit, "tests")
-_simple_fit("preference_fit", fits.preference_fit, "preference")
+_fit("academic_fit", "academic", "academic_label")
+_fit("financial_fit", "financial", f"CASE WHEN verdict = 'unknown' THEN 'unknown' ELSE {O.label('financial_score')} END", "verdict, ", ", CAST(sum(funding_gap) AS BIGINT) AS gap_sum")
+_fit("scholarship_fit", "scholarship", O.label("scholarship_score"))
+_fit("major_fit", "major", "CASE major_score WHEN 100 THEN 'excellent' WHEN 62 THEN 'moderate' ELSE 'weak' END")
+_fit("geographic_fit", "geography", O.label("geography_score"))
+_fit("test_fit", "tests", O.label("tests_score"))
+_fit("preference_fit", "preference", O.label("preference_score"))
 
 
-@query("overall_score", KEPT + "SELECT profile_id, option_id, academic_score, financial_score, CAST(major_score AS INTEGER) AS major_score, geography_score, scholarship_score, tests_score, preference_score, outside_preferred, score, category FROM v_kept")
+@query("overall_score", O.PAIRS + "SELECT profile_id, category, outside_preferred, count(*) AS options, CAST(sum(score) AS BIGINT) AS score_sum FROM v_scored GROUP BY ALL")
 def overall_score(spark, sf):
-    return fits.score_pairs(_kept(spark, sf)).select("profile_id", "option_id", *fits.SCORES, "outside_preferred", "score", "category")
+    """Categories of the whole catalogue."""
+    return C.overall_summary(*_catalogue(spark, sf))
 
 
 @query("requires_aid", O.PAIRS + "SELECT profile_id, count(*) FILTER (WHERE verdict IN ('potentially-affordable-with-aid', 'aid-dependent')) AS requires_aid FROM v_scored GROUP BY profile_id")
@@ -179,10 +164,10 @@ def requires_aid(spark, sf):
     return counts.select("profile_id", F.col("aid_dependent_count").alias("requires_aid"))
 
 
-@query("viable_filter", KEPT + "SELECT profile_id, option_id, verdict FROM v_kept WHERE NOT outside_preferred AND verdict <> 'above-budget'")
+@query("viable_filter", O.PAIRS + "SELECT profile_id, country, count(*) AS viable FROM v_scored WHERE NOT outside_preferred AND verdict <> 'above-budget' GROUP BY ALL")
 def viable_filter(spark, sf):
-    outside = F.col("wants_specific") & ~F.array_contains("preferred_countries", F.col("country"))
-    return _kept(spark, sf).withColumn("verdict", fits.verdict()).where(~outside & (F.col("verdict") != "above-budget")).select("profile_id", "option_id", "verdict")
+    """Options of the whole catalogue that are in scope and not above the budget, counted without pairs."""
+    return C.viable_counts(*_catalogue(spark, sf))
 
 
 @query("rank_options", O.PAIRS + "SELECT * FROM (SELECT profile_id, option_id, score, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, name, option_id) AS INTEGER) AS rank FROM v_scored) r WHERE rank <= 8")
