@@ -89,6 +89,22 @@ def test_odd_rows(odd, none, field):
     empty = C.learn(none)
     assert empty.labels == [] and {(r.lang_pred, r.score) for r in C.predict(odd, empty).collect()} == {("und", 0.0)}
     assert C.learn(odd).labels
+    words = {r.doc_id: (r.words, r.langs, r.chances) for r in C.label_words(odd, empty).collect()}
+    assert words[8] == (["two", "words"], ["und", "und"], [0.0, 0.0]) and words[3] == words[4] == words[10] == ([], [], [])
+    assert C.label_words(none, field).count() == 0
+
+
+def test_clean_texts_are_kept(spark, larger, field):
+    """Text that switches evenly between all languages, and any text where no language could be learned."""
+    by_lang = [C.WORD.findall(r.text) for r in larger.where("length(text) > 1500").groupBy("lang").agg(F.max_by("text", "doc_id").alias("text")).collect()]
+    assert len(by_lang) == 4
+    mixed = [(i, " ".join(" ".join(words[i * 20:i * 20 + 25]) for words in by_lang)) for i in range(8)]
+    junk = [(100, "12 34 -- !!"), (101, ""), (102, None), (103, "½ ① ②")]
+    docs = spark.createDataFrame(mixed + junk, "doc_id bigint, text string")
+    assert max(r.score for r in C.predict(docs.where("doc_id < 100"), field).collect()) < 0.5
+    unlearned = C.learn(docs.withColumn("lang", F.lit(None).cast("string")))
+    for own in (field, unlearned):
+        assert sorted(r.doc_id for r in C.keep_identified(docs, own).collect()) == list(range(8))
 
 
 def test_numbers_that_count_as_words_are_no_letters(spark, field):

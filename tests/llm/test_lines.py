@@ -86,3 +86,9 @@ def test_short_lines_repeat(spark, tmp_path):
     got = result(queries.QUERIES["op5_line_deletions"](spark, str(tmp_path)))
     want = brute_every_length([*rows, (None, "Les.\n\na")])
     assert {(r[4]) for r in want} == {0, 1} and got == want
+
+
+def test_cut_texts_lose_short_repeats(spark):
+    docs = spark.createDataFrame([(1, "Home\nA first line\nx"), (2, "Home\nA first line\ny\nx"), (3, None)], "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in L.without_dropped(docs).collect()} == {1: "Home\nA first line\nx", 2: "y", 3: None}
+    assert {r.doc_id: r.text for r in L.without_dropped(docs, least_exact=None).collect()}[2] == "Home\ny\nx"

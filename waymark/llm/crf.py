@@ -299,18 +299,25 @@ def labeller(key: str, field: Field) -> Labeller:
     return _LABELLERS[key]
 
 
-def _languages(own: Labeller, texts: list[bytes]) -> tuple[list[str], list[float]]:
+def _languages(own: Labeller, texts: list[bytes]) -> tuple[list[str], list[float], list[float]]:
+    """Language, its share and the mean sureness of the words, of each text; a text without letters is unknown and of neither."""
     labels = own.field.labels
     if not labels:
-        return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        # nothing was learned: a text with letters is of an unknown language, and nothing speaks against it
+        sure = [float(any(c.isalpha() for c in t.decode("utf-8", "replace"))) for t in texts]
+        return [UNKNOWN] * len(texts), [0.0] * len(texts), sure
     lengths, lettered, chance = own.label(t.decode("utf-8", "replace") for t in texts)
     begin = np.cumsum(lengths) - lengths
     some = np.flatnonzero(lengths)
-    mean = np.zeros((len(texts), len(labels)))
+    mean, sure = np.zeros((len(texts), len(labels))), np.zeros(len(texts))
     if len(some):
         mean[some] = np.add.reduceat(chance.astype(float), begin[some], axis=0) / lengths[some, None]
+        sure[some] = np.add.reduceat(chance.max(axis=1).astype(float), begin[some]) / lengths[some]
     best = mean.argmax(axis=1)
-    return [labels[b] if ok else UNKNOWN for b, ok in zip(best, lettered)], [min(1.0, float(mean[i, b])) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, lettered))]
+    return (
+        [labels[b] if ok else UNKNOWN for b, ok in zip(best, lettered)], [min(1.0, float(mean[i, b])) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, lettered))],
+        [float(s) if ok else 0.0 for s, ok in zip(sure, lettered)],
+    )
 
 
 def predict(docs: DataFrame, field: Field) -> DataFrame:
@@ -325,40 +332,56 @@ def predict(docs: DataFrame, field: Field) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = labeller(key, shared.value)
         for rows, texts in text_batches(batches, "text", BATCH_BYTES):
-            names, scores = _languages(own, texts)
+            names, scores, _ = _languages(own, texts)
             yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks(), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def label_words(docs: DataFrame, field: Field) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, words, langs, chances, for text that switches languages."""
+    """Per row of ``docs`` (doc_id, text): doc_id, words, langs, chances, for text that switches languages.
+
+    Null, empty and letterless texts have empty lists; a field without
+    languages labels every word "und" with chance 0. Rows are labelled one by
+    one, so repeated rows and null ids keep their places. Empty input gives no
+    rows.
+    """
     shared, key = docs.sparkSession.sparkContext.broadcast(field), f"{id(field)}-{np.random.default_rng().integers(1 << 62)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = labeller(key, shared.value)
         for rows, texts in text_batches(batches, "text", BATCH_BYTES):
             found: list[list[str]] = []
-            lengths, _, chance = own.label((t.decode("utf-8", "replace") for t in texts), found)
-            names = np.array(own.field.labels, dtype=object)[chance.argmax(axis=1)] if len(chance) else np.empty(0, object)
+            read = [t.decode("utf-8", "replace") for t in texts]
+            if own.field.labels:
+                lengths, _, chance = own.label(read, found)
+            else:
+                found = [WORD.findall(t.lower()) for t in read]
+                lengths, chance = np.array(list(map(len, found)), np.int64), np.zeros((sum(map(len, found)), 1))
+            names = np.array(own.field.labels or [UNKNOWN], dtype=object)[chance.argmax(axis=1)] if len(chance) else np.empty(0, object)
             ends = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(v, t)) for v, t in (([w for ws in found for w in ws], pa.string()), (names, pa.string()), (chance.max(axis=1) if len(chance) else [], pa.float32()))]
             yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks(), *lists], ["doc_id", "words", "langs", "chances"])
 
-    if not field.labels:
-        raise ValueError("words can't be labelled by a field without languages")
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words array<string>, langs array<string>, chances array<float>")
 
 
-def keep_identified(docs: DataFrame, field: Field, least_score: float = 0.3) -> DataFrame:
-    """``docs`` without the rows whose language is "und" or less sure than ``least_score``; all columns as they were."""
+def keep_identified(docs: DataFrame, field: Field, least_sure: float = 0.3) -> DataFrame:
+    """``docs`` (text) without the texts that are in no language; all columns as they were.
+
+    A text goes if it is null or has no letter, or if its words are, on
+    average, less sure than ``least_sure``: the greatest probability of each
+    word counts, whichever language that is, so a text that switches between
+    languages is as good as one that doesn't. Where the field has learned no
+    language, every text with a letter stays. Rows are judged one by one, so
+    repeated rows and null ids fare alike; empty input gives no rows.
+    """
     shared, key = docs.sparkSession.sparkContext.broadcast(field), f"{id(field)}-{np.random.default_rng().integers(1 << 62)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = labeller(key, shared.value)
         for rows, texts in text_batches(batches, "text", BATCH_BYTES):
-            names, scores = _languages(own, texts)
-            keep = pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores)], pa.bool_())
+            keep = pa.array([s > 0 and s >= least_sure for s in _languages(own, texts)[2]], pa.bool_())
             yield from rows.filter(keep).to_batches()
 
     return docs.mapInArrow(run, docs.schema)

@@ -125,9 +125,14 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_exact:
     )
 
 
-def without_dropped(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``docs`` with the dropped lines cut from their texts; a text of which all lines go is empty."""
-    gone = dropped_lines(docs, least_chars).groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("line_no").alias("gone"))
+def without_dropped(docs: DataFrame, least_chars: int = LEAST_CHARS, least_exact: int | None = 0) -> DataFrame:
+    """``docs`` with the lines cut from their texts that ``dropped_lines`` names, by default equal ones of every length.
+
+    A text of which all lines go is empty, a null one stays null. Repeated
+    rows lose the same lines; all columns stay as they were. Empty input gives
+    no rows.
+    """
+    gone = dropped_lines(docs, least_chars, least_exact).groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("line_no").alias("gone"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"))
     left = F.array_join(F.filter(F.split("_row.text", "\n"), lambda line, i: ~F.array_contains(F.col("gone"), i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("_row.text")).otherwise(left).alias("text")
