@@ -29,7 +29,9 @@ from waymark.llm.common import one_list, stage, text_batches
 WORDS = 5
 LEAST_COUNT = 100
 TOP = 2000
-SEGMENT_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Words of a language in a segment, and of all languages that a task holds.
+SEGMENT_WORDS, MOST_WORDS_HELD = 4 << 20, 8 << 20
 UNKNOWN = "und"
 
 # Bytes that end a piece; A-Z count as a-z, a tab as a blank.
@@ -68,22 +70,43 @@ def _stretches(text: bytes, most: int) -> Iterator[bytes]:
     yield text[at:]
 
 
+class _Segment:
+    """What a task has read of one language since the last segment."""
+
+    def __init__(self) -> None:
+        self.words, self.parts, self.size = _Numbers({b"\n": 0}), [], 0
+
+    def add(self, run: bytes) -> None:
+        words = self.words
+        found = [words[w] for w in run.replace(b"\n", b" \n ").split(b" ") if w]
+        self.parts.append(np.array([*found, 0], np.int32))
+        self.size += len(found) + 1
+
+    def row(self, number: int, lang: str) -> pa.RecordBatch:
+        stream = np.concatenate(self.parts)
+        counts = np.bincount(stream, minlength=len(self.words))[1:]
+        columns = [([*self.words][1:], pa.binary()), (counts, pa.int32()), (stream, pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([lang]), *(one_list(x, t) for x, t in columns)], ["segment", "lang", "words", "counts", "stream"])
+
+
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per run of texts and language: distinct words, their counts, and the texts as word numbers with a 0 after each piece."""
-    number = segments.numbers()
-    for rows, texts in text_batches(batches, "text", SEGMENT_BYTES):
+    """Per language and run of SEGMENT_WORDS words: distinct words, their counts, and the texts as word numbers with a 0 after each piece."""
+    number, held = segments.numbers(), {}
+    for rows, texts in text_batches(batches, "text", BATCH_BYTES):
         by_lang: dict[str, list[bytes]] = {}
         for lang, text in zip(rows["lang"].to_pylist(), texts):
             by_lang.setdefault(UNKNOWN if lang is None else lang, []).append(text.translate(_FOLD))
         for lang, own in by_lang.items():
-            for run in _stretches(b"\n".join(own), SEGMENT_BYTES):
-                words = _Numbers({b"\n": 0})
-                found = [words[w] for w in run.replace(b"\n", b" \n ").split(b" ") if w]
-                stream = np.array([*found, 0], np.int32)
-                counts = np.bincount(stream, minlength=len(words))[1:]
-                columns = [([*words][1:], pa.binary()), (counts, pa.int32()), (stream, pa.int32())]
-                if len(words) > 1:
-                    yield pa.RecordBatch.from_arrays([pa.array([next(number)], pa.int64()), pa.array([lang]), *(one_list(x, t) for x, t in columns)], ["segment", "lang", "words", "counts", "stream"])
+            for run in _stretches(b"\n".join(own), BATCH_BYTES):
+                held.setdefault(lang, _Segment()).add(run)
+                if held[lang].size >= SEGMENT_WORDS:
+                    yield held.pop(lang).row(next(number), lang)
+        while sum(s.size for s in held.values()) > MOST_WORDS_HELD:
+            lang = max(held, key=lambda x: held[x].size)
+            yield held.pop(lang).row(next(number), lang)
+    for lang, own in held.items():
+        if len(own.words) > 1:
+            yield own.row(next(number), lang)
 
 
 def _numbered(words: DataFrame) -> DataFrame:
@@ -245,7 +268,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFra
     if frequent.count() > MOST_WORDS:
         raise ValueError(f"more than {MOST_WORDS} words occur {least} times")
     words = _numbered(frequent.select("lang", "word"))
-    resolved = met.select("segment", "number", "lang", "word").join(words, ["lang", "word"]).select("segment", "number", "id")
+    resolved = met.select("segment", "number", "lang", "word").join(words, ["lang", "word"], "left").select("segment", "number", "id").where("id IS NOT NULL")
     whole = segments.with_resolved(segs.select("segment", "stream"), resolved, ["id"])
     windows = stage(whole.mapInArrow(_windows, WINDOWS), "windows")
     ordered = windows.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
