@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark import signals
 from waymark.functions import scalar as S
+from waymark.session import materialize
 
 
 def rank_of(mapping: dict, c: Column) -> Column:
@@ -181,22 +182,37 @@ def evidence_coverage(records: DataFrame, values: DataFrame) -> DataFrame:
 SAMPLE_IDS = 5
 
 
-def expectations(options: DataFrame, rules: dict[str, Column], id_col: str = "option_id") -> DataFrame:
-    """Violations per rule in one pass over the rows, with the first few offending ids. Each task keeps no more than those."""
-    broken = F.array(*[F.struct(F.lit(name).alias("rule"), (~F.coalesce(rule, F.lit(True))).alias("broken")) for name, rule in rules.items()])
-    judged = options.select(F.col(id_col).alias("_id"), F.inline(broken))
-    first = Window.partitionBy("rule").orderBy("_id")
-    few = judged.where("broken").select("rule", "_id", F.row_number().over(first).alias("n")).where(F.col("n") <= SAMPLE_IDS)
-    ids = few.groupBy("rule").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_id")), lambda i: i.cast("string")), ",").alias("sample_ids"))
-    counts = judged.groupBy("rule").agg(F.count(F.when(F.col("broken"), 1)).alias("violations"), F.min(F.when(F.col("broken"), F.col("_id"))).alias("first_id"))
-    return counts.join(ids, "rule", "left")
-
-
-def duplicate_keys(options: DataFrame, columns) -> DataFrame:
-    """Keys used more than once, per column."""
-    out = None
-    for c in columns:
-        part = options.groupBy(F.trim(F.lower(F.col(c).cast("string"))).alias("key")).count().where(F.col("count") > 1).groupBy().agg(
-            F.lit(f"unique_{c}").alias("rule"), F.count(F.lit(1)).alias("violations"), F.lit(None).cast("bigint").alias("first_id"), F.lit(None).cast("string").alias("sample_ids"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def normal_key(column: str) -> Column:
+    """What a key is compared by: its text in lower case, without blanks around it."""
+    return F.trim(F.lower(F.col(column).cast("string")))
+
+
+def expectations(rows: DataFrame, rules: dict[str, Column], unique: list[str] = (), least_rows: int | None = None, id_col: str = "option_id") -> DataFrame:
+    """Violations per rule, with the first few offending ids: rule, violations, first_id, sample_ids.
+
+    All rules are one grouping pass over one scan. A row gives its keys, and
+    itself for each row rule that it breaks; rows that keep all rules give no
+    more than their keys. A row rule that comes out null is kept. Of a key that
+    several rows share the smallest id is shown, and such a key counts once;
+    null keys are equal to nothing. ``least_rows`` adds a rule on the number of
+    rows. Rules that nothing breaks have zero violations, on no rows too.
+    """
+    spark, own = rows.sparkSession, F.col(id_col).cast("string")
+    kinds = [F.when(~F.coalesce(rule, F.lit(True)), F.struct(F.lit(name).alias("rule"), F.coalesce(own, F.lit("")).alias("key"), F.lit(1).alias("many"))) for name, rule in rules.items()]
+    kinds += [F.when(normal_key(c).isNotNull(), F.struct(F.lit(f"unique_{c}").alias("rule"), normal_key(c).alias("key"), F.lit(2).alias("many"))) for c in unique]
+    if least_rows is not None:
+        # the rows themselves are counted in the same pass, once per task
+        kinds.append(F.struct(F.lit("record_count").alias("rule"), F.lit("").alias("key"), F.lit(0).alias("many")))
+    given = rows.select(F.col(id_col).alias("_id"), F.inline(F.array_compact(F.array(*kinds))))
+    grouped = materialize(given.groupBy("rule", "key", "many").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("id")), "expectations")
+    broken = grouped.where("many > 0 AND n >= many").withColumn("n", F.when(F.col("many") == 1, F.col("n")).otherwise(1))
+    few = broken.select("rule", "id", F.row_number().over(Window.partitionBy("rule").orderBy("id")).alias("place")).where(F.col("place") <= SAMPLE_IDS)
+    ids = few.groupBy("rule").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ",").alias("sample_ids"))
+    counts = broken.groupBy("rule").agg(F.sum("n").alias("violations"), F.min("id").alias("first_id"))
+    names = spark.createDataFrame([(n,) for n in [*rules, *(f"unique_{c}" for c in unique)]], "rule string")
+    none = F.lit(0).cast("bigint")
+    found = names.join(counts, "rule", "left").join(ids, "rule", "left").select("rule", F.coalesce("violations", none).alias("violations"), "first_id", "sample_ids")
+    if least_rows is None:
+        return found
+    total = grouped.where("many = 0").agg((F.coalesce(F.sum("n"), none) < least_rows).cast("bigint").alias("violations"))
+    return found.unionByName(total.select(F.lit("record_count").alias("rule"), "violations", F.lit(None).cast(rows.schema[id_col].dataType).alias("first_id"), F.lit(None).cast("string").alias("sample_ids")))

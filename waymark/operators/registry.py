@@ -33,6 +33,13 @@ def url_policy(pages: DataFrame, allowed: DataFrame) -> DataFrame:
     return pages.join(matched, ["institution_id", "url"], "left").withColumn("reason", reason).drop("_m").withColumn("ok", F.col("reason").isNull())
 
 
+def variants_with_status(pages: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Every rewrite of the parseable urls (institution_id, url_id, url), and whether its host is one of the institution's or under it."""
+    rewritten = pages.where(U.parseable(F.col("url"))).select("institution_id", "url_id", F.explode(U.variants(F.col("url"))).alias("variant"))
+    inside = domain_matches(rewritten.withColumnRenamed("variant", "url"), allowed).select("institution_id", F.col("url").alias("variant"), F.lit(True).alias("_in"))
+    return rewritten.join(inside, ["institution_id", "variant"], "left").select("institution_id", "url_id", "variant", F.coalesce("_in", F.lit(False)).alias("allowed"))
+
+
 def challenge(html: Column) -> Column:
     low = F.lower(html)
     marked = S.any_of([low.contains(m) for m in signals.CHALLENGE_MARKERS])

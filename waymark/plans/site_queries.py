@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from waymark import signals
+from waymark import fixed, signals
 from waymark.functions import scalar as S, urls as U
 from waymark.operators import evidence as E, registry as R, sanitize as Z
 from waymark.plans import bindings as B, oracle_match as O, site_bindings as V
@@ -103,13 +103,18 @@ def url_parts(spark, sf):
     )
 
 
-@query("url_variants", """WITH v AS (SELECT s_suppkey AS k, s_suppkey % 3 AS m, ['https://www.uni' || s_suppkey || '.edu/', 'https://a.b.uni' || s_suppkey || '.edu/x', 'https://uni' || s_suppkey || '.ac.uk/'][s_suppkey % 3 + 1] AS url FROM supplier)
-SELECT k, 'https://uni' || k || '.edu' AS variant FROM v WHERE m = 0
-UNION ALL SELECT k, 'https://' || unnest(['www.a.b.uni' || k || '.edu', 'b.uni' || k || '.edu', 'www.b.uni' || k || '.edu', 'uni' || k || '.edu', 'www.uni' || k || '.edu']) || '/x' FROM v WHERE m = 1
-UNION ALL SELECT k, 'https://www.uni' || k || '.ac.uk' FROM v WHERE m = 2""")
+_REGISTRABLE = """CASE WHEN host = 'localhost' THEN host WHEN len(string_split(host, '.')) > 2 AND list_contains(['ac', 'edu', 'gov', 'co', 'or', 'ne', 'com'], string_split(host, '.')[-2])
+ THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END"""
+
+
+@query("url_variants", URLS + f""", v_reg AS (SELECT url_id, institution_id, host, path, string_split(host, '.') AS labels, {_REGISTRABLE} AS reg FROM v_part WHERE parseable),
+v_var AS (SELECT url_id, institution_id, host, path, unnest(list_distinct(list_concat([CASE WHEN starts_with(host, 'www.') THEN substr(host, 5) ELSE 'www.' || host END],
+ flatten(list_transform(range(1, len(labels) - len(string_split(reg, '.')) + 1), lambda i: [array_to_string(labels[i + 1:], '.'), 'www.' || array_to_string(labels[i + 1:], '.')]))))) AS h FROM v_reg)
+SELECT url_id, 'https://' || h || CASE WHEN path = '/' THEN '' ELSE path END AS variant,
+ EXISTS (SELECT 1 FROM v_domain d WHERE d.institution_id = v_var.institution_id AND (h = domain OR ends_with(h, '.' || domain))) AS allowed FROM v_var WHERE contains(h, '.') AND h <> host""")
 def url_variants(spark, sf):
-    s = B.table(spark, sf, "supplier").selectExpr("s_suppkey AS k", "element_at(array(concat('https://www.uni', s_suppkey, '.edu/'), concat('https://a.b.uni', s_suppkey, '.edu/x'), concat('https://uni', s_suppkey, '.ac.uk/')), cast(s_suppkey % 3 + 1 AS int)) AS url")
-    return s.select("k", F.explode(U.variants(F.col("url"))).alias("variant"))
+    """Rewrites of every parseable URL, and whether they stay in the institution's domains."""
+    return R.variants_with_status(V.site_urls(spark, sf), _allowed(spark, sf)).select("url_id", "variant", "allowed")
 
 
 @query("url_distinct", URLS + "SELECT institution_id, page_url, min(url_id) AS url_id, count(*) AS copies FROM v_part GROUP BY ALL")
@@ -473,22 +478,63 @@ def country_counts(spark, sf):
     return wish.join(checked_broadcast(counts), "country", "left").groupBy("profile_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("in_scope"))
 
 
+def _picked(values, index: str) -> str:
+    """One of the values by a row's number, in the words of both engines."""
+    return "CASE " + index + " " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+#: What the given tables don't have, from the supplier's number: sources and dates of facts, highlights, a TOEFL minimum.
+_GRADED = ["curated", "unverified", "guessed"]
+_FACTS = {
+    "compiled_on": "CASE WHEN k % 41 = 0 THEN '2026-02-30' WHEN k % 43 = 0 THEN '2026/03/01' WHEN k % 47 <> 0 THEN concat('2026-03-', CAST(10 + k % 19 AS {text})) END",
+    **{f"{what}_source": f"CASE WHEN k % {n} = 0 THEN {_picked(_GRADED, '(k % 3)')} ELSE 'estimated' END" for what, n in (("requirements", 11), ("costs", 13), ("deadlines", 17), ("aid", 19))},
+    "tuition_note": "CASE WHEN k % 2 = 0 THEN 'No tuition is charged.' END", "first_highlight": "CASE WHEN k % 37 <> 0 THEN concat('Highlight ', CAST(k AS {text})) END",
+    "minimum_toefl": "CASE WHEN k % 5 <> 0 THEN 25 + (k * 3) % 110 END",
+}
+_RIDE, _SOURCES = "coalesce(full_ride_possible, false)", fixed.CONFIDENCES
+#: Rules of a row in the words of both engines; a null value breaks only rules that ask for one.
 _RULES = {
-    "has_programs": ("size(programs) > 0", "len(programs) > 0"), "money_range": ("coalesce(tuition, 0) BETWEEN 0 AND 149999", "coalesce(tuition, 0) BETWEEN 0 AND 149999"),
-    "ielts_order": ("minimum_ielts <= recommended_ielts", "minimum_ielts <= recommended_ielts"), "sat_order": ("minimum_sat <= recommended_sat", "minimum_sat <= recommended_sat"),
-    "ielts_half_band": ("minimum_ielts * 2 = floor(minimum_ielts * 2)", "minimum_ielts * 2 = floor(minimum_ielts * 2)"), "gpa_range": ("gpa_expectation BETWEEN 51 AND 100", "gpa_expectation BETWEEN 51 AND 100"),
-    "cycle_window": ("application_deadline BETWEEN DATE'2026-08-01' AND DATE'2027-12-31'", "application_deadline BETWEEN DATE '2026-08-01' AND DATE '2027-12-31'"),
-    "ride_covers_tuition": ("NOT (full_ride_possible AND NOT full_tuition_possible)", "NOT (full_ride_possible AND NOT full_tuition_possible)"),
-    "unverified_is_null": ("NOT (tuition_confidence = 'unverified' AND tuition IS NOT NULL)", "NOT (tuition_confidence = 'unverified' AND tuition IS NOT NULL)"),
+    **{f"{c}_filled": f"coalesce(length({c}), 0) > {n}" for c, n in (("name", 2), ("short_name", 1), ("city", 1), ("aid_note", 20), ("selectivity_note", 10), ("application_platform", 2), ("first_highlight", 0))},
+    "url_safe_id": "{match}(CAST(option_id AS {text}), '^[a-z0-9-]+$')", "known_country": "known_country", "known_region": "known_region",
+    "has_languages": "{size}(languages_of_instruction) > 0", "has_programs": "{size}(programs) > 0", "has_majors": "{size}(supported_majors) > 0",
+    "known_majors": "unknown_majors = 0", "distinct_majors": "distinct_majors = {size}(supported_majors)",
+    "dated_facts": "coalesce({match}(compiled_on, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$'), false) AND try_cast(compiled_on AS DATE) IS NOT NULL",
+    **{f"known_{w}_source": f"{w}_source IN ({', '.join(map(O.q, _SOURCES))})" for w in ("requirements", "costs", "deadlines", "aid")},
+    "costs_are_estimates": "costs_source = 'estimated' AND tuition_confidence = 'estimated' AND living_confidence = 'estimated'",
+    "unverified_is_null": "NOT (tuition_confidence = 'unverified' AND tuition IS NOT NULL)", "unverified_living_is_null": "NOT (living_confidence = 'unverified' AND living_cost IS NOT NULL)",
+    "zero_is_explained": "NOT (tuition = 0 AND tuition_note IS NULL)", "money_range": "tuition BETWEEN 0 AND 149999", "living_range": "living_cost BETWEEN 0 AND 149999",
+    **{f"{c}_range": f"{c} BETWEEN {low} AND {high}" for c, low, high in (
+        ("minimum_ielts", 4, 9), ("recommended_ielts", 4, 9), ("minimum_toefl", 30, 120), ("minimum_sat", 400, 1600), ("recommended_sat", 400, 1600), ("research_intensity", 1, 5), ("prestige_tier", 1, 5))},
+    "ielts_half_band": "minimum_ielts * 2 = floor(minimum_ielts * 2)", "recommended_ielts_half_band": "recommended_ielts * 2 = floor(recommended_ielts * 2)",
+    "gpa_range": "gpa_expectation > 50 AND gpa_expectation <= 100", "ielts_order": "minimum_ielts <= recommended_ielts", "sat_order": "minimum_sat <= recommended_sat",
+    **{f"{c}_in_cycle": f"{c}_deadline BETWEEN DATE '2026-09-01' AND DATE '2027-12-31'" for c in ("application", "scholarship")},
+    "known_aid_certainty": f"coalesce(aid_certainty IN ({', '.join(map(O.q, fixed.AID_CERTAINTIES))}), false)", "ride_covers_tuition": f"NOT {_RIDE} OR coalesce(full_tuition_possible, false)",
+    "minimal_aid_no_ride": f"NOT (aid_certainty = 'minimal' AND {_RIDE})", "need_met_needs_aid": f"aid_certainty <> 'meets-full-need' OR (coalesce(need_based_aid, false) AND {_RIDE})",
+    "rare_aid_no_ride": f"NOT (scholarship_availability = 'rare-for-international' AND {_RIDE})",
 }
+_SPARK, _DUCK = {"text": "string", "size": "size", "match": "regexp_like"}, {"text": "VARCHAR", "size": "len", "match": "regexp_matches"}
+_FACT_SQL = ", v_fact AS (SELECT *, " + ", ".join(f"{x.format(**_DUCK)} AS {n}" for n, x in _FACTS.items()) + f""", country IN (SELECT n_name FROM nation) AS known_country, region IN (SELECT r_name FROM region) AS known_region,
+ len(list_filter(supported_majors, lambda x: NOT list_contains({O.lst(fixed.MAJORS)}, x))) AS unknown_majors, len(list_distinct(supported_majors)) AS distinct_majors FROM v_option) """
+_UNIQUE = ["option_id", "name", "short_name"]
+
 
+def _rule_sql(name: str, rule: str) -> str:
+    broken = f"FILTER (WHERE NOT coalesce({rule.format(**_DUCK)}, true))"
+    return f"SELECT '{name}' AS rule, count(*) {broken} AS violations, min(option_id) {broken} AS first_id, array_to_string(min(option_id, 5) {broken}, ',') AS sample_ids FROM v_fact"
 
-@query("dq_expectations", O.with_(O.PROFILE, O.OPTION) + " UNION ALL ".join(
-    f"SELECT '{n}' AS rule, count(*) FILTER (WHERE NOT coalesce({d}, true)) AS violations, min(option_id) FILTER (WHERE NOT coalesce({d}, true)) AS first_id, array_to_string(min(option_id, 5) FILTER (WHERE NOT coalesce({d}, true)), ',') AS sample_ids FROM v_option" for n, (_, d) in _RULES.items())
-    + " UNION ALL " + " UNION ALL ".join(f"SELECT 'unique_{c}', count(*), NULL, NULL FROM (SELECT lower(trim(CAST({c} AS VARCHAR))) FROM v_option GROUP BY 1 HAVING count(*) > 1) u" for c in ("option_id", "name")))
+
+@query("dq_expectations", O.with_(O.PROFILE, O.OPTION) + _FACT_SQL + " UNION ALL ".join(_rule_sql(n, r) for n, r in _RULES.items())
+    + "".join(f" UNION ALL SELECT 'unique_{c}', count(*), min(f), array_to_string(min(f, 5), ',') FROM (SELECT min(option_id) AS f FROM v_fact GROUP BY lower(trim(CAST({c} AS VARCHAR))) HAVING count(*) > 1) u" for c in _UNIQUE)
+    + " UNION ALL SELECT 'record_count', CAST(count(*) < 20 AS BIGINT), NULL, NULL FROM v_fact")
 def dq_expectations(spark, sf):
-    options = B.options(spark, sf)
-    return E.expectations(options, {n: F.expr(s) for n, (s, _) in _RULES.items()}).unionByName(E.duplicate_keys(options, ["option_id", "name"]))
+    """Every invariant of the catalogue in one pass."""
+    own, dim = B.options(spark, sf).withColumn("k", F.col("option_id")), B.country_dim(spark, sf)
+    names = dim.agg(F.struct(F.collect_set("country").alias("country"), F.collect_set("region").alias("region")).alias("s")).scalar()
+    facts = own.withColumns({n: F.expr(x.format(**_SPARK)) for n, x in _FACTS.items()}).withColumn("_known", names).withColumns({
+        "known_country": F.array_contains("_known.country", F.col("country")), "known_region": F.array_contains("_known.region", F.col("region")),
+        "unknown_majors": F.size(F.filter("supported_majors", lambda m: ~m.isin(*fixed.MAJORS))), "distinct_majors": F.size(F.array_distinct("supported_majors")),
+    })
+    return E.expectations(facts, {n: F.expr(r.format(**_SPARK)) for n, r in _RULES.items()}, _UNIQUE, 20)
 
 
 @query("status_summary", APPROVED + " SELECT 'options' AS metric, count(*) AS n FROM supplier UNION ALL SELECT 'approved_records', count(DISTINCT record_id) FROM v_app WHERE reason IS NULL UNION ALL SELECT 'pages', count(*) FROM pages")
