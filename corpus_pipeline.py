@@ -16,30 +16,51 @@ OLD_SHARDS, NEW_SHARDS = 12, 16
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; rejected are texts without letters, and those of which no language has three tenths."""
+    """Documents in some language: rejected are null texts, those without letters, and those whose words are, on average, in no language surely.
+
+    Text that switches between languages stays, and so does every text with a
+    letter where no language could be learned. Repeated rows fare alike; empty
+    input gives no rows.
+    """
     tune(spark)
     return crf.keep_identified(docs, crf.learn(docs))
 
 
 def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares four fifths of its five-word shingles, the one with the smallest id."""
+    """One document of each group that shares four fifths of its five-word shingles, the one with the smallest id.
+
+    Texts without words, null ones too, all stay; null ids give way to others;
+    of repeated rows one stays. Empty input gives no rows.
+    """
     tune(spark)
     return jaccard.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth stands in benchmark windows."""
+    """Documents of which less than a twentieth stands in benchmark windows.
+
+    Texts without words, null ones too, stay; repeated rows fare alike; empty
+    input or an empty benchmark drops nothing.
+    """
     return positional.drop_contaminated(docs, table(tune(spark), sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Null sources are one source; repeated rows and rows of null id draw alike;
+    sources without words go. Empty input gives no rows.
+    """
     tune(spark)
     return mixture.mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in sixteen shards of near equal bytes, moved from shards by source."""
+    """Documents in sixteen shards of near equal bytes, moved from shards by source.
+
+    Null texts weigh one byte, null sources lie in one shard; every row is
+    placed, repeated ones too. Empty input gives no rows.
+    """
     tune(spark)
     by_source = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(OLD_SHARDS))
     return reshard.reshard(docs, by_source, OLD_SHARDS, NEW_SHARDS)
