@@ -245,7 +245,12 @@ def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, fragment
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each group, that with the smallest doc_id; rows without words stay."""
+    """``docs`` with one row of each group, that with the smallest doc_id; all columns as they were.
+
+    Null ids come after all others; rows that tie in id go by a digest of the
+    text, and of equal rows one stays. Null, empty and wordless texts are in no
+    group: every such row stays, repeated ones too. Empty input gives no rows.
+    """
     groups = stage(similar_groups(docs, n, percent), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     kept = groups.where("comp IS NOT NULL").groupBy("comp").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.text_key").alias("key"), F.lit(True).alias("one"))

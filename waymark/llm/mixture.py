@@ -97,7 +97,14 @@ def taken_words(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its columns as they were."""
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns as they were.
+
+    A row's copies follow from its source's rate and a draw from its id, so
+    repeated rows are taken equally often, and all rows of null id too. Null
+    texts have no words but are taken like other rows of their source, which
+    may be null; a source without words has rate 0 and is not taken. Empty
+    input gives no rows.
+    """
     targets = source_targets(stage(sized(docs), "sizes"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source")
     rated = with_targets(packed, targets).select("_row", copies().alias("n")).where("n > 0")

@@ -262,7 +262,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """``docs`` without the contaminated rows, all columns as they were."""
+    """``docs`` without the contaminated rows, all columns as they were.
+
+    Null, empty and wordless texts are never contaminated and stay. Repeated
+    rows and rows of null id fare alike if their texts do. Without items, or
+    without rows, ``docs`` is returned as it is.
+    """
     bad = contamination(docs, items, window, share).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("_doc"), F.xxhash64("text").alias("_text"))
     return packed.join(bad, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left_anti").select("_row.*")
