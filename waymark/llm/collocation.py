@@ -268,7 +268,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFra
     if frequent.count() > MOST_WORDS:
         raise ValueError(f"more than {MOST_WORDS} words occur {least} times")
     words = _numbered(frequent.select("lang", "word"))
-    resolved = met.select("segment", "number", "lang", "word").join(words, ["lang", "word"], "left").select("segment", "number", "id").where("id IS NOT NULL")
+    resolved = met.select("segment", "number", "lang", "word").join(words, ["lang", "word"], "left").select("segment", "number", "id")
     whole = segments.with_resolved(segs.select("segment", "stream"), resolved, ["id"])
     windows = stage(whole.mapInArrow(_windows, WINDOWS), "windows")
     ordered = windows.repartitionByRange(*KEY).sortWithinPartitions(*KEY)

@@ -32,9 +32,10 @@ def entries(segments: DataFrame, lists: dict[str, str], same: list[str] | None =
 def with_resolved(segments: DataFrame, resolved: DataFrame, columns: list[str]) -> DataFrame:
     """``segments`` with what became of their entries: ``numbers`` and the ``columns`` as lists; empty where nothing did.
 
-    A list holds at most the distinct entries of one segment.
+    Entries whose first column is null are left out. A list holds at most the
+    distinct entries of one segment.
     """
-    listed = resolved.groupBy("segment").agg(F.collect_list(F.struct("number", *columns)).alias("_found"))
+    listed = resolved.groupBy("segment").agg(F.collect_list(F.when(F.col(columns[0]).isNotNull(), F.struct("number", *columns))).alias("_found"))
     found = F.coalesce("_found", F.array().cast(listed.schema["_found"].dataType))
     joined = segments.join(listed, "segment", "left")
     return joined.select(*[F.col(c) for c in segments.columns], *[found[c].alias(c if c != "number" else "numbers") for c in ("number", *columns)])
