@@ -189,7 +189,7 @@ def best_pages(ranked: DataFrame) -> DataFrame:
     """Winner per kind with its runner-up and why that lost; only two rows per kind travel."""
     key = ["institution_id", "kind"]
     top = ranked.where("page_rank <= 2")
-    rival = F.lead(F.struct("page_url", "role", "scope", "score", "audience")).over(Window.partitionBy(*key).orderBy("page_rank"))
+    rival = F.lead(F.struct("page_url", "role", "scope", "score", "audience", "temporal_status")).over(Window.partitionBy(*key).orderBy("page_rank"))
     won = top.withColumn("runner_up", rival).where("page_rank = 1")
 
     def rank(mapping, c, default):
@@ -197,12 +197,15 @@ def best_pages(ranked: DataFrame) -> DataFrame:
 
     spaced = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
     ru = F.col("runner_up")
+    worth = lambda c: S.num_text(F.element_at(S.lit_map(signals.TEMPORAL_ADJUST), c))
+    status = S.fill(signals.WHY_STATUS, a=F.col("temporal_status"), b=ru["temporal_status"], x=worth(F.col("temporal_status")), y=worth(ru["temporal_status"]))
+    score = S.fill(signals.WHY_SCORE, a=S.num_text(F.col("score")), b=S.num_text(ru["score"]))
     why = (
         F.when(ru.isNull(), signals.WHY_ALONE)
         .when(rank(signals.ROLE_RANK, F.col("role"), 0) != rank(signals.ROLE_RANK, ru["role"], 0), S.fill(signals.WHY_ROLE, a=F.col("role"), b=ru["role"]))
         .when(rank(signals.SCOPE_RANK, F.col("scope"), 1) != rank(signals.SCOPE_RANK, ru["scope"], 1),
               S.fill(signals.WHY_SCOPE, a=spaced(F.col("scope")), b=spaced(ru["scope"])))
-        .when(F.col("score") != ru["score"], S.fill(signals.WHY_SCORE, a=S.num_text(F.col("score")), b=S.num_text(ru["score"])))
+        .when(F.col("score") != ru["score"], F.concat(score, F.when(F.col("temporal_status") != ru["temporal_status"], status).otherwise("")))
         .when(rank(signals.AUDIENCE_RANK, F.col("audience"), 3) != rank(signals.AUDIENCE_RANK, ru["audience"], 3),
               S.fill(signals.WHY_AUDIENCE, a=F.col("audience"), b=ru["audience"]))
         .otherwise(S.fill(signals.WHY_ORDER, a=S.num_text(F.col("score"))))
@@ -211,11 +214,14 @@ def best_pages(ranked: DataFrame) -> DataFrame:
 
 
 def quality_gate(best: DataFrame, institutions: DataFrame) -> DataFrame:
-    """found / rejected / not_found for every institution and kind."""
-    refused = F.col("critical") & ((F.col("role") == "historical") | ((F.col("role") == "fallback") & (F.col("score") < signals.FALLBACK_BAR)))
+    """found / rejected / not_found for every institution and kind, and why a winner is refused."""
+    weak = (F.col("role") == "fallback") & (F.col("score") < signals.FALLBACK_BAR)
+    reason = F.when(F.col("critical") & (F.col("role") == "historical"), signals.REFUSED_HISTORICAL).when(
+        F.col("critical") & weak, S.fill(signals.REFUSED_FALLBACK, score=S.num_text(F.col("score")), bar=F.lit(str(signals.FALLBACK_BAR))),
+    )
     every = institutions.select("institution_id", F.explode(S.str_array(signals.KINDS)).alias("kind"))
-    return every.join(best.select("institution_id", "kind", "page_url", "role", "score", "critical"), ["institution_id", "kind"], "left").withColumn(
-        "outcome", F.when(F.col("page_url").isNull(), "not_found").when(refused, "rejected").otherwise("found"),
+    return every.join(best.select("institution_id", "kind", "page_url", "role", "score", "critical"), ["institution_id", "kind"], "left").withColumn("reason", reason).withColumn(
+        "outcome", F.when(F.col("page_url").isNull(), "not_found").when(F.col("reason").isNotNull(), "rejected").otherwise("found"),
     )
 
 

@@ -40,6 +40,18 @@ def variants_with_status(pages: DataFrame, allowed: DataFrame) -> DataFrame:
     return rewritten.join(inside, ["institution_id", "variant"], "left").select("institution_id", "url_id", "variant", F.coalesce("_in", F.lit(False)).alias("allowed"))
 
 
+def with_sitemap_context(urls: DataFrame, entries: DataFrame) -> DataFrame:
+    """The fetch list (institution_id, url) with ``context``: the last path segment of the sitemap (sitemap_url, loc) that lists a url.
+
+    Of several sitemaps the first by its url counts; a url that none lists has
+    no context. Rows are narrow here, before anything is fetched.
+    """
+    listed = entries.select("institution_id", U.normalize(F.col("loc")).alias("_url"), "sitemap_url").groupBy("institution_id", "_url").agg(F.min("sitemap_url").alias("_by"))
+    parts = F.filter(F.split(U.path(F.col("_by")), "/"), lambda s: s != "")
+    joined = urls.withColumn("_url", U.normalize(F.col("url"))).join(listed, ["institution_id", "_url"], "left")
+    return joined.withColumn("context", F.get(parts, F.size(parts) - 1)).drop("_url", "_by")
+
+
 def challenge(html: Column) -> Column:
     low = F.lower(html)
     marked = S.any_of([low.contains(m) for m in signals.CHALLENGE_MARKERS])

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waymark import signals
 from waymark.functions import scalar as S
+from waymark.operators import registry as R
 from waymark.plans.bindings import table
 from waymark.plans.oracle_match import lst, q
 from waymark.session import spread
+from waymark.sources import files as SRC
 
 TITLES = ["Admissions", "International Admissions", "Tuition and Fees", "Cost of Attendance", "Financial Aid", "Financial Aid for International Students",
           "Scholarships", "Standardized Testing", "English Proficiency", "Application Deadlines", "Majors and Programs", "Common Data Set"]
@@ -24,13 +26,26 @@ AID = ["The university meets full demonstrated need. International students are
        "Write to the office for details.", "Scholarships are available."]
 FILLER = "Read this page in full before you send anything to us. Our office answers questions by letter and by phone on every weekday, and it keeps a record of each answer that it gives to a visitor or to a school."
 
+_PATH = f"CASE WHEN k % 10 = 9 THEN concat('/blog/2019/03/p', k) ELSE concat({S.sql_pick(PATHS, 'k % 12')}, '/p', k) END"
 
-def rendered(spark: SparkSession, sf: str) -> DataFrame:
+
+def sitemaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Sitemap entries of three pages in four: one document per kind and institution."""
+    kind, site = S.sql_pick(signals.KINDS, "k % 12"), "concat('https://www.uni', k div 12, '.edu')"
+    documents = table(spark, sf, "part").selectExpr("p_partkey AS k").where("k % 4 <> 2").selectExpr(
+        "k div 12 AS institution_id", f"concat({site}, '/sitemaps/', {kind}, '.xml') AS sitemap_url",
+        f"concat('<urlset><url><loc>', {site}, {_PATH}, '/</loc></url></urlset>') AS xml",
+    )
+    return SRC.sitemap_entries(documents).select("institution_id", "sitemap_url", "loc")
+
+
+def rendered(spark: SparkSession, sf: str, listed: bool = False) -> DataFrame:
+    """Pages of the part table; with ``listed`` also the context of the sitemap that lists each."""
     # the keys are spread while they are narrow: pages are rendered and read where they are
     p = spread(table(spark, sf, "part").selectExpr("p_partkey AS k"), "k").selectExpr(
         "k", "k div 12 AS institution_id", f"{S.sql_pick(signals.KINDS, 'k % 12')} AS kind",
         f"concat({S.sql_pick(PREFIXES, 'k % 9')}, {S.sql_pick(TITLES, 'k % 12')}) AS shown",
-        f"CASE WHEN k % 10 = 9 THEN concat('/blog/2019/03/p', k) ELSE concat({S.sql_pick(PATHS, 'k % 12')}, '/p', k) END AS path",
+        f"{_PATH} AS path",
         "k % 4 <> 3 AND k % 7 <> 0 AS has_table", "20000 + (k * 37) % 40000 AS tuition", "8000 + (k * 13) % 9000 AS housing",
         "CASE WHEN k % 7 = 0 THEN '2024-25' ELSE '2026-27' END AS prose_year", f"{S.sql_pick(MODIFIED, 'k % 5')} AS modified",
         "CASE WHEN k % 8 = 7 THEN 'January 15, 2020' ELSE date_format(date_add(DATE'2026-10-01', cast(k % 120 AS int)), 'MMMM d, yyyy') END AS due",
@@ -44,7 +59,10 @@ def rendered(spark: SparkSession, sf: str) -> DataFrame:
         '</td></tr><tr><td>Housing per year</td><td>', {usd('housing - 500')}, '</td><td>', {usd('housing')}, '</td></tr></table>') ELSE '' END,
       '<h2>Costs</h2><p>Tuition is ', {usd('tuition')}, ' per year and housing is ', {usd('housing')}, ' per year for ', prose_year, '. Families with income below $75,000 attend tuition free.</p><h2>English</h2><p>', ielts,
       ' TOEFL ', 80 + k % 40, ' is accepted.</p><h2>Testing</h2><p>', {S.sql_pick(TESTING, 'k % 4')}, '</p><h2>Aid</h2><p>', {S.sql_pick(AID, 'k % 6')}, '</p></main><footer>Tuition $88,888 per year</footer></body></html>')"""
-    return p.selectExpr("k AS page_id", "institution_id", "kind", "concat('https://www.uni', institution_id, '.edu', path) AS url", f"{page} AS html", "'text/html' AS content_type")
+    p = p.withColumn("url", F.expr("concat('https://www.uni', institution_id, '.edu', path)"))
+    context = ["context"] if listed else []
+    p = R.with_sitemap_context(p, sitemaps(spark, sf)) if listed else p
+    return p.selectExpr("k AS page_id", "institution_id", "kind", "url", *context, f"{page} AS html", "'text/html' AS content_type")
 
 
 SCOPE = ("CASE k % 9 WHEN 8 THEN 'graduate' WHEN 7 THEN 'transfer' WHEN 5 THEN 'visiting' WHEN 6 THEN CASE WHEN k % 12 IN (1, 5) OR (k % 10 <> 9 AND k % 12 = 1) THEN 'international_first_year' ELSE 'first_year' END "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from waymark import signals
 from waymark.functions import html as H, scalar as S, urls as U
 from waymark.operators import extract as X, pages as G, registry as R
-from waymark.plans import bindings as B, oracle_match as O, page_bindings as V
+from waymark.plans import bindings as B, oracle_match as O, oracle_pages as P, page_bindings as V
 from waymark.session import materialize
 
 QUERIES: dict = {}
@@ -125,21 +125,27 @@ def authority_score(spark, sf):
     return scored.where((F.col("kind") == F.col("own_kind")) & F.col("failed").isNull()).select("page_id", "authority", "role")
 
 
-@query("page_kind_score")
+def _listed_scores(spark, sf):
+    """Kind scores of pages that carry the context of the sitemap they were found in."""
+    pages = G.with_temporal(G.with_scope(G.with_content(V.rendered(spark, sf, listed=True))), B.AS_OF)
+    return G.kind_scores(materialize(pages, "dated").drop("kind"), "context")
+
+
+@query("page_kind_score", P.KIND_SCORE)
 def page_kind_score(spark, sf):
-    return G.kind_scores(_temporal(spark, sf).drop("kind")).select("page_id", "kind", "failed", "content", "relevance", "authority", "score", "role", "accepted")
+    return _listed_scores(spark, sf).select("page_id", "kind", "failed", "content", "relevance", "authority", "score", "role", "accepted")
 
 
 def _ranked(spark, sf):
-    return G.ranked_pages(G.kind_scores(_temporal(spark, sf).drop("kind")))
+    return G.ranked_pages(_listed_scores(spark, sf))
 
 
-@query("best_page_per_kind")
+@query("best_page_per_kind", P.BEST)
 def best_page_per_kind(spark, sf):
     return _ranked(spark, sf).where("page_rank = 1").select("institution_id", "kind", "page_url", "role", "scope", "score")
 
 
-@query("runner_up")
+@query("runner_up", P.RUNNER_UP)
 def runner_up(spark, sf):
     return G.best_pages(_ranked(spark, sf)).select("institution_id", "kind", "page_url", F.col("runner_up.page_url").alias("runner_up_url"), "why_it_won")
 
@@ -149,12 +155,12 @@ def _gated(spark, sf):
     return G.quality_gate(G.best_pages(_ranked(spark, sf)), institutions)
 
 
-@query("quality_gate")
+@query("quality_gate", P.QUALITY_GATE)
 def quality_gate(spark, sf):
-    return _gated(spark, sf).select("institution_id", "kind", "page_url", "outcome")
+    return _gated(spark, sf).select("institution_id", "kind", "page_url", "outcome", "reason")
 
 
-@query("not_found_kinds")
+@query("not_found_kinds", P.NOT_FOUND)
 def not_found_kinds(spark, sf):
     return G.run_status(_gated(spark, sf))
 

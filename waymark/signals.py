@@ -353,8 +353,11 @@ WHY_ALONE = "no other candidate qualified"
 WHY_ROLE = "{a} source outranks {b}"
 WHY_SCOPE = "written for {a} applicants rather than {b}"
 WHY_SCORE = "higher final score ({a} vs {b})"
+WHY_STATUS = " ({a} vs {b}, worth {x} vs {y})"
 WHY_AUDIENCE = "scores tied; audience {a} is preferred over {b}"
 WHY_ORDER = "scores tied ({a}); first by discovery order"
+REFUSED_HISTORICAL = "the only source found announces a change in policy rather than stating the current one"
+REFUSED_FALLBACK = "only a fallback source was found for a decision-critical field, and {score} is below the {bar} bar for one"
 
 def _meta(name: str):
     return [rf"""(?is)<meta[^>]+(?:property|name)=["']{name}["'][^>]+content=["']([^"']+)["']""",
