@@ -181,3 +181,22 @@ def test_every_kind_has_signals():
 def test_url_normalisation(spark):
     got = spark.sql("select 'HTTPS://A.Edu/x/?q=1#f' as u").select(U.normalize(F.col("u"))).first()[0]
     assert got == "https://a.edu/x?q=1"
+
+
+def test_first_sitemap_that_lists_a_page_is_its_context(spark):
+    urls = spark.createDataFrame([(1, "https://u.edu/a"), (1, "https://u.edu/b/"), (2, "https://u.edu/a")], "institution_id bigint, url string")
+    entries = spark.createDataFrame([
+        (1, "https://u.edu/maps/tuition-fees.xml", "https://U.edu/a/"), (1, "https://u.edu/maps/z.xml", "https://u.edu/a"), (1, "https://u.edu/", "https://u.edu/b"),
+    ], "institution_id bigint, sitemap_url string, loc string")
+    got = {(r.institution_id, r.url): r.context for r in R.with_sitemap_context(urls, entries).collect()}
+    assert got == {(1, "https://u.edu/a"): "tuition-fees.xml", (1, "https://u.edu/b/"): None, (2, "https://u.edu/a"): None}
+
+
+def test_weak_winners_of_critical_kinds_are_refused_with_a_reason(spark):
+    best = spark.createDataFrame([
+        (1, "tuition", "u1", "historical", 20.0, True), (1, "deadlines", "u2", "fallback", 7.5, True), (1, "programs", "u3", "historical", 20.0, False), (1, "financial_aid", "u4", "fallback", 8.0, True),
+    ], "institution_id bigint, kind string, page_url string, role string, score double, critical boolean")
+    gated = {r.kind: (r.outcome, r.reason) for r in G.quality_gate(best, spark.createDataFrame([(1,)], "institution_id bigint")).collect()}
+    assert gated["tuition"] == ("rejected", signals.REFUSED_HISTORICAL)
+    assert gated["deadlines"] == ("rejected", "only a fallback source was found for a decision-critical field, and 7.5 is below the 8 bar for one")
+    assert gated["programs"] == gated["financial_aid"] == ("found", None) and gated["admissions"] == ("not_found", None) and len(gated) == 12

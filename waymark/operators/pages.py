@@ -91,26 +91,28 @@ def hits_any(hay: str, terms) -> Column:
 hit_list, weight_of = R.hit_list, R.weight_of
 
 
-def together(a, b, title: Column, sections: Column, text: Column) -> Column:
-    """Two term groups in one title, one section, or one 300-character window stepping 150 inside a section."""
+def places(sections: Column, text: Column) -> Column:
+    """The words of each place where two terms stand together: a section, or where a page has none, a 300-character window stepping 150."""
+    # a window inside a section could add nothing to the section
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(150))
+    windows = F.transform(starts, lambda i: U.words(F.substring(text, i, F.lit(300))))
+    own = F.transform(sections, lambda s: U.words(F.concat(s["heading"], F.lit(" "), s["body"])))
+    return F.when(F.size(sections) == 0, windows).otherwise(own)
+
+
+def together(a, b, title: Column, hays: Column) -> Column:
+    """Two term groups in the words of one title or one place; words are made once per place, not per term."""
     def both(hay):
         return R.any_hit(hay, a) & R.any_hit(hay, b)
 
-    def windows(body):
-        starts = F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1)), F.lit(150))
-        return F.exists(starts, lambda i: both(U.words(F.substring(body, i, F.lit(300)))))
-
-    in_section = F.exists(sections, lambda s: both(U.words(F.concat(s["heading"], F.lit(" "), s["body"]))))
-    # a window lies inside a body, so it can only add to the section test where the page has no sections at all
-    nearby = F.when(F.size(sections) == 0, windows(text)).otherwise(F.lit(False))
-    return both(title) | in_section | nearby
+    return both(title) | F.exists(hays, both)
 
 
 def kind_scores(temporal: DataFrame, context: str | None = None) -> DataFrame:
     """Every page against the twelve kinds: gates with the first failed reason, content, relevance, authority, acceptance."""
     base = R.with_path(temporal).withColumns({
         "_title": U.words(F.col("title")), "_heads": U.words(F.array_join("headings", " . ")), "_text": U.words(F.col("text")),
-        "_path": F.col("_hay"), "_sections": H.sections_of(F.col("main_html")),
+        "_path": F.col("_hay"), "_places": places(H.sections_of(F.col("main_html")), F.col("text")),
         "_context": U.words(F.col(context)) if context else F.lit("  "),
     }).withColumns({
         "_corpus": F.concat("_title", "_heads", "_text", "_path"), "_titlepath": F.concat("_title", "_path"),
@@ -132,7 +134,7 @@ def kind_scores(temporal: DataFrame, context: str | None = None) -> DataFrame:
             clauses = F.expr("array(" + ", ".join(S.sql_array([f" {t} " for t in c]) for c in sig["one_of"]) + ")")
             reason = reason.when(~F.exists(clauses, lambda c: F.forall(c, lambda t: F.contains(corpus, t))), F.lit("no specific statement"))
         if sig.get("together"):
-            ok = together(*sig["together"], F.col("_title"), F.col("_sections"), F.col("text"))
+            ok = together(*sig["together"], F.col("_title"), F.col("_places"))
             reason = reason.when(~ok, F.lit("never together"))
         text_hits = F.slice(hit_list(F.col("_text"), sig["text"]), 1, signals.TEXT_HIT_CAP)
         content = (
@@ -188,7 +190,8 @@ def ranked_pages(scored: DataFrame) -> DataFrame:
 def best_pages(ranked: DataFrame) -> DataFrame:
     """Winner per kind with its runner-up and why that lost; only two rows per kind travel."""
     key = ["institution_id", "kind"]
-    top = ranked.where("page_rank <= 2")
+    top = ranked if "temporal_status" in ranked.columns else ranked.withColumn("temporal_status", F.lit("unknown"))
+    top = top.where("page_rank <= 2")
     rival = F.lead(F.struct("page_url", "role", "scope", "score", "audience", "temporal_status")).over(Window.partitionBy(*key).orderBy("page_rank"))
     won = top.withColumn("runner_up", rival).where("page_rank = 1")
 

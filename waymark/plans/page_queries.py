@@ -106,7 +106,7 @@ def temporal_status(spark, sf):
 @query("co_occurrence", "WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS hay FROM documents) SELECT doc_id, (contains(hay, ' the ') OR contains(hay, ' la ')) AND (contains(hay, ' and ') OR contains(hay, ' que ')) AS together FROM d")
 def co_occurrence(spark, sf):
     d = B.table(spark, sf, "documents").withColumn("sections", F.array(F.struct(F.lit("").alias("heading"), F.col("text").alias("body"))))
-    return d.select("doc_id", G.together(["the", "la"], ["and", "que"], F.lit("  "), F.col("sections"), F.col("text")).alias("together"))
+    return d.select("doc_id", G.together(["the", "la"], ["and", "que"], F.lit("  "), G.places(F.col("sections"), F.col("text"))).alias("together"))
 
 
 # ---- kinds and selection --------------------------------------------------
