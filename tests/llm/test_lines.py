@@ -92,3 +92,46 @@ def test_cut_texts_lose_short_repeats(spark):
     docs = spark.createDataFrame([(1, "Home\nA first line\nx"), (2, "Home\nA first line\ny\nx"), (3, None)], "doc_id bigint, text string")
     assert {r.doc_id: r.text for r in L.without_dropped(docs).collect()} == {1: "Home\nA first line\nx", 2: "y", 3: None}
     assert {r.doc_id: r.text for r in L.without_dropped(docs, least_exact=None).collect()}[2] == "Home\ny\nx"
+
+
+def distance(a, b):
+    """Edits between two strings, by the table of all prefixes."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+def brute_within(rows, edits, least):
+    places = sorted((((d is None), d or 0, n), d, n, line) for d, t in rows if t is not None for n, line in enumerate(t.split("\n")))
+    out = []
+    for i, (at, d, n, line) in enumerate(places):
+        for other_at, od, on, other in places[:i]:
+            apart_ = distance(line, other) if other_at < at else edits + 1
+            if apart_ == 0 or (apart_ <= edits and min(len(line), len(other)) >= least):
+                out.append((d, n, od, on, apart_))
+                break
+    return sorted(out, key=str)
+
+
+def test_bounds_of_more_edits(spark, odd):
+    rng, rows = random.Random(7), []
+    for d in range(50):
+        text = []
+        for _ in range(4):
+            base = list(rng.choice(["quick brown fox", "aaaaaaaa", "abababab", "ünï😀cöde", "short", "no", ""]))
+            for _ in range(rng.randrange(5)):
+                k, kind = rng.randrange(len(base) + 1), rng.randrange(3)
+                base[k:k + (kind != 1)] = [] if kind == 0 else [rng.choice("abxé😀")]
+            text.append("".join(base))
+        rows.append((d, "\n".join(text)))
+    rows += [(None, "short\nshirt\nshy"), (99, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for edits, least in ((1, 5), (2, 5), (2, 1), (3, 4)):
+        want = brute_within(rows, edits, least)
+        assert {r[4] for r in want} == set(range(edits + 1))
+        assert result(L.dropped_lines(docs, least, 0, edits)) == want, (edits, least)
+    cut = L.without_dropped(spark.createDataFrame([(1, "long enough"), (2, "long enuogh\nother line"), (3, None)], "doc_id bigint, text string"), edits=2)
+    assert {r.doc_id: r.text for r in cut.collect()} == {1: "long enough", 2: "other line", 3: None}
