@@ -69,6 +69,47 @@ def test_phrases_over_many_ranges(spark, many_ranges):
     assert result(C.collocations(docs, least=20)) == want
 
 
+def test_windows_cut_in_one_step_or_two(spark, documents, monkeypatch):
+    """Ranges of few windows, cut from the segments at once or by way of wide ones; of many segments, with and without bounds."""
+    monkeypatch.setattr(C, "SEGMENT_WORDS", 2000)
+    f = Counter()
+    for lang, text in pairs(documents):
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            f.update((lang, *words[i:i + m]) for i in range(len(words)) for m in range(1, 6) if i + m <= len(words))
+    want = Counter(len(p) - 1 for p, a in f.items() if a >= 8)
+    seen = []
+    bounds_of = C._range_bounds
+    monkeypatch.setattr(C, "_range_bounds", lambda *a: seen.append(bounds_of(*a)) or seen[-1])
+    first = None
+    for range_windows, cuts in [(1 << 20, 8), (500, 4096), (500, 6)]:
+        phrases, words, _ = C.frequent_phrases(documents.select("lang", "text"), 8, range_windows, cuts)
+        found = sorted(tuple(r) for r in phrases.select(*C.KEY, "count").collect())
+        first = found if first is None else first
+        assert found == first and len({r[:3] for r in found}) == len(found)
+        assert Counter(1 + (a % C._HALF > 0) + (b > 0) + (b % C._HALF > 0) + (c > 0) for a, b, c, _ in found) == want
+    assert seen[0].shape == (3, 0) and seen[1].shape[1] > 20
+
+
+def test_blocks_keep_windows(spark):
+    rng = random.Random(7)
+    import numpy as np
+    import pyarrow as pa
+
+    top = C._HALF - 1
+    rows = sorted((rng.choice([1, 5, top]) * C._HALF + rng.choice([0, 3, top]), rng.choice([0, 2 * C._HALF, top * C._HALF + top]), rng.choice([0, top]), rng.randrange(1, 9)) for _ in range(400))
+    whole = C._distinct(*np.array(rows, np.int64).T)
+    keys = list(zip(*(c.tolist() for c in whole[:3])))
+    bounds = np.array(sorted(rng.sample(keys, 5)) + [(top * C._HALF + top, 1 << 62, 1)], np.int64)
+    bounds = np.array(sorted(map(tuple, bounds.tolist())), np.int64).T
+    blocks = C._blocks(whole, bounds, 10, 3)
+    assert [c.tolist() for c in C._read(pa.Table.from_batches([blocks, blocks]))] == [*[c.tolist() for c in whole[:3]], (2 * whole[3]).tolist()]
+    for i, row in enumerate(blocks.to_pylist()):
+        own = C._read(pa.Table.from_batches([blocks.slice(i, 1)]))
+        limits = [tuple(b) for b in bounds.T.tolist()]
+        assert {10 + sum(b <= k for b in limits) for k in zip(*(c.tolist() for c in own[:3]))} == {row["range"]}
+
+
 def test_phrases_inside_longer_ones_go(spark):
     docs = spark.createDataFrame([("en", "new york city hall\n" * 10 + "new york\n" * 5 + "tied a, tied b")], "lang string, text string")
     phrases = [r.phrase for r in C.collocations(docs, least=10).collect()]

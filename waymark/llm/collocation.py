@@ -2,8 +2,9 @@
 
 Every word begins one window, the words that follow it in its piece, five at
 most. Windows sorted by their words hold the counts of all phrases: those that
-begin alike stand together, so one pass sums phrases of every length. The
-frequent phrases are then kept as two sorted streams. In prefix order a phrase
+begin alike stand together, so one pass sums phrases of every length. Tasks deal
+their sorted windows to ranges between the bounds of a sample, each run as one
+packed block, and a range sorts what it gets. The frequent phrases are then kept as two sorted streams. In prefix order a phrase
 follows its first parts, in suffix order its last ones, so one pass over each
 stream, all lengths in step, gives every phrase the counts of its left and right
 parts, and shows which phrases are as frequent as an extension of them. Both
@@ -38,9 +39,14 @@ UNKNOWN = "und"
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes(ord("\n") if b in BREAKS else ord(" ") if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-SEGMENTS = "segment bigint, lang string, words array<binary>, counts array<int>, stream array<int>"
-#: Ids are under 2^31, so two fill one column; order by the columns is order by the words.
-WINDOWS = "w12 bigint, w34 bigint, w5 bigint, count bigint"
+#: Windows of a range that a task sorts at once, and how many of a range's windows are in the sample.
+RANGE_WINDOWS, SAMPLED = 2 << 20, 512
+#: Ranges that a segment is cut into; more are cut in a second step. Bounds of ranges (24 bytes each) in all.
+CUTS, MOST_BOUNDS = 4096, 1 << 20
+
+SEGMENTS = "segment bigint, lang string, words array<binary>, counts array<int>, stream array<int>, sample array<int>"
+#: Sorted windows of a range in a block. Ids are under 2^31, so two fill one column; order by the columns is order by the words.
+BLOCKS = "range bigint, turn bigint, size int, block binary"
 PHRASES = "w12 bigint, w34 bigint, w5 bigint, count bigint, open boolean"
 MOST_WORDS = (1 << 31) - 2
 KEY = ["w12", "w34", "w5"]
@@ -82,15 +88,18 @@ class _Segment:
         self.parts.append(np.array([*found, 0], np.int32))
         self.size += len(found) + 1
 
-    def row(self, number: int, lang: str) -> pa.RecordBatch:
+    def row(self, number: int, lang: str, step: int) -> pa.RecordBatch:
         stream = np.concatenate(self.parts)
         counts = np.bincount(stream, minlength=len(self.words))[1:]
-        columns = [([*self.words][1:], pa.binary()), (counts, pa.int32()), (stream, pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([lang]), *(one_list(x, t) for x, t in columns)], ["segment", "lang", "words", "counts", "stream"])
+        # what stands after a break is no part of a sampled window
+        sample = np.concatenate([stream, np.zeros(WORDS, np.int32)])[np.arange(0, len(stream), step)[:, None] + np.arange(WORDS)]
+        sample[np.cumsum(sample == 0, axis=1) > 0] = 0
+        columns = [([*self.words][1:], pa.binary()), (counts, pa.int32()), (stream, pa.int32()), (sample.ravel(), pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([lang]), *(one_list(x, t) for x, t in columns)], ["segment", "lang", "words", "counts", "stream", "sample"])
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per language and run of SEGMENT_WORDS words: distinct words, their counts, and the texts as word numbers with a 0 after each piece."""
+def _streams(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
+    """Per language and run of SEGMENT_WORDS words: distinct words, their counts, the texts as word numbers with a 0 after each piece, and the windows of every ``step``-th place."""
     number, held = segments.numbers(), {}
     for rows, texts in text_batches(batches, "text", BATCH_BYTES):
         by_lang: dict[str, list[bytes]] = {}
@@ -100,13 +109,13 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for run in _stretches(b"\n".join(own), BATCH_BYTES):
                 held.setdefault(lang, _Segment()).add(run)
                 if held[lang].size >= SEGMENT_WORDS:
-                    yield held.pop(lang).row(next(number), lang)
+                    yield held.pop(lang).row(next(number), lang, step)
         while sum(s.size for s in held.values()) > MOST_WORDS_HELD:
             lang = max(held, key=lambda x: held[x].size)
-            yield held.pop(lang).row(next(number), lang)
+            yield held.pop(lang).row(next(number), lang, step)
     for lang, own in held.items():
         if len(own.words) > 1:
-            yield own.row(next(number), lang)
+            yield own.row(next(number), lang, step)
 
 
 def _numbered(words: DataFrame) -> DataFrame:
@@ -120,10 +129,48 @@ def _numbered(words: DataFrame) -> DataFrame:
 
 # ---- windows ------------------------------------------------------------------
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct windows of each segment in order, with their counts. A word without an id ends a piece."""
+def _blocks(columns: list[np.ndarray], bounds: np.ndarray, base: int, turn: int) -> pa.RecordBatch:
+    """Sorted windows (three key columns, count) as a block per range; the first range, below all bounds, has the number ``base``."""
+    ends = [0]
+    for low, high, bound in zip(np.searchsorted(columns[0], bounds[0], "left").tolist(), np.searchsorted(columns[0], bounds[0], "right").tolist(), bounds.T[:, 1:].tolist()):
+        for column, value in zip(columns[1:3], bound):
+            low, high = (low + int(np.searchsorted(column[low:high], value, side)) for side in ("left", "right"))
+        ends.append(low)
+    ends.append(len(columns[0]))
+    rows = []
+    for i in np.flatnonzero(np.diff(ends)).tolist():
+        own = np.stack([c[ends[i]:ends[i + 1]] for c in columns])
+        own[0] = np.diff(own[0], prepend=0)
+        # bytes of one weight stand together: most are zero
+        planes = np.ascontiguousarray(own.view(np.uint8).reshape(4, -1, 8).transpose(0, 2, 1))
+        rows.append((base + i, turn, own.shape[1], pa.compress(planes.tobytes(), "zstd", asbytes=True)))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["range", "turn", "size", "block"])
+
+
+def _read(blocks: pa.Table) -> list[np.ndarray]:
+    """The windows of all blocks, sorted; equal ones are one, with their counts summed."""
+    held = []
+    for size, block in zip(blocks["size"].to_pylist(), blocks["block"].to_pylist()):
+        planes = np.frombuffer(pa.decompress(block, 32 * size, "zstd", asbytes=True), np.uint8).reshape(4, 8, size)
+        own = planes.transpose(0, 2, 1).copy().view(np.int64).reshape(4, size)
+        np.cumsum(own[0], out=own[0])
+        held.append(own)
+    return _distinct(*np.concatenate(held, axis=1))
+
+
+def _distinct(w12: np.ndarray, w34: np.ndarray, w5: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """Windows sorted; equal ones are one, with their counts summed."""
+    order = np.lexsort((w5, w34, w12))
+    w12, w34, w5, count = w12[order], w34[order], w5[order], count[order]
+    first = np.flatnonzero(np.concatenate(([True], (w12[1:] != w12[:-1]) | (w34[1:] != w34[:-1]) | (w5[1:] != w5[:-1]))))
+    return [w12[first], w34[first], w5[first], np.add.reduceat(count, first)]
+
+
+def _windows(batches: Iterator[pa.RecordBatch], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Distinct windows of each segment in order, with their counts, as a block per range. A word without an id ends a piece."""
     for batch in batches:
         for i in range(batch.num_rows):
+            segment = batch.column(batch.schema.get_field_index("segment"))[i].as_py()
             stream, numbers, ids = (np.asarray(batch.column(batch.schema.get_field_index(c))[i].values, np.int64) for c in ("stream", "numbers", "id"))
             known = np.zeros(int(stream.max(initial=0)) + 1, np.int64)
             # numbers of the list count from 0, those of the stream from 1
@@ -136,15 +183,45 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words.append(np.where(alive, own[j:n + j], 0))
             begins = words[0] > 0
             w12, w34, w5 = words[0][begins] * _HALF + words[1][begins], words[2][begins] * _HALF + words[3][begins], words[4][begins]
-            if not len(w12):
-                continue
-            order = np.lexsort((w5, w34, w12))
-            w12, w34, w5 = w12[order], w34[order], w5[order]
-            first = np.flatnonzero(np.concatenate(([True], (w12[1:] != w12[:-1]) | (w34[1:] != w34[:-1]) | (w5[1:] != w5[:-1]))))
-            count = np.diff(np.append(first, len(w12)))
-            for b in range(0, len(first), 1 << 18):
-                at = first[b:b + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w12[at], w34[at], w5[at], count[b:b + (1 << 18)])], ["w12", "w34", "w5", "count"])
+            del words, own, alive
+            if len(w12):
+                yield _blocks(_distinct(w12, w34, w5, np.ones(len(w12), np.int64)), bounds, 0, (segment >> 32) + (segment & 0xFFFFFFFF))
+
+
+def _finer(group: pa.Table, bounds: np.ndarray, every: int) -> pa.Table:
+    """Blocks of a wide range, cut at the bounds within it."""
+    wide = group["range"][0].as_py()
+    base = max(0, wide - 1) * every
+    return pa.Table.from_batches([_blocks(_read(group), bounds[:, base:wide * every], base, 0)])
+
+
+def _range_sums(group: pa.Table, least: int) -> pa.Table:
+    """The phrases of one range, from all its blocks."""
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in _read(group)], ["w12", "w34", "w5", "count"])
+    return pa.Table.from_batches(list(_summed(iter([batch]), least)))
+
+
+def _range_bounds(sampled: DataFrame, range_windows: int, step: int) -> np.ndarray:
+    """Keys that cut the windows into ranges of about ``range_windows``: evenly spaced ones of the sorted sample, MOST_BOUNDS at most."""
+    size = sampled.count()
+    every = max(1, range_windows // step, -(-size // (MOST_BOUNDS // 2)))
+    if size <= every:
+        return np.zeros((3, 0), np.int64)
+    placed = sampled.repartitionByRange(*KEY).sortWithinPartitions(*KEY).select(*KEY, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    found = sorted({tuple(r) for r in placed.where(F.col("row") % every == every // 2).select(*KEY).collect()})
+    return np.array(found, np.int64).reshape(-1, 3).T
+
+
+def _dealt(segs: DataFrame, bounds: np.ndarray, cuts: int) -> DataFrame:
+    """Windows of all segments as blocks of ranges. Past ``cuts`` ranges, segments are cut into wide ones, and blocks of many segments into the ranges of each."""
+    every = max(1, -(-bounds.shape[1] // cuts))
+    wide = bounds[:, ::every]
+    blocks = segs.mapInArrow(lambda it: _windows(it, wide), BLOCKS)
+    if every == 1:
+        return blocks
+    # four ranges' windows at a time
+    turn = F.col("turn") % F.lit(-(-every // 4))
+    return blocks.withColumn("turn", turn).groupBy("range", "turn").applyInArrow(lambda t: _finer(t, bounds, every), BLOCKS)
 
 
 def _prefixes(w12: np.ndarray, w34: np.ndarray, w5: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -257,10 +334,27 @@ def with_parts(phrases: DataFrame, name: str) -> DataFrame:
 
 # ---- the operator ----------------------------------------------------------------
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Phrases (key, count) of 1 to 5 words with ``least`` occurrences, their words (lang, word, id), and words per language (lang, n)."""
+def _sampled(segs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The keys of the sampled windows. A word without an id ends a window."""
+    placed = segs.select("segment", F.posexplode("sample").alias("at", "number")).where("number > 0").select("segment", (F.col("number") - 1).alias("number"), F.expr(f"at div {WORDS}").alias("window"), (F.col("at") % WORDS).alias("place"))
+    known = placed.join(resolved, ["segment", "number"]).groupBy("segment", "window").agg(*[F.max(F.when(F.col("place") == i, F.col("id"))).alias(f"id{i}") for i in range(WORDS)])
+    there, ids = F.lit(True), []
+    for i in range(WORDS):
+        there = there & F.col(f"id{i}").isNotNull()
+        ids.append(F.when(there, F.col(f"id{i}")).otherwise(F.lit(0).cast("bigint")))
+    return known.where("id0 IS NOT NULL").select(*key_of(ids))
+
+
+def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, range_windows: int = RANGE_WINDOWS, cuts: int = CUTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Phrases (key, count) of 1 to 5 words with ``least`` occurrences, their words (lang, word, id), and words per language (lang, n).
+
+    A task sorts about ``range_windows`` windows at once, more where the corpus
+    needs more than MOST_BOUNDS ranges; ``cuts`` bounds the blocks of a segment.
+    Neither changes the result.
+    """
+    step = max(1, range_windows // SAMPLED)
     own = docs.select(F.col("lang").cast("string").alias("lang"), "text")
-    segs = stage(own.mapInArrow(_streams, SEGMENTS), "word-streams")
+    segs = stage(own.mapInArrow(lambda it: _streams(it, step), SEGMENTS), "word-streams")
     met = segments.entries(segs, {"words": "word", "counts": "count"}, ["lang"])
     totals = stage(met.groupBy("lang", "word").agg(F.sum("count").alias("count")), "word-counts")
     spoken = totals.groupBy("lang").agg(F.sum("count").alias("n"))
@@ -268,11 +362,10 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFra
     if frequent.count() > MOST_WORDS:
         raise ValueError(f"more than {MOST_WORDS} words occur {least} times")
     words = _numbered(frequent.select("lang", "word"))
-    resolved = met.select("segment", "number", "lang", "word").join(words, ["lang", "word"], "left").select("segment", "number", "id")
+    resolved = stage(met.select("segment", "number", "lang", "word").join(words, ["lang", "word"]).select("segment", "number", "id"), "resolved")
+    bounds = _range_bounds(stage(_sampled(segs, resolved), "sample"), range_windows, step)
     whole = segments.with_resolved(segs.select("segment", "stream"), resolved, ["id"])
-    windows = stage(whole.mapInArrow(_windows, WINDOWS), "windows")
-    ordered = windows.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
-    summed = stage(ordered.mapInArrow(lambda it: _summed(it, least), PHRASES), "window-sums")
+    summed = stage(_dealt(whole, bounds, cuts).groupBy("range").applyInArrow(lambda t: _range_sums(t, least), PHRASES), "window-sums")
     # only the first and last phrase of each length in a range can stand in several
     cut = summed.where("open").groupBy(*KEY).agg(F.sum("count").alias("count")).where(F.col("count") >= least)
     return stage(summed.where("NOT open").select(*KEY, "count").unionByName(cut), "phrases"), words, spoken
