@@ -44,7 +44,7 @@ RANGE_WINDOWS, SAMPLED = 2 << 20, 512
 #: Ranges that a segment is cut into; more are cut in a second step. Bounds of ranges (24 bytes each) in all.
 CUTS, MOST_BOUNDS = 4096, 1 << 20
 
-SEGMENTS = "segment bigint, lang string, words array<binary>, counts array<int>, stream array<int>, sample array<int>"
+SEGMENTS = "segment bigint, lang string, words array<binary>, counts array<int>, stream binary, length int, sample array<int>"
 #: Sorted windows of a range in a block. Ids are under 2^31, so two fill one column; order by the columns is order by the words.
 BLOCKS = "range bigint, turn bigint, size int, block binary"
 PHRASES = "w12 bigint, w34 bigint, w5 bigint, count bigint, open boolean"
@@ -94,8 +94,19 @@ class _Segment:
         # what stands after a break is no part of a sampled window
         sample = np.concatenate([stream, np.zeros(WORDS, np.int32)])[np.arange(0, len(stream), step)[:, None] + np.arange(WORDS)]
         sample[np.cumsum(sample == 0, axis=1) > 0] = 0
-        columns = [([*self.words][1:], pa.binary()), (counts, pa.int32()), (stream, pa.int32()), (sample.ravel(), pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([lang]), *(one_list(x, t) for x, t in columns)], ["segment", "lang", "words", "counts", "stream", "sample"])
+        columns = [([*self.words][1:], pa.binary()), (counts, pa.int32()), (sample.ravel(), pa.int32())]
+        words, counts, sample = (one_list(x, t) for x, t in columns)
+        # bytes of one weight stand together: the upper ones are mostly zero
+        packed = pa.compress(np.ascontiguousarray(stream.view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.array([lang]), words, counts, pa.array([packed], pa.binary()), pa.array([len(stream)], pa.int32()), sample],
+            ["segment", "lang", "words", "counts", "stream", "length", "sample"],
+        )
+
+
+def _unpacked(packed: bytes, length: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * length, "zstd", asbytes=True), np.uint8)
+    return planes.reshape(4, length).T.copy().view(np.int32).ravel()
 
 
 def _streams(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
@@ -170,8 +181,9 @@ def _windows(batches: Iterator[pa.RecordBatch], bounds: np.ndarray) -> Iterator[
     """Distinct windows of each segment in order, with their counts, as a block per range. A word without an id ends a piece."""
     for batch in batches:
         for i in range(batch.num_rows):
-            segment = batch.column(batch.schema.get_field_index("segment"))[i].as_py()
-            stream, numbers, ids = (np.asarray(batch.column(batch.schema.get_field_index(c))[i].values, np.int64) for c in ("stream", "numbers", "id"))
+            segment, packed, length = (batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("segment", "stream", "length"))
+            numbers, ids = (np.asarray(batch.column(batch.schema.get_field_index(c))[i].values, np.int64) for c in ("numbers", "id"))
+            stream = _unpacked(packed, length)
             known = np.zeros(int(stream.max(initial=0)) + 1, np.int64)
             # numbers of the list count from 0, those of the stream from 1
             known[numbers + 1] = ids
@@ -362,9 +374,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, range_windows: i
     if frequent.count() > MOST_WORDS:
         raise ValueError(f"more than {MOST_WORDS} words occur {least} times")
     words = _numbered(frequent.select("lang", "word"))
-    resolved = stage(met.select("segment", "number", "lang", "word").join(words, ["lang", "word"]).select("segment", "number", "id"), "resolved")
+    resolved = stage(met.select("segment", "number", "lang", "word").join(words, ["lang", "word"], "left").select("segment", "number", "id"), "resolved")
     bounds = _range_bounds(stage(_sampled(segs, resolved), "sample"), range_windows, step)
-    whole = segments.with_resolved(segs.select("segment", "stream"), resolved, ["id"])
+    whole = segments.with_resolved(segs.select("segment", "stream", "length"), resolved, ["id"])
     summed = stage(_dealt(whole, bounds, cuts).groupBy("range").applyInArrow(lambda t: _range_sums(t, least), PHRASES), "window-sums")
     # only the first and last phrase of each length in a range can stand in several
     cut = summed.where("open").groupBy(*KEY).agg(F.sum("count").alias("count")).where(F.col("count") >= least)
