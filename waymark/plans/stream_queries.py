@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions import scalar as S
-from waymark.plans import bindings as B, oracle_match as O
-from waymark.streaming import freshness as FR, progress as PR
+from waymark.plans import bindings as B, oracle_match as O, page_bindings as V
+from waymark.session import run_folder
+from waymark.streaming import freshness as FR, progress as PR, refresh as RF
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -40,3 +41,15 @@ def stream_freshness(spark, sf):
     stream = _snapshots(PR.toggle_stream(spark, f"{sf}/events*.parquet"))
     found = FR.latest_changes(FR.run_to_table(FR.change_stream(stream), "freshness"))
     return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("refresh_candidates", V.OUTCOMES.replace("WITH", O.with_(V.RENDERED_SQL).rstrip() + ",", 1) + """
+SELECT page_id, field, value, academic_year, year_source, cand_kind, CAST(CASE WHEN page_id % 20 = 3 THEN 1 ELSE 0 END AS BIGINT) AS version FROM v_candidate""")
+def refresh_candidates(spark, sf):
+    """All pages, first with some that say something else, then as they are: the second turn extracts those alone."""
+    now = V.rendered(spark, sf).unionByName(V.cds_rendered(spark, sf))
+    other = "<html><head><title>Fees</title></head><body><main><h1>Fees</h1><p>Tuition is $1,234 per year for 2026-27.</p></main></body></html>"
+    base = run_folder(spark, "refresh")
+    RF.refresh(now.withColumn("html", F.when(F.col("page_id") % 20 == 3, F.lit(other)).otherwise(F.col("html"))).withColumn("retrieved_at", F.lit("2026-01-01")), base, 0)
+    RF.refresh(now.withColumn("retrieved_at", F.lit("2026-02-01")), base, 1)
+    return RF.current(spark, base).select("page_id", "field", "value", "academic_year", "year_source", "cand_kind", "version")
