@@ -149,3 +149,14 @@ def test_viable_counts_need_no_pairs(spark, sf):
     assert "option_id" not in plan.split("Relation")[0] and "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
     dearest = profiles.withColumn("ceiling", F.lit(2).cast("bigint") ** 40)
     assert C.viable_counts(dearest.withColumn("ceiling", F.col("ceiling").cast("bigint")), options).where("viable = 0").count() == 0
+
+
+def test_financial_fit_and_overall_score_have_a_row_per_pair(spark, sf):
+    from waymark.plans import match_queries as M
+    pairs = B.table(spark, sf, "customer").count() * B.table(spark, sf, "supplier").count()
+    every = {(r.profile_id, r.option_id): r for r in _all_pairs(spark, sf).collect()}
+    for name in ("financial_fit", "overall_score"):
+        got = M.QUERIES[name](spark, sf)
+        rows = got.collect()
+        assert len(rows) == pairs == len(every)
+        assert all(getattr(r, c) == getattr(every[r.profile_id, r.option_id], c) for r in rows for c in got.columns)
