@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from waymark.operators import evidence as E, registry as R
+from waymark.plans import bindings as B
 
 
 def test_rules_in_one_pass(spark):
@@ -24,3 +25,11 @@ def test_variants_say_whether_they_are_allowed(spark):
     got = {(r.url_id, r.variant): r.allowed for r in R.variants_with_status(pages, allowed).collect()}
     assert got[10, "https://uni.edu/x"] and not got[12, "https://uni.edu/x"] and {k[0] for k in got} == {10, 11, 12}
     assert {v for (i, v) in got if i == 11} == {"https://www.a.b.other.org", "https://b.other.org", "https://www.b.other.org", "https://other.org", "https://www.other.org"} and not any(ok for (i, _), ok in got.items() if i == 11)
+
+
+def test_approval_never_broadcasts_the_proposals(spark, sf):
+    from waymark.plans import site_queries as Q
+    for name in ("approve", "status_summary"):
+        df = Q.QUERIES[name](spark, sf)
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString(), name
+    assert df.where("metric = 'approved_records'").first().n == B.table(spark, sf, "part").count()

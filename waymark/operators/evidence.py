@@ -108,7 +108,8 @@ def approve(proposals: DataFrame, wanted: DataFrame, at: Column, by: str, confir
         F.when(F.col("_p").isNull(), "no such proposal").when(F.coalesce("evidence_count", F.lit(0)) == 0, "no evidence attached")
         .when(F.col("value").isNull(), "value is null")
     )
-    return wanted.join(p, ["record_id", "field"], "left").select(
+    # proposals are exploded from few bytes, so their size is underrated: as a broadcast they would pass whole through the driver
+    return wanted.join(p.hint("merge"), ["record_id", "field"], "left").select(
         "record_id", "field", F.when(reason.isNull(), F.col("value")).alias("value"), reason.isNull().alias("accepted"), reason.alias("reason"),
         at.alias("at"), F.lit(by).alias("approved_by"),
     )
