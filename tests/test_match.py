@@ -160,3 +160,23 @@ def test_financial_fit_and_overall_score_have_a_row_per_pair(spark, sf):
         rows = got.collect()
         assert len(rows) == pairs == len(every)
         assert all(getattr(r, c) == getattr(every[r.profile_id, r.option_id], c) for r in rows for c in got.columns)
+
+
+def test_bounds_change_no_shortlist(spark, sf, monkeypatch):
+    """Ties, repeated profiles, missing ids and scores included: bounds from shares of the options give the list that no bounds give."""
+    options = B.ready_options(spark, sf).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("option_id", F.col("option_id") + F.col("_c") * 1000).drop("_c")
+    p = B.ready_profiles(spark, sf).limit(60)
+    p = p.unionByName(p.where("profile_id % 5 = 0")).unionByName(p.where("profile_id % 7 = 0").withColumn("profile_id", F.lit(None).cast("bigint")))
+    p = p.withColumn("major_index", F.when(F.col("profile_id") % 11 != 0, F.col("major_index")))
+    rows = lambda: sorted(map(tuple, L.shortlist(p, options).select("profile_id", "option_id", "rank", "score", "mode", "verdict").collect()), key=str)
+    want = rows()
+    monkeypatch.setattr(L, "SEED_ROWS", 5)
+    monkeypatch.setattr(L, "SEED_STEP", 3)
+    assert len(L._seeds(options.count())) == 2 and L._seeds(4) == []
+    assert rows() == want
+
+
+def test_option_bytes_are_measured(spark):
+    rows = spark.createDataFrame([("x" * 1000, [1, 2, 3], 5), (None, None, None)], "t string, l array<int>, n int")
+    n, size = P.measured_bytes(rows)
+    assert n == 2 and 1000 < size < 1300 and P.measured_bytes(rows.limit(0)) == (0, 0)
