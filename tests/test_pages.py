@@ -200,3 +200,33 @@ def test_weak_winners_of_critical_kinds_are_refused_with_a_reason(spark):
     assert gated["tuition"] == ("rejected", signals.REFUSED_HISTORICAL)
     assert gated["deadlines"] == ("rejected", "only a fallback source was found for a decision-critical field, and 7.5 is below the 8 bar for one")
     assert gated["programs"] == gated["financial_aid"] == ("found", None) and gated["admissions"] == ("not_found", None) and len(gated) == 12
+
+
+def test_every_date_pattern_has_a_sign_that_its_matches_hold(spark):
+    """A page with one stated date gives it, in any case; the sign only spares pages that can't match."""
+    assert set(signals.DATE_SIGNS) == {p for p in signals.PUBLISHED + signals.UPDATED if p != "path"}
+    for which, names in ((signals.PUBLISHED, ["article:published_time", "datePublished", "pubdate", "date", "DC.date", "DCxDATE"]), (signals.UPDATED, ["article:modified_time", "og:updated_time", "dateModified"])):
+        pages = [f'<META {k}="{n}" content="2024-03-05T10:00">' for n in names for k in ("property", "name")] + [f"<meta CONTENT='2024-03-05' name='{n.upper()}'>" for n in names]
+        pages += ['{"DatePublished" : "2024-03-05"}', "<p>x<TIME class=a datetime='2024-03-05'>"] if which is signals.PUBLISHED else ['"datemodified":"2024-03-05"', "LAST \n Reviewed: March 5, 2024"]
+        got = spark.createDataFrame([(p, "https://a.edu/x") for p in pages], "html string, url string").select(G.first_date(F.col("html"), F.col("url"), which)).collect()
+        assert [str(r[0]) for r in got] == ["2024-03-05"] * len(pages), list(zip(pages, got))
+
+
+def test_codes_that_entities_spell_are_decoded(spark):
+    rows = spark.createDataFrame([("a &amp;#233; &#65; b",), ("no code &amp; x",), (None,)], "h string").select(H.text_of(F.col("h")))
+    assert [r[0] for r in rows.collect()] == ["a \u00e9 A b", "no code & x", None]
+
+
+def test_content_in_pieces_keeps_every_page(spark):
+    pages = [(i, None if i % 50 == 7 else "" if i % 50 == 9 else f"<nav>n</nav><main>p{i}</main>") for i in range(1000)]
+    rows = spark.createDataFrame(pages, "i int, html string").coalesce(1).select("i", H.main_content(F.col("html")).alias("m")).collect()
+    assert len(rows) == 1000 and all((r.m.html, r.m.used_main) == ((f"<main>p{r.i}</main>", True) if pages[r.i][1] else ("", False)) for r in rows)
+
+
+def test_scores_of_a_failed_kind_are_nought(spark):
+    page = ("https://a.edu/tuition", "t", "Tuition", "<main><h1>Tuition</h1><p>Tuition is $5 per year.</p></main>", "transfer")
+    rows = spark.createDataFrame([page], "url string, page_id string, title string, main_html string, scope string").withColumns({
+        "text": H.text_of(F.col("main_html")), "headings": H.headings_of(F.col("main_html")), "audience": F.lit("transfer"), "temporal_status": F.lit("current"),
+        "article_segments": F.lit(0), "blog_body": F.lit(False), "blog_like": F.lit(False)})
+    got = G.kind_scores(rows).collect()
+    assert len(got) == 12 and all((r.failed, r.content, r.relevance, r.authority, r.score, r.role, r.accepted) == ("scope", 0.0, 0.0, 0.0, 0.0, "fallback", False) for r in got)
