@@ -230,3 +230,41 @@ def test_scores_of_a_failed_kind_are_nought(spark):
         "article_segments": F.lit(0), "blog_body": F.lit(False), "blog_like": F.lit(False)})
     got = G.kind_scores(rows).collect()
     assert len(got) == 12 and all((r.failed, r.content, r.relevance, r.authority, r.score, r.role, r.accepted) == ("scope", 0.0, 0.0, 0.0, 0.0, "fallback", False) for r in got)
+
+
+def test_terms_found_by_their_words_are_those_that_a_search_finds(spark):
+    terms = G.CORPUS_TERMS
+    hays = [" ", "  ", " the net price calculator ", " ".join(["", *terms, ""]), " ".join(["", *reversed(terms), ""]), " full  ride financial  aid ", " financial financial aid ", " unfinancial aids "]
+    hays += [f" x {t} y " for t in terms] + [f" {t}s x{t} {t.replace(' ', '  ')} " for t in terms]
+    rows = spark.createDataFrame([(h,) for h in hays], "hay string").select("hay", R.terms_in(F.col("hay"), terms).alias("found")).collect()
+    for r in rows:
+        assert set(r.found) & set(terms) == {t for t in terms if f" {t} " in r.hay}
+
+
+def test_text_is_searched_for_the_terms_of_all_kinds_at_once(spark):
+    rows = content(spark, "<p>Tuition is due.</p>")
+    plan = G.kind_scores(G.with_temporal(rows, "2026-09-01").drop("kind"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(_corpus") + plan.count("contains(_corpus") <= 2
+
+
+def test_tags_that_a_page_lacks_are_not_scanned_for(monkeypatch):
+    sought, real = [], H.re.finditer
+    monkeypatch.setattr(H.re, "finditer", lambda p, *rest: sought.append(p) or real(p, *rest))
+    assert H._main("<NAV>x</NAV><p>y</p></div>") == (" <p>y</p></div>", False) and len(sought) == 1
+    # the long s folds into an s
+    assert H._main("<aſide>x</aſide>y") == (" y", False)
+
+
+@pytest.mark.parametrize("html, text", [
+    ("a<SCRIPT>x</script>b<sTyle >y</STYLE>c<!-- z -->d", "a b c d"), ("<scr<script></script>ipt>q</script>", "q"), ("a  b\tc \t d e", "a b c d e"),
+    ("a\n\n\n\nb \n", "a\n\nb"), ("&amp;lt;&nbsp;&#65;", "< A"), ("1 &lt; 2 &gt; 1", "1 < 2 > 1"), ("", ""), (" x", "x"),
+])
+def test_text_without_markup_is_cleaned_like_any(spark, html, text):
+    assert spark.createDataFrame([(html,)], "h string").select(H.text_of(F.col("h")).alias("t")).first().t == text
+
+
+def test_stated_years_and_dates_on_odd_texts(spark):
+    got = spark.createDataFrame([("2025-26, 2026/2027, 2026 – 27, 12026-27, 2026-28, 2026-271",), (None,), ("",)], "t string").select(G.academic_years(F.col("t")).alias("y")).collect()
+    assert [r.y for r in got] == [["2025-26", "2026-27"], None, []]
+    dates = spark.createDataFrame([("",), ("May 4, 2026",), ("2026-05-04T01",), ("soon",), (None,)], "t string").select(G.as_date(F.col("t")).cast("string").alias("d")).collect()
+    assert [r.d for r in dates] == [None, "2026-05-04", "2026-05-04", None, None]
