@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from waymark import signals
 from waymark.operators import evidence as E, registry as R
 from waymark.plans import bindings as B
 
@@ -33,3 +34,27 @@ def test_approval_never_broadcasts_the_proposals(spark, sf):
         df = Q.QUERIES[name](spark, sf)
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString(), name
     assert df.where("metric = 'approved_records'").first().n == B.table(spark, sf, "part").count()
+
+
+def test_a_guess_is_scored_for_its_own_kind_alone(spark):
+    paths = ["/admissions/international/", "/blog/2024/05/tuition-news", "/a/b/c/d/e/f/testing", "/financial-aid/scholarships", "/cost-of-attendance/costs", "/news/blog/apply", "", "/Graduate/First-Year"]
+    urls = [(i, f"https://uni.edu{p}") for i, p in enumerate(paths)] + [(8, None), (9, "no url"), (None, "https://uni.edu/fees")]
+    every = R.candidate_scores(spark.createDataFrame(urls, "institution_id bigint, url string"))
+    wanted = spark.createDataFrame([(*u, k) for u in urls for k in [*signals.KINDS, "no kind", None]], "institution_id bigint, url string, kind string")
+    rows = lambda df: sorted((tuple(r) for r in df.select(*every.columns).collect()), key=str)
+    assert rows(R.candidate_scores(wanted)) == rows(every) and every.count() == len(urls) * len(signals.KINDS)
+
+
+def test_names_count_where_a_segment_is_or_begins_with_them(spark):
+    rows = [["cost of attendance"], ["costs"], ["costly", "my cost"], ["cost", "cost of living", "tuition fees"], [], None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, segs array<string>").withColumn("marked", F.concat(F.lit("/"), F.array_join("segs", "/"), F.lit("/")))
+    names = signals.KIND_SIGNALS["cost_of_attendance"]["canonical"]
+    want = [sum(any(s == n or s.startswith(n + " ") for s in r or []) for n in names) for r in rows]
+    assert want[0] == 2 and [r.n for r in df.select("i", R.canonical_hits(F.col("marked"), "cost_of_attendance").alias("n")).orderBy("i").collect()] == want
+
+
+def test_published_urls_are_scored_once(spark, sf):
+    """The ranking of what is published is a written stage; the scan of its urls stands in no later plan."""
+    from waymark.plans import site_queries as Q
+    files = Q.QUERIES["fetch_order"](spark, sf).inputFiles()
+    assert any("top-candidates" in f for f in files) and not any("orders.parquet" in f for f in files)

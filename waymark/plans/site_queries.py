@@ -9,7 +9,7 @@ from waymark import fixed, signals
 from waymark.functions import scalar as S, urls as U
 from waymark.operators import evidence as E, registry as R, sanitize as Z
 from waymark.plans import bindings as B, oracle_match as O, site_bindings as V
-from waymark.session import run_folder
+from waymark.session import materialize, run_folder
 from waymark.sources import files as SRC
 
 QUERIES: dict = {}
@@ -215,9 +215,10 @@ v_m AS (SELECT institution_id, url, max(priority) AS priority, min(tier) AS tier
 
 @query("fetch_order", _GUESS_SQL + "SELECT institution_id, url, tier, CAST(priority AS DOUBLE) AS priority, kinds, CAST(n AS INTEGER) AS fetch_rank FROM (SELECT *, row_number() OVER (PARTITION BY institution_id ORDER BY tier, priority DESC, url) AS n FROM v_m) x WHERE n <= 45")
 def fetch_order(spark, sf):
-    top = _top(spark, sf).withColumn("tier", F.lit(R.DISCOVERED))
-    guessed = R.guess_paths(V.institutions(spark, sf), top)
-    scored = R.candidate_scores(guessed.select("institution_id", "url").distinct()).join(guessed, ["institution_id", "url", "kind"], "left_semi").withColumn("tier", F.lit(R.GUESSED))
+    # what is published is ranked once, and tells which paths are guessed
+    top = materialize(_top(spark, sf), "top-candidates").withColumn("tier", F.lit(R.DISCOVERED))
+    guessed = R.guess_paths(V.institutions(spark, sf), top).dropna().distinct()
+    scored = R.candidate_scores(guessed).withColumn("tier", F.lit(R.GUESSED))
     columns = ["institution_id", "url", "kind", "priority", "tier"]
     out = R.fetch_order(top.select(*columns).unionByName(scored.select(*columns)))
     return out.select("institution_id", "url", "tier", F.col("priority").cast("double").alias("priority"), F.array_join("kinds", ",").alias("kinds"), "fetch_rank")
