@@ -180,3 +180,16 @@ def test_option_bytes_are_measured(spark):
     rows = spark.createDataFrame([("x" * 1000, [1, 2, 3], 5), (None, None, None)], "t string, l array<int>, n int")
     n, size = P.measured_bytes(rows)
     assert n == 2 and 1000 < size < 1300 and P.measured_bytes(rows.limit(0)) == (0, 0)
+
+
+def test_pairs_that_cannot_reach_a_bound_go_before_all_fits_are_asked(spark, sf):
+    """No pair that reaches the bound is lost, no score exceeds what its first fits allow, and profiles without a bound keep all."""
+    pairs = P.pair_grid(B.ready_profiles(spark, sf).select(*P.PROFILE_SCORING).limit(40), B.ready_options(spark, sf).select(*P.OPTION_SCORING))
+    pairs = pairs.withColumn("_bound", F.when(F.col("profile_id") % 3 != 0, 70 + F.col("profile_id") % 9).cast("int"))
+    every = L._scored(pairs, ["_bound"])
+    for n in range(len(fits.FITS) + 1):
+        known = ["major", "financial", "academic", "geography", "scholarship", "tests", "preference"][:n]
+        assert every.where(fits.most_score(known) < F.col("score")).count() == 0
+    got, reached = L._scored(pairs, ["_bound"], "_bound"), F.col("_bound").isNull() | (F.col("score") >= F.col("_bound"))
+    assert sorted(map(tuple, got.where(reached).collect()), key=str) == sorted(map(tuple, every.where(reached).collect()), key=str)
+    assert every.where(reached).count() <= got.count() < every.count() / 2 + every.where("_bound IS NULL").count()
