@@ -58,3 +58,13 @@ def test_published_urls_are_scored_once(spark, sf):
     from waymark.plans import site_queries as Q
     files = Q.QUERIES["fetch_order"](spark, sf).inputFiles()
     assert any("top-candidates" in f for f in files) and not any("orders.parquet" in f for f in files)
+
+
+def test_missing_evidence_is_matched_without_a_broadcast(spark, sf):
+    """Both sides have a row per record and field; neither may go through the driver."""
+    from waymark.plans import site_queries as Q
+    got = Q.QUERIES["no_evidence_minus_accounted"](spark, sf)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    rows = got.collect()
+    assert rows and len(set(rows)) == len(rows)

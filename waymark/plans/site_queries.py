@@ -561,4 +561,5 @@ def no_evidence_minus_accounted(spark, sf):
     p = V.proposals(spark, sf)
     silent = p.where(F.col("value").isNull()).select("record_id", "field")
     accounted = p.where((F.col("evidence_count") > 0) | (E.verdict(F.col("has_error"), F.col("evidence_count") > 0, F.col("has_warning"), F.col("confidence")) != "REJECT")).select("record_id", "field")
-    return silent.join(accounted, ["record_id", "field"], "left_anti")
+    # both sides grow with the records
+    return silent.join(accounted.hint("merge"), ["record_id", "field"], "left_anti")
