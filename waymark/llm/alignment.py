@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from waymark.llm import segments
-from waymark.llm.common import one_list, stage, text_batches
+from waymark.llm.common import SEGMENT_ROWS, one_list, stage, text_batches
 from waymark.llm.tokens import FOLDER, Chunks, Grown, Ragged, bpe, chunks, once, sentence_pieces, vocabulary
 
 LEFT, RIGHT = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
@@ -200,7 +200,7 @@ def align(docs: DataFrame, left: str = LEFT, right: str = RIGHT) -> tuple[DataFr
     spark = docs.sparkSession
     contents = [vocabulary(spark, p) for p in (left, right)]
     own = docs.select(F.col("doc_id").cast("bigint"), "text")
-    segs = stage(own.mapInArrow(lambda it: _segments(it, contents[0].value, contents[1].value), SEGMENTS), "aligned")
+    segs = stage(own.mapInArrow(lambda it: _segments(it, contents[0].value, contents[1].value), SEGMENTS), "aligned", most_rows=SEGMENT_ROWS)
     met = segments.entries(segs, {"pairs": "pair", "counts": "count"})
     totals = met.groupBy("pair").agg(F.sum("count").alias("total"))
     totals = stage(totals.withColumn("b_id", F.shiftright("pair", 32)), "pair-totals")

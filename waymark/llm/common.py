@@ -18,14 +18,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return qualified(spark, run_folder(spark, name))
 
 
-def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write a stage to the shared folder and read it back: it is computed once and outlives executors."""
+def stage(df: DataFrame, name: str, *partition_by: str, most_rows: int | None = None) -> DataFrame:
+    """Write a stage to the shared folder and read it back: it is computed once and outlives executors.
+
+    Parquet weighs what it holds only after a hundred rows, and is read a row
+    group at a time; rows of megabytes need ``most_rows`` of a row group.
+    """
     path = shared_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
+    if most_rows:
+        writer = writer.option("parquet.block.row.count.limit", most_rows)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a row group where each is a segment of texts.
+SEGMENT_ROWS = 2
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

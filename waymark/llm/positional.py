@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.llm.common import byte_class, joined_words, one_list, stage, text_batches
+from waymark.llm.common import SEGMENT_ROWS, byte_class, joined_words, one_list, stage, text_batches
 
 #: Words are runs of digits, letters and all that is not ASCII.
 WORDS = byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
@@ -73,7 +73,7 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
     are not read, so their names can't clash.
     """
     own = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_key"))
-    return stage(own.mapInArrow(lambda it: _index(it, segment_bytes), INDEX), "positions")
+    return stage(own.mapInArrow(lambda it: _index(it, segment_bytes), INDEX), "positions", most_rows=SEGMENT_ROWS)
 
 
 def indexed_documents(index: DataFrame) -> DataFrame:
