@@ -98,3 +98,15 @@ def test_a_catalogue_that_workers_cannot_hold_is_not_searched(spark, sf, monkeyp
     monkeypatch.setattr(P, "BROADCAST_BYTES", 0)
     assert not search.fits_memory(options)
     assert _rows(L.shortlist(profiles, options), SHOWN) == want
+
+
+def test_searched_advantages_equal_those_of_all_pairs(catalogue, monkeypatch):
+    """Counts per main advantage and concern, over missing scores, ties and repeated rows."""
+    from waymark.operators import catalogue as C
+    profiles, options = catalogue
+    rows = lambda: sorted(map(str, C.advantage_summary(profiles, options).select("profile_id", "advantage", "concern", "options").collect()))
+    monkeypatch.setattr(L, "_seeds", lambda rows: [])
+    want = rows()
+    monkeypatch.setattr(L, "_seeds", lambda rows: [8])
+    assert "MapInArrow" in C.advantage_summary(profiles, options)._jdf.queryExecution().executedPlan().toString()
+    assert len(want) > 500 and rows() == want
